@@ -68,12 +68,12 @@ def text_chunks(column: pa.Array, lower: bool = True, limit: int = CHUNK_BYTES)
         first = end
 
 
-def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and its row."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, none
-    word = ~SPACE[buf]
+    word = ~space[buf]
     cut = np.zeros(len(buf) + 1, bool)
     cut[offsets] = True
     start = word.copy()
