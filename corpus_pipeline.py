@@ -1,15 +1,81 @@
-"""A corpus pipeline: language ID, near-dedup, decontamination, secret scan, mixing."""
+"""A corpus pipeline over documents: language ID, near-dedup, decontamination, secret scan, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm.decontaminate import contaminated
+from sparkloom.llm.langid import document_rows, identify, text_model
+from sparkloom.llm.minhash import near_duplicates
+from sparkloom.llm.mixing import mix
+from sparkloom.llm.runtime import stash, table
+from sparkloom.llm.secrets import redact_secrets
+
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of these ids, a column doc_id; null ids stay. Few ids are broadcast (8 MB at most)."""
+    ids = stash(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is unknown go: those without letters, and those without a likely language."""
+    model = text_model(docs.select(F.lower("lang").alias("lang"), "text"))
+    found = identify(document_rows(docs), model)
+    lettered = docs.where(F.coalesce(F.rlike("text", F.lit(r"\p{L}")), F.lit(False)))
+    return without(lettered, found.where(~F.col("accepted")).select(F.col("id").alias("doc_id")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id; of rows that repeat an id, one."""
+    found = stash(near_duplicates(docs), "near-duplicates")
+    once = without(docs, found.where(~F.col("kept")))
+    repeated = stash(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return once
+    again = once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return without(once, repeated).union(again)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or with other values, go."""
+    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return redact_secrets(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: every document as often as its source's rate asks, numbered by copy."""
+    return mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing),
+]
 
-STAGES: list = []
+#: The near-duplicate groups need a transitive closure over set similarities, which SQL does not express at this size.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents; the last one's rows."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stash(docs, f"stage-{name}")
     return docs
