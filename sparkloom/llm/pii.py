@@ -21,6 +21,7 @@ from .runtime import stash
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
+LEAST_SCORE = 1.5  # of the classifier, a logit
 LABELERS = ("format", "gazetteer", "context", "counter", "edges")
 
 # The patterns. Those of the base kinds find what the plain ones do, in linear time:
@@ -211,7 +212,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     spans = stash(candidates(docs), "candidates")
     cells = spans.where("kind is not null").groupBy("kind", "shape", *LABELERS).count().collect()  # a fixed number of votes and shapes
     weights = train(sorted((r["kind"], r["shape"], tuple(r[v] for v in LABELERS), r["count"]) for r in cells))
-    taken = spans.withColumn("taken", F.col("base") | (_score(weights) > 0))
+    taken = spans.withColumn("taken", F.col("base") | (_score(weights) > LEAST_SCORE))
     place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     item = F.struct(place.alias("place"), "start", "end", "kind")
     text = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -40,10 +40,12 @@ class _Vocabulary:
     """The distinct words of some rows: their buckets and those of their character n-grams."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray) -> None:
-        starts, ends, self.row = word_bounds(buf, offsets, _APART)
+        starts, ends, row = word_bounds(buf, offsets, _APART)
+        self.row = row.astype(np.int32)
         hashes = word_hashes(buf, starts, ends)
-        distinct, first, self.word = np.unique(hashes, return_index=True, return_inverse=True)
-        self.bucket = (distinct >> np.uint64(40)).astype(np.int64) % BUCKETS
+        distinct, first, word = np.unique(hashes, return_index=True, return_inverse=True)
+        self.word = word.astype(np.int32)
+        self.bucket = ((distinct >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
         starts, length = starts[first], (ends - starts)[first]
         # every word as ^word$ and four blanks, one after another
         own = length + 2 + _PAD
@@ -61,7 +63,7 @@ class _Vocabulary:
         for k in range(5):
             code = (code ^ chars[place + k]) * _MIX[k]
             if k >= 3:
-                self.grams.append(((code ^ (code >> np.uint32(15))) % np.uint32(BUCKETS)).astype(np.int64))
+                self.grams.append(((code ^ (code >> np.uint32(15))) % np.uint32(BUCKETS)).astype(np.int32))
 
     def inputs(self, tables: Tables) -> np.ndarray:
         """One row of inputs for each distinct word."""
