@@ -4,7 +4,8 @@ Word inputs come from how surely a word, and character inputs how surely its cha
 5-grams, go with the label, measured on the training sample with cross-fitting: a training
 text's inputs are measured on the other half of the sample, so chance words teach nothing.
 The network reads windows of 48 words that overlap by 16; a text's score is that of its most
-toxic window. A toxic text trains with its most suspect window, as only the text is labelled.
+toxic window. As only texts are labelled, a toxic text trains with its most suspect window, and
+a clean one with that, one by chance and, the second time, the one the network erred on most.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ STEPS, STRIDE = 48, 32
 HIDDEN, ATTEND = 8, 8
 INPUTS = 6
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000  # the bound of the training sample, in texts
-EPOCHS, BATCH, LEAST_STEPS = 8, 64, 500
+EPOCHS, BATCH, LEAST_STEPS = 5, 64, 400
 THRESHOLD = 0.3
 BLOCK = 2048
 
@@ -225,28 +226,36 @@ def fit(texts: list[str], labels: list[int]) -> tuple[Tables, Network]:
         return _association(vocabularies, y), network
     half = np.arange(len(y)) % 2
     halves = [_association([v for v, h in zip(vocabularies, half, strict=True) if h != k], y[half != k]) for k in (0, 1)]
+    usable = [k for k, v in enumerate(vocabularies) if len(v.word)]
+
+    def inputs(k: int) -> np.ndarray:
+        return vocabularies[k].inputs(halves[half[k]])
+
     rng = np.random.default_rng(7)
-    xs, masks, ys, owner = [], [], [], []
-    for k, v in enumerate(vocabularies):
-        if not len(v.word):
-            continue
-        x = v.inputs(halves[half[k]])[v.word]
-        start, end, _ = _windows(np.zeros(len(x), np.int64), 1)
+    chosen = {}
+    for k in usable:
+        x = inputs(k)[vocabularies[k].word]
+        start, end, _ = _windows(np.zeros(len(x), np.int32), 1)
         suspect = x[:, :3].sum(axis=1)
         peak = np.array([suspect[a : min(a + STEPS, b)].max() for a, b in zip(start, end, strict=True)])
-        chosen = {int(np.argmax(peak))} | (set() if y[k] else {int(rng.integers(len(start)))})
-        for w in sorted(chosen):
-            got = x[start[w] : min(start[w] + STEPS, end[w])]
-            xs.append(np.pad(got, ((0, STEPS - len(got)), (0, 0))))
-            masks.append(np.arange(STEPS) < len(got))
-            ys.append(y[k])
-            owner.append(k)
-    x, mask, target = np.stack(xs), np.stack(masks).astype(np.float32), np.array(ys, np.float32)
-    network.train(x, mask, target)
-    # move the logits so that the threshold parts the training texts best
-    logit = network.logits(network.gates(x).transpose(1, 0, 2), mask.T)
-    top = np.full(len(y), -30.0)
-    np.maximum.at(top, np.array(owner), logit)
+        chosen[k] = {int(np.argmax(peak))} | (set() if y[k] else {int(rng.integers(len(start)))})
+    # twice: with the windows that look suspect, and then also with those that the network takes for toxic
+    for _ in range(2):
+        xs, masks, ys = [], [], []
+        for k in usable:
+            x = inputs(k)[vocabularies[k].word]
+            for w in sorted(chosen[k]):
+                got = x[w * STRIDE : w * STRIDE + STEPS]
+                xs.append(np.pad(got, ((0, STEPS - len(got)), (0, 0))))
+                masks.append(np.arange(STEPS) < len(got))
+                ys.append(y[k])
+        network.train(np.stack(xs), np.stack(masks).astype(np.float32), np.array(ys, np.float32))
+        top = np.full(len(y), -30.0)
+        for k in usable:
+            logit = _window_logits(vocabularies[k], 1, inputs(k), network)[0]
+            top[k] = logit.max()
+            chosen[k] = {int(np.argmax(logit))} if y[k] else chosen[k] | {int(np.argmax(logit))}
+    # move the logits so that the threshold parts the sample best
     order = np.argsort(-top)
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, int(y.sum())))
@@ -256,19 +265,26 @@ def fit(texts: list[str], labels: list[int]) -> tuple[Tables, Network]:
     return _association(vocabularies, y), network
 
 
+def _window_logits(v: _Vocabulary, n_rows: int, inputs: np.ndarray, network: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and row of every window of some rows, in blocks."""
+    gates = network.gates(inputs).astype(np.float32) if len(v.word) else np.zeros((1, 6 * HIDDEN), np.float32)
+    start, stop, of = _windows(v.row, n_rows)
+    out = np.zeros(len(start))
+    for k in range(0, len(start), BLOCK):
+        at = start[k : k + BLOCK] + np.arange(STEPS)[:, None]
+        inside = at < stop[k : k + BLOCK]
+        at[~inside] = 0
+        out[k : k + BLOCK] = network.logits(gates[v.word[at]], inside.astype(np.float32))
+    return out, of
+
+
 def _score_rows(column: pa.Array, tables: Tables, network: Network) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, scores) over runs of rows."""
     for first, end, buf, offsets in text_chunks(column):
         v = _Vocabulary(buf, offsets)
-        gates = network.gates(v.inputs(tables)).astype(np.float32) if len(v.word) else np.zeros((1, 6 * HIDDEN), np.float32)
-        start, stop, of = _windows(v.row, end - first)
+        logit, of = _window_logits(v, end - first, v.inputs(tables), network)
         top = np.zeros(end - first)
-        for k in range(0, len(start), BLOCK):
-            at = start[k : k + BLOCK] + np.arange(STEPS)[:, None]
-            inside = at < stop[k : k + BLOCK]
-            at[~inside] = 0
-            score = _sigmoid(network.logits(gates[v.word[at]], inside.astype(np.float32)))
-            np.maximum.at(top, of[k : k + BLOCK], score)
+        np.maximum.at(top, of, _sigmoid(logit))
         yield first, top
 
 
