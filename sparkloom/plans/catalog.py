@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import scoring, timeseries  # noqa: F401
+from sparkloom.plans import quality, scoring, timeseries  # noqa: F401
 from sparkloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
