@@ -63,12 +63,15 @@ FOR = {
 AGAINST = r"(?i)(?:version|release|order|isbn|issn|sku|part|serial|build|ticket|invoice|ref|id|no|nr|v)\W{0,3}$"
 
 
+MATCH = "struct<pattern:string,kind:string,i:int,gap:int,value:string,before:string,after:string>"
+
+
 def _matches(text: Column, name: str) -> Column:
     """The matches of a pattern with the gap before each and what stands around it."""
     pattern = PATTERNS[name]
     kind = name.split("_")[0]
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    none = F.array().cast("array<struct<pattern:string,kind:string,i:int,gap:int,value:string,before:string,after:string>>")
+    none = F.array().cast(f"array<{MATCH}>")
 
     def span(m: Column, i: Column) -> Column:
         piece, rest = F.get(pieces, i), F.get(pieces, i + 1)
@@ -107,7 +110,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     code points. A span that is not of the base and overlaps one that is, or an earlier one, goes.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = rows.select("row_id", "doc_id", F.explode_outer(F.concat(*[_matches(F.col("text"), name) for name in PATTERNS])).alias("m")).select("row_id", "doc_id", "m.*")
+    found = rows.select("row_id", "doc_id", F.explode(F.concat(*[_matches(F.col("text"), name) for name in PATTERNS], F.array(F.lit(None).cast(MATCH)))).alias("m")).select("row_id", "doc_id", "m.*")
     w = Window.partitionBy("row_id", "pattern").orderBy("i")
     long_ = F.length("value")
     found = found.withColumn("start", F.sum(F.col("gap") + long_).over(w) - long_).withColumn("end", F.col("start") + long_)
