@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Texts are turned into templates: numbers, names and units become typed placeholders, other words
-are lower-cased and lose the punctuation around them. Windows of eight template tokens are
+are lower-cased and lose the punctuation around them (a second template takes names for plain
+words, so that capitals alone hide nothing). Windows of eight template tokens are
 hashed and joined; the values in the placeholders of the matched windows must then map
 consistently, so a question with other numbers or names is caught and a chance match is not.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +68,12 @@ class _Words(dict):
 _UNIT_SET = frozenset(UNITS)
 
 
-def _templates(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens of the texts: row, template hash, value hash, and whether it is a placeholder."""
+def _templates(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]]:
+    """Of all tokens of the texts: row, value hash, and two templates as (hash, is a placeholder, needed).
+
+    The first template holds names as placeholders; in the second, which capitals do not disturb,
+    they are plain words, and only windows with a name need it.
+    """
     if len(words) > 300_000:
         words.reset()
     at: list[int] = []
@@ -86,14 +92,16 @@ def _templates(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.n
         opens[1:] = (row[1:] != row[:-1]) | (flags[:-1] & _STOPS > 0)
         after_number[1:] = (row[1:] == row[:-1]) & (flags[:-1] & _NUM > 0)
     number, name, unit = flags & _NUM > 0, (flags & _CAPITAL > 0) & ~opens, (flags & _UNIT > 0) & after_number
-    template = value.copy()
-    for held, kind in ((number, _NUM), (name, _CAPITAL), (unit, _UNIT)):
-        template[held] = _KIND[_SLOTS[kind]]
-    return row, template, value, number | name | unit
+    plain = value.copy()
+    plain[number] = _KIND[_SLOTS[_NUM]]
+    plain[unit] = _KIND[_SLOTS[_UNIT]]
+    template = plain.copy()
+    template[name] = _KIND[_SLOTS[_CAPITAL]]
+    return row, value, [(template, number | name | unit, None), (plain, number | unit, name)]
 
 
-def _windows(row: np.ndarray, template: np.ndarray, slot: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of the windows of this length that stay within a row and are literal enough."""
+def _windows(row: np.ndarray, template: np.ndarray, slot: np.ndarray, needed: np.ndarray | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of the windows of this length that stay within a row, are literal enough and hold a needed token."""
     n = len(row) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -102,6 +110,9 @@ def _windows(row: np.ndarray, template: np.ndarray, slot: np.ndarray, length: in
         rolled += template[k : n + k] * _PLACE[k]
     slots = np.concatenate(([0], np.cumsum(slot)))
     fits = (row[:n] == row[length - 1 :]) & (length - (slots[length:] - slots[:-length]) >= LEAST_LITERAL * length)
+    if needed is not None:
+        held = np.concatenate(([0], np.cumsum(needed)))
+        fits &= held[length:] > held[:-length]
     return np.flatnonzero(fits), mix64(rolled[fits])
 
 
@@ -128,15 +139,16 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             part = batch.slice(first, 256)
-            row, template, value, slot = _templates(part.column(1).to_pylist(), words)
+            row, value, templates = _templates(part.column(1).to_pylist(), words)
             sizes = np.bincount(row, minlength=part.num_rows)
             starts = np.concatenate(([0], np.cumsum(sizes)))
             for length in range(LEAST_TOKENS, WINDOW + 1):
-                at, hashes = _windows(row, template, slot, length)
-                own = sizes[row[at]]
-                fits = own >= WINDOW if length == WINDOW else own == length
-                at, hashes = at[fits], hashes[fits]
-                yield _found(part.column(0), row[at], sizes, at, at - starts[row[at]], hashes, length, value, slot)
+                for template, slot, needed in templates:
+                    at, hashes = _windows(row, template, slot, needed, length)
+                    own = sizes[row[at]]
+                    fits = own >= WINDOW if length == WINDOW else own == length
+                    at, hashes = at[fits], hashes[fits]
+                    yield _found(part.column(0), row[at], sizes, at, at - starts[row[at]], hashes, length, value, slot)
 
 
 def _bits_of(hashes: DataFrame) -> np.ndarray:
@@ -170,11 +182,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         for batch in batches:
             for first in range(0, batch.num_rows, 128):
                 part = batch.slice(first, 128)
-                row, template, value, slot = _templates(part.column(1).to_pylist(), words)
+                row, value, templates = _templates(part.column(1).to_pylist(), words)
                 sizes = np.bincount(row, minlength=part.num_rows)
                 starts = np.concatenate(([0], np.cumsum(sizes)))
-                for length in lengths:
-                    at, hashes = _windows(row, template, slot, length)
+                for length, (template, slot, needed) in product(lengths, templates):
+                    at, hashes = _windows(row, template, slot, needed, length)
                     place = hashes & np.uint64(FILTER_BITS - 1)
                     held = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                     at, hashes = at[held], hashes[held]

@@ -21,7 +21,7 @@ HASHES, SHIFTS, FIELDS = 3, 20, 3  # three hashes, of which 20 shifts give three
 LANES = HASHES * SHIFTS * FIELDS
 FIELD_BITS = 20
 MASK = sum(1 << (FIELD_BITS * k) for k in range(FIELDS))
-SENTENCE = r"[.!?]+\s+|\n"
+SENTENCE = r"[.!?]+(?:[^\S\n]+|(?=\n)|\z)|\n"  # never across paragraphs
 GROUP_ROWS = 1000
 CELLS = 1 << 18
 

@@ -74,7 +74,7 @@ def text_model(labelled: DataFrame) -> np.ndarray:
 
 
 def _text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """Adds ``evidence``, the tempered log likelihood by language, and ``letters``, the number of trigrams; drops text."""
+    """Adds ``evidence``, the tempered log likelihood by language, and ``letters``, their number in bytes; drops text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     names = [c for c in rows.columns if c != "text"]
     at = rows.columns.index("text")
@@ -89,8 +89,9 @@ def _text_scores(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 sums = np.stack([np.bincount(row, weights=t[bucket], minlength=end - first) for t in table], axis=1)
                 mean = sums / np.maximum(n, 1)[:, None]
                 evidence = mean * (TEMPER * np.log1p(n / TEMPER))[:, None]
+                letters = np.diff(np.concatenate(([0], np.cumsum(_LETTER[buf] != 32)))[offsets])
                 own = {c: batch.column(c).slice(first, end - first) for c in names}
-                yield pa.record_batch(own | {"evidence": pa.array(evidence.tolist(), pa.list_(pa.float64())), "letters": pa.array(n, pa.int64())})
+                yield pa.record_batch(own | {"evidence": pa.array(evidence.tolist(), pa.list_(pa.float64())), "letters": pa.array(letters, pa.int64())})
 
     return rows.mapInArrow(score, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", evidence array<double>, letters bigint")
 
