@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import quality, reports, scoring, timeseries, workflow  # noqa: F401
+from sparkloom.plans import quality, reports, scoring, streams, timeseries, workflow  # noqa: F401
 from sparkloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
