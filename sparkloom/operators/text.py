@@ -80,4 +80,4 @@ def table_rows(docs: DataFrame) -> DataFrame:
     lines = docs.select("document_id", F.posexplode(F.split("content", "\n")).alias("line", "raw"))
     rows = lines.where(F.rlike(F.trim("raw"), F.lit(r"^\|.*\|$")) & ~F.rlike("raw", F.lit(r"^[\s|:-]+$")))
     inner = F.regexp_replace(F.trim("raw"), r"^\||\|$", "")
-    return rows.select("document_id", "line", F.transform(F.split(inner, r"\|"), F.trim).alias("cells"))
+    return rows.select("document_id", "line", F.transform(F.split(inner, r"\|"), lambda x: F.trim(x)).alias("cells"))

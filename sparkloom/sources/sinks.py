@@ -49,8 +49,8 @@ def write_snapshot(table: DataFrame, folder: str, number: int) -> str:
 
 
 def newest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The snapshot of the highest number that Spark finished writing."""
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true").load(folder)
+    """The snapshot of the highest number; a write's files are not seen before it is committed."""
+    done = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
     number = done.select(F.max(F.regexp_extract("path", r"v=(\d+)", 1))).head()[0]
     return spark.read.parquet(f"{folder}/v={number}")
 

@@ -13,8 +13,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory: pytest.TempPathFactory) -> Iterator[SparkSession]:
     session = (
-        SparkSession.builder.master("local[2]")
-        .config("spark.sql.shuffle.partitions", "2")
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.default.parallelism", "2")
         .config("spark.driver.memory", "3g")
         .config("spark.ui.enabled", "false")
