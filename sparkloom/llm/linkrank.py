@@ -51,9 +51,9 @@ def _links(pages: DataFrame) -> DataFrame:
 
 
 def host_scores(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """(host, trust, distrust) of pages(host, path, html); each sums to one over the hosts if there are seeds."""
+    """(host, trust, distrust, size) of pages(host, path, html); each sums to one over the hosts, trust and distrust if there are seeds."""
     own = pages.select("host", _rule(F.col("host"), F.col("path"), rules).alias("r")).where("host <> ''")
-    seeds = own.groupBy("host").agg(F.count_if(F.col("r.verdict") == "allow").cast("double").alias("trust"), F.count_if(F.col("r.verdict") == "block").cast("double").alias("distrust"))
+    seeds = own.groupBy("host").agg(F.count("*").cast("double").alias("pages"), F.count_if(F.col("r.verdict") == "allow").cast("double").alias("trust"), F.count_if(F.col("r.verdict") == "block").cast("double").alias("distrust"))
     seeds = stash(seeds, "seeds")
     links = stash(_links(pages), "links")
     hosts = seeds.select("host").union(links.select("dst"))
@@ -67,10 +67,11 @@ def host_scores(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     whole = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     both = stash(both.join(whole, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "edges")
 
-    mass = seeds.agg(F.sum("trust"), F.sum("distrust")).head()
+    *mass, n_pages = seeds.agg(F.sum("trust"), F.sum("distrust"), F.sum("pages")).head()
+    sizes = nodes.join(seeds, "host", "left").select("host", (F.coalesce("pages", F.lit(0.0)) / F.lit(n_pages or 1.0)).alias("size"))
     start = [seeds.select(F.lit(k).alias("kind"), "host", (F.col(k) / F.lit(m)).alias("seed")) for k, m in zip(("trust", "distrust"), mass, strict=True) if m]
     if not start:
-        return nodes.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
+        return sizes.select("host", F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"), "size")
     seed = stash(reduce(DataFrame.union, start).where("seed > 0"), "seed")
     rank = seed.withColumnRenamed("seed", "rank")
     for k in range(1, ROUNDS + 1):
@@ -79,23 +80,25 @@ def host_scores(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
         rank = moved.union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if k % PER_JOB == 0:
             rank = stash(rank, "rank")
-    return rank.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
+    ranks = rank.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("rank"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
+    return sizes.join(ranks, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), "size")
 
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple = RULES, threshold: float = 0.5, neutral: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages(page_id, url, html).
 
     A null address or one without :// has an empty host and path and fits no rule. Where no rule
-    fits, the verdict is block if the host's distrust is more than ``threshold`` of its trust and
-    distrust together, else allow; hosts without either are allowed. Null pages have no links.
+    fits, the verdict is block if the host's distrust is more than ``threshold`` of the sum of its
+    trust, its distrust and ``neutral`` times its share of all pages, so that a little distrust
+    does not block a large host; else allow. Hosts without distrust are allowed. Null pages have no links.
     Repeated rows are judged alike; other columns are ignored; an empty table gives no rows.
     """
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     scores = stash(host_scores(split, rules), "host-scores")
-    scores = scores.select(F.col("host").alias("_host"), "trust", "distrust")
+    scores = scores.select(F.col("host").alias("_host"), "trust", "distrust", "size")
     scores = F.broadcast(scores) if scores.count() <= BROADCAST_ROWS else scores
     judged = split.select("page_id", "host", "path", _rule(F.col("host"), F.col("path"), rules).alias("r")).join(scores, F.col("host") == F.col("_host"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    own = F.when(distrust > threshold * (trust + distrust), "block").otherwise("allow")
+    own = F.when(distrust > threshold * (trust + distrust + neutral * F.coalesce("size", F.lit(0.0))), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
