@@ -27,6 +27,8 @@ INPUTS = 6
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000  # the bound of the training sample, in texts
 EPOCHS, BATCH, LEAST_STEPS = 5, 64, 400
 THRESHOLD = 0.3
+MARGIN = 1.5  # logits by which the threshold stays below the least toxic text that it is to catch, at most
+LEAST_KEPT = 400  # of a smaller sample all texts train, and set the threshold too
 BLOCK = 2048
 
 _APART = np.ones(256, bool)
@@ -212,8 +214,12 @@ def _association(vocabularies: list[_Vocabulary], y: np.ndarray) -> Tables:
     return tables[0], tables[1], tables[2]
 
 
-def fit(texts: list[str], labels: list[int]) -> tuple[Tables, Network]:
-    """Association tables and network from a sample of labelled texts that the driver can hold."""
+def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> tuple[Tables, Network]:
+    """Association tables and network from a sample of labelled texts that the driver can hold.
+
+    clean_weight is how many labelled clean texts one of the sample stands for, over the same for
+    toxic ones; it counts where the threshold is set.
+    """
     y = np.array(labels, np.int64)
     vocabularies = []
     for text in texts:
@@ -227,6 +233,7 @@ def fit(texts: list[str], labels: list[int]) -> tuple[Tables, Network]:
     half = np.arange(len(y)) % 2
     halves = [_association([v for v, h in zip(vocabularies, half, strict=True) if h != k], y[half != k]) for k in (0, 1)]
     usable = [k for k, v in enumerate(vocabularies) if len(v.word)]
+    kept_back = {k for k in usable if k % 8 in (3, 6)} if len(usable) >= LEAST_KEPT else set()  # a quarter, from both halves, to set the threshold on
 
     def inputs(k: int) -> np.ndarray:
         return vocabularies[k].inputs(halves[half[k]])
@@ -243,6 +250,8 @@ def fit(texts: list[str], labels: list[int]) -> tuple[Tables, Network]:
     for _ in range(2):
         xs, masks, ys = [], [], []
         for k in usable:
+            if k in kept_back:
+                continue
             x = inputs(k)[vocabularies[k].word]
             for w in sorted(chosen[k]):
                 got = x[w * STRIDE : w * STRIDE + STEPS]
@@ -255,13 +264,16 @@ def fit(texts: list[str], labels: list[int]) -> tuple[Tables, Network]:
             logit = _window_logits(vocabularies[k], 1, inputs(k), network)[0]
             top[k] = logit.max()
             chosen[k] = {int(np.argmax(logit))} if y[k] else chosen[k] | {int(np.argmax(logit))}
-    # move the logits so that the threshold parts the sample best
-    order = np.argsort(-top)
+    # move the logits so that the threshold parts the texts kept back best, by F1
+    judged = np.array(sorted(kept_back) or usable, np.int64)
+    order = judged[np.argsort(-top[judged])]
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, int(y.sum())))
+    false = clean_weight * np.cumsum(1 - y[order])
+    f1 = 2 * hits / (hits + false + max(1, int(y[judged].sum())))
     best = int(np.argmax(f1))
     below = top[order[best + 1]] if best + 1 < len(order) else top[order[best]] - 2
-    network.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.clip((top[order[best]] + below) / 2, -8, 8))
+    cut = top[order[best]] - min((top[order[best]] - below) / 2, MARGIN)
+    network.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.clip(cut, -25, 25))
     return _association(vocabularies, y), network
 
 
@@ -288,13 +300,15 @@ def _score_rows(column: pa.Array, tables: Tables, network: Network) -> Iterator[
         yield first, top
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, trains: Column) -> tuple[list[str], list[int]]:
-    """A bounded sample of labelled texts: of each label the first by a hash of the id."""
+def _sampled(docs: DataFrame, labels: DataFrame, trains: Column) -> tuple[list[str], list[int], float]:
+    """A bounded sample of labelled texts, of each label the first by a hash of the id; and fit()'s clean_weight."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(trains).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    return [x or "" for x in rows.column("text").to_pylist()], rows.column("toxic").to_pylist()
+    whole = dict(known.groupBy("toxic").count().collect())
+    weight = max(1, whole.get(0, 0) / SAMPLE_CLEAN) / max(1, whole.get(1, 0) / SAMPLE_TOXIC)
+    return [x or "" for x in rows.column("text").to_pylist()], rows.column("toxic").to_pylist(), weight
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
@@ -306,8 +320,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> Dat
     unknown ids are ignored; an id labelled both ways is toxic; without labels of both kinds all
     texts score alike. Repeated rows score alike; other columns are ignored.
     """
-    texts, known = _sampled(docs, labels, ~held_out)
-    shared: Any = docs.sparkSession.sparkContext.broadcast(fit(texts, known))
+    shared: Any = docs.sparkSession.sparkContext.broadcast(fit(*_sampled(docs, labels, ~held_out)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, network = shared.value
