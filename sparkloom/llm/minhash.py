@@ -4,10 +4,12 @@
 2. Texts with equal sets are one class, kept by its smallest id, so exact copies cost one node.
 3. The signature's 32 bands of four give buckets. A pair at similarity 0.75 shares no bucket
    with a probability of about 5e-6.
-4. Within a bucket not all pairs are tried: every member meets the bucket's hub; then, only in
-   buckets whose members are still in several components, more hubs meet the members of other
-   components, eight times as many each round, until every member has been a hub. Pairs inside
-   one component need no test, so a large group of near copies costs about one test a member.
+4. Within a bucket not all pairs are tried: every member meets the bucket's hub. Only buckets
+   whose members are then still in several components are looked at again, and pairs inside one
+   component need no test, so a large group of near copies costs about one test a member. Of
+   small such buckets all pairs across components are candidates. The members of large ones are
+   dealt to blocks, and each pair of blocks is compared in a task of its own, which returns the
+   pairs that pass and no others.
 5. A candidate pair is compared in batches of 16 min-hashes. After each batch the pair is
    dropped if the posterior probability (uniform prior) that its similarity reaches the
    threshold is below ``miss``. Survivors are verified on their full sets of shingles.
@@ -73,7 +75,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "n_shingles": pa.array(sizes),
                     "k1": pa.array(sums.view(np.int64)),
                     "k2": pa.array(others.view(np.int64)),
-                    "bands": pa.array([list(k) if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64())),
+                    "bands": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32)), pa.array(keys[full].ravel())),
                     "sig": pa.array([s.tobytes() if f else None for s, f in zip(signatures, full, strict=True)], pa.binary()),
                 }
             )
@@ -140,23 +142,72 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents with these ids and a few more."""
+def _sets_of(docs: DataFrame, ids: DataFrame, bits: int = 64) -> DataFrame:
+    """(id, shingles) of the documents with these ids and a few more; hashes may be cut to 32 bits for a first test."""
     shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        held = shared.value
         for batch in batches:
             slot = batch.column(2).to_numpy(zero_copy_only=False)
-            part = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+            part = batch.filter(pa.array((held[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
             for first, end, buf, offsets in text_chunks(part.column(1)):
                 found = shingle_sets(buf, offsets)
+                if bits == 32:
+                    found = [np.unique((s >> np.uint64(32)).astype(np.uint32)) for s in found]
                 yield pa.record_batch({"id": part.column(0).slice(first, end - first), "shingles": pa.array([s.tobytes() for s in found], pa.binary())})
 
     slots = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h")).where("doc_id is not null")
     return slots.mapInArrow(sets, "id bigint, shingles binary")
 
 
+SMALL_BUCKET = 12
+BLOCK_ROWS = 512
+
+
+def _compare_blocks(percent: int, miss: float):
+    """Over rows sorted by (key, p, q): the pairs across components and, if p <> q, across blocks that look similar."""
+    fewest = _fewest_matches(percent / 100, miss)
+
+    def pairs_of(rows: list[tuple[int, int, int, bytes]], across: bool) -> Iterator[tuple[int, int]]:
+        ids, comps, blocks = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        sets = [np.frombuffer(r[3], np.uint32) for r in rows]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        signatures = np.stack([signature(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for x in sets])
+        for k in range(len(ids)):
+            rest = np.arange(k + 1, len(ids))
+            fits = (comps[rest] != comps[k]) & (100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k]))
+            rest = rest[fits & (blocks[rest] != blocks[k])] if across else rest[fits]
+            matches = np.zeros(len(rest), np.int64)
+            for n in range(BATCH, HASHES + 1, BATCH):
+                matches += (signatures[rest, n - BATCH : n] == signatures[k, n - BATCH : n]).sum(axis=1)
+                stay = matches >= fewest[n]
+                rest, matches = rest[stay], matches[stay]
+            for j in rest:
+                both = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
+                if 100 * both >= percent * (sizes[k] + sizes[j] - both):
+                    yield min(ids[k], ids[j]), max(ids[k], ids[j])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = [], None
+
+        def flush() -> pa.RecordBatch:
+            found = list(pairs_of(held, own[1] != own[2]))
+            return pa.record_batch({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+        for batch in batches:
+            for key, p, q, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != (key, p, q):
+                    if held:
+                        yield flush()
+                    held, own = [], (key, p, q)
+                held.append(row)
+        if held:
+            yield flush()
+
+    return compare
+
+
 def _verify(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, percent: int, miss: float) -> DataFrame:
     """The pairs (a, b) that reach the similarity."""
     left = signatures.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
@@ -193,28 +244,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
     signatures = stash(signatures, "signatures")
 
     pairs = stash(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    tried, links, hubs = pairs, None, 1
-    while not pairs.isEmpty():
-        found = _verify(pairs, signatures, docs, percent, miss)
-        links = found if links is None else stash(links.union(found), "links")
+    links = _verify(pairs, signatures, docs, percent, miss)
+    labels = components(links)
+    placed = members.select("key", "id", "n").join(labels, members.id == labels.node, "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    split = placed.where("n > 2").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    open_ = stash(placed.join(split, "key", "left_semi"), "open")
+    if not open_.isEmpty():
+        few, many = open_.where(F.col("n") <= SMALL_BUCKET), open_.where(F.col("n") > SMALL_BUCKET)
+        met = few.select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a")).join(few.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b")), "key")
+        met = met.where("a < b and comp_a <> comp_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        blocks = F.ceil(F.col("n") / BLOCK_ROWS)
+        own = F.pmod(F.xxhash64("id"), blocks)
+        short = _sets_of(docs, many.select("id").distinct(), 32).withColumnRenamed("shingles", "short").dropDuplicates(["id"])
+        seats = many.select("key", "id", "comp", own.alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other"))
+        seats = seats.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "comp", "block").join(short, "id")
+        seats = seats.select("key", "p", "q", "id", "comp", "block", "short").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+        more = stash(met.union(seats.mapInArrow(_compare_blocks(percent, miss), "a bigint, b bigint")).distinct(), "pairs")
+        links = stash(links.union(_verify(more, signatures, docs, percent, miss)), "links")
         labels = components(links)
-        placed = members.select("key", "id", "n").join(labels, members.id == labels.node, "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-        split = placed.where(F.col("n") > max(hubs, 2)).groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        open_ = stash(placed.join(split, "key", "left_semi"), "open")
-        if open_.isEmpty():
-            break
-        hubs *= 8
-        chosen = open_.where(F.pmod(F.xxhash64("id", F.lit(hubs)), F.col("n")) < hubs)
-        met = chosen.select("key", F.col("id").alias("hub"), F.col("comp").alias("hub_comp")).join(open_, "key").where("comp <> hub_comp")
-        met = met.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-        pairs = stash(met.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-
-    if links is not None:
-        labels = components(links) if links.isEmpty() else labels
-        classes = classes.join(labels, classes.rep == labels.node, "left").select("n_shingles", "k1", "k2", F.coalesce("comp", "rep").alias("comp"))
-    else:
-        classes = classes.withColumnRenamed("rep", "comp")
+    classes = classes.join(labels, classes.rep == labels.node, "left").select("n_shingles", "k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     placed = rows.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["n_shingles", "k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("comp", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
