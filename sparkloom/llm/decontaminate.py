@@ -2,9 +2,11 @@
 
 Texts are turned into templates: numbers, names and units become typed placeholders, other words
 are lower-cased and lose the punctuation around them (a second template takes names for plain
-words, so that capitals alone hide nothing). Windows of eight template tokens are
-hashed and joined; the values in the placeholders of the matched windows must then map
-consistently, so a question with other numbers or names is caught and a chance match is not.
+words, so that capitals alone hide nothing). Windows of eight template tokens, and of six
+in items that a changed word would leave with too few of eight, are hashed and joined; the values
+in the placeholders of the matched windows must then map consistently, so a question with other
+numbers or names is caught and a chance match is not. What counts is half of an item's windows, a
+run of matched tokens, or nearly all tokens of an item of few.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import stash
@@ -26,6 +28,8 @@ WINDOW = 8
 LEAST_TOKENS = 6
 LEAST_LITERAL = 0.5
 COVERAGE = 0.5
+RUN = 13  # so many matched tokens in a row are a passage of the item
+EDIT = LEAST_TOKENS  # a changed word and the tokens between it and the near end, too few for a window
 FILTER_BITS = 1 << 25
 BROADCAST_ROWS = 200_000
 
@@ -100,6 +104,13 @@ def _templates(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.n
     return row, value, [(template, number | name | unit, None), (plain, number | unit, name)]
 
 
+def _fits(n_tokens: np.ndarray, length: int) -> np.ndarray:
+    """Whether an item of so many tokens has windows of this length: eight, six beside them, or all its tokens."""
+    if length == WINDOW:
+        return n_tokens >= WINDOW
+    return (n_tokens == length) | ((length == LEAST_TOKENS) & (n_tokens >= WINDOW) & (n_tokens < 2 * RUN))
+
+
 def _windows(row: np.ndarray, template: np.ndarray, slot: np.ndarray, needed: np.ndarray | None, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of the windows of this length that stay within a row, are literal enough and hold a needed token."""
     n = len(row) - length + 1
@@ -145,8 +156,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for length in range(LEAST_TOKENS, WINDOW + 1):
                 for template, slot, needed in templates:
                     at, hashes = _windows(row, template, slot, needed, length)
-                    own = sizes[row[at]]
-                    fits = own >= WINDOW if length == WINDOW else own == length
+                    fits = _fits(sizes[row[at]], length)
                     at, hashes = at[fits], hashes[fits]
                     yield _found(part.column(0), row[at], sizes, at, at - starts[row[at]], hashes, length, value, slot)
 
@@ -162,14 +172,34 @@ def _bits_of(hashes: DataFrame) -> np.ndarray:
     return bits
 
 
+def _joined(windows: Column) -> Column:
+    """Of windows (pos, length) by pos: the tokens they cover together, and the longest run of them."""
+
+    def add(state: Column, w: Column) -> Column:
+        end = w["pos"] + w["length"]
+        on = w["pos"] <= state["end"]
+        start, stop = F.when(on, state["start"]).otherwise(w["pos"]), F.greatest(state["end"], end)
+        tokens = state["tokens"] + F.greatest(F.lit(0), end - F.greatest(state["end"], w["pos"]))
+        return F.struct(start.alias("start"), stop.alias("end"), tokens.alias("tokens"), F.greatest(state["run"], stop - start).alias("run"))
+
+    return F.aggregate(windows, F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0).alias("tokens"), F.lit(0).alias("run")), add)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, item_id, matched, windows, coverage, verbatim): the pairs in which docs holds an item.
+    """(doc_id, item_id, matched, windows, coverage, tokens, run, verbatim): the pairs in which docs holds an item.
+
+    docs(doc_id, text), benchmark(item_id, text); other columns are ignored. Windows count under a
+    consistent mapping of their slots along their diagonal. A pair counts if
+
+    * the item's windows that occur in the document are at least ``coverage`` of its windows, or
+    * RUN item tokens in a row lie in matched windows of one diagonal, or
+    * the item has fewer than 2 * RUN tokens and at most EDIT of them are in no matched window of
+      one diagonal, and at least eight are: so one changed word hides no item of 14 tokens or more.
 
-    docs(doc_id, text), benchmark(item_id, text); other columns are ignored. A pair counts if the
-    item's windows that occur in the document, each under a consistent mapping of its slots along
-    its diagonal, are at least ``coverage`` of the item's windows. Items of six or seven tokens
-    are one window; shorter items, null and empty texts on either side, and rows with a null id
-    match nothing. Repeated rows and several items with one text each give their pair once.
+    Items of six or seven tokens are one window; shorter items, null and empty texts on either
+    side, and rows with a null id match nothing. Repeated rows and several items with one text
+    each give their pair once. ``matched``, ``windows`` and ``coverage`` are of windows of eight
+    (or the one window); ``tokens`` and ``run`` are the most on any diagonal.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null").mapInArrow(_item_windows, _FOUND)
@@ -204,7 +234,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     odd = odd.select("doc_id", "item_id", "shift").distinct()
     sure = met.join(odd, ["doc_id", "item_id", "shift"], "left_anti")
     same = F.col("values") == F.col("doc_values")
-    counted = sure.groupBy("doc_id", "item_id", "n_tokens", "length").agg(F.countDistinct("pos").alias("matched"), F.countDistinct(F.when(same, F.col("pos"))).alias("verbatim"))
-    total = items.groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("windows"))
-    out = counted.join(total, "item_id").withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= coverage)
-    return out.select("doc_id", "item_id", "matched", "windows", "coverage", (F.col("verbatim") == F.col("matched")).alias("verbatim"))
+    window = F.struct("pos", "length")
+    main = F.col("length") == F.least("n_tokens", F.lit(WINDOW))
+    diagonals = sure.groupBy("doc_id", "item_id", "n_tokens", "shift").agg(
+        F.collect_set(window).alias("held"), F.collect_set(F.when(same, window)).alias("equal"), F.collect_set(F.when(main, F.col("pos"))).alias("main")
+    )
+    joined = _joined(F.array_sort("held"))
+    pairs = diagonals.withColumn("joined", joined).groupBy("doc_id", "item_id", "n_tokens").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("main")))).alias("matched"),
+        F.max("joined.tokens").alias("tokens"),
+        F.max("joined.run").alias("run"),
+        (F.size(F.array_distinct(F.flatten(F.collect_list("held")))) == F.size(F.array_distinct(F.flatten(F.collect_list("equal"))))).alias("verbatim"),
+    )
+    total = items.where(main).groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("windows"))
+    out = pairs.join(total, "item_id", "left").withColumn("windows", F.coalesce("windows", F.lit(0))).withColumn("coverage", F.when(F.col("windows") > 0, F.col("matched") / F.col("windows")).otherwise(0.0))
+    few = (F.col("n_tokens") < 2 * RUN) & (F.col("tokens") >= F.greatest(F.lit(WINDOW), F.col("n_tokens") - EDIT))
+    out = out.where((F.col("coverage") >= coverage) | (F.col("run") >= RUN) | few)
+    return out.select("doc_id", "item_id", "matched", "windows", "coverage", "tokens", "run", "verbatim")

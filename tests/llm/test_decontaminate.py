@@ -59,3 +59,23 @@ def test_equal_items_and_very_long_texts(spark):
     docs = spark.createDataFrame([(1, sentence(rng, 30000) + " " + item)], DOCS)
     got = contaminated(docs, spark.createDataFrame([(1, item), (2, item)], ITEMS)).collect()
     assert sorted(r["item_id"] for r in got) == [1, 2]
+
+
+def numbered(first: int, n: int) -> list[str]:
+    return [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(first, first + n)]
+
+
+def test_partial_passages_and_copies_with_one_changed_word_are_found(spark):
+    rng = random.Random(4)
+    docs, items, want = [], [(1, " ".join(numbered(0, 200)))], set()
+    docs.append((1, " ".join([sentence(rng, 40), *numbered(70, 60), sentence(rng, 40)])))
+    docs.append((2, " ".join([sentence(rng, 40), *numbered(70, 9), sentence(rng, 40)])))  # nine words are no passage
+    want.add((1, 1))
+    for n in range(14, 31):
+        own = [w + "x" * n for w in numbered(0, n)]
+        items.append((n, " ".join(own)))
+        for at in range(n):
+            docs.append((1000 * n + at, " ".join([sentence(rng, 20), *own[:at], "changed", *own[at + 1 :], sentence(rng, 20)])))
+            want.add((1000 * n + at, n))
+    got = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
