@@ -12,8 +12,7 @@ run of matched tokens, or nearly all tokens of an item of few.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import product
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,11 +71,15 @@ class _Words(dict):
 _UNIT_SET = frozenset(UNITS)
 
 
-def _templates(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]]:
-    """Of all tokens of the texts: row, value hash, and two templates as (hash, is a placeholder, needed).
+_Template = tuple[np.ndarray, np.ndarray, np.ndarray | None, int]  # hash, is a placeholder, needed, and of the needed at least how many
+
+
+def _templates(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.ndarray, Callable[[int], list[_Template]]]:
+    """Of all tokens of the texts: row, value hash, and the templates for windows of a length.
 
     The first template holds names as placeholders; in the second, which capitals do not disturb,
-    they are plain words, and only windows with a name need it.
+    they are plain words, and only windows with a name need it. The third is literal, for windows
+    with too many numbers and units for the others; windows under LEAST_TOKENS have no other.
     """
     if len(words) > 300_000:
         words.reset()
@@ -101,7 +104,14 @@ def _templates(texts: list[str | None], words: _Words) -> tuple[np.ndarray, np.n
     plain[unit] = _KIND[_SLOTS[_UNIT]]
     template = plain.copy()
     template[name] = _KIND[_SLOTS[_CAPITAL]]
-    return row, value, [(template, number | name | unit, None), (plain, number | unit, name)]
+    values, none = number | unit, np.zeros(len(index), bool)
+
+    def templates(length: int) -> list[_Template]:
+        if length < LEAST_TOKENS:
+            return [(value, none, None, 0)]
+        return [(template, values | name, None, 0), (plain, values, name, 1), (value, none, values, int((1 - LEAST_LITERAL) * length) + 1)]
+
+    return row, value, templates
 
 
 def _fits(n_tokens: np.ndarray, length: int) -> np.ndarray:
@@ -111,20 +121,30 @@ def _fits(n_tokens: np.ndarray, length: int) -> np.ndarray:
     return (n_tokens == length) | ((length == LEAST_TOKENS) & (n_tokens >= WINDOW) & (n_tokens < 2 * RUN))
 
 
-def _windows(row: np.ndarray, template: np.ndarray, slot: np.ndarray, needed: np.ndarray | None, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of the windows of this length that stay within a row, are literal enough and hold a needed token."""
+def _windows(row: np.ndarray, template: np.ndarray, slot: np.ndarray, needed: np.ndarray | None, least: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of the windows of this length that stay within a row, are literal enough and hold the least of needed tokens."""
     n = len(row) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    rolled = np.full(n, length, np.uint64)
-    for k in range(length):
-        rolled += template[k : n + k] * _PLACE[k]
     slots = np.concatenate(([0], np.cumsum(slot)))
     fits = (row[:n] == row[length - 1 :]) & (length - (slots[length:] - slots[:-length]) >= LEAST_LITERAL * length)
     if needed is not None:
         held = np.concatenate(([0], np.cumsum(needed)))
-        fits &= held[length:] > held[:-length]
-    return np.flatnonzero(fits), mix64(rolled[fits])
+        fits &= held[length:] - held[:-length] >= least
+    at = np.flatnonzero(fits)
+    rolled = np.full(len(at), length, np.uint64)
+    for k in range(length):
+        rolled += template[at + k] * _PLACE[k]
+    return at, mix64(rolled)
+
+
+def _firsts(row: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of each hash its first place in each row."""
+    order = np.lexsort((at, hashes, row[at]))
+    own, same = row[at][order], hashes[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (own[1:] != own[:-1]) | (same[1:] != same[:-1])
+    return np.sort(order[new])
 
 
 _FOUND = "id bigint, length int, n_tokens int, pos int, hash bigint, values array<bigint>, slots array<boolean>"
@@ -153,9 +173,9 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             row, value, templates = _templates(part.column(1).to_pylist(), words)
             sizes = np.bincount(row, minlength=part.num_rows)
             starts = np.concatenate(([0], np.cumsum(sizes)))
-            for length in range(LEAST_TOKENS, WINDOW + 1):
-                for template, slot, needed in templates:
-                    at, hashes = _windows(row, template, slot, needed, length)
+            for length in range(1, WINDOW + 1):
+                for template, slot, needed, least in templates(length):
+                    at, hashes = _windows(row, template, slot, needed, least, length)
                     fits = _fits(sizes[row[at]], length)
                     at, hashes = at[fits], hashes[fits]
                     yield _found(part.column(0), row[at], sizes, at, at - starts[row[at]], hashes, length, value, slot)
@@ -188,23 +208,25 @@ def _joined(windows: Column) -> Column:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, matched, windows, coverage, tokens, run, verbatim): the pairs in which docs holds an item.
 
-    docs(doc_id, text), benchmark(item_id, text); other columns are ignored. Windows count under a
-    consistent mapping of their slots along their diagonal. A pair counts if
+    docs(doc_id, text), benchmark(item_id, text); other columns are ignored. Windows count unless
+    a slot of theirs differs from the item and from what most places of its value became along the
+    diagonal. A pair counts if
 
     * the item's windows that occur in the document are at least ``coverage`` of its windows, or
     * RUN item tokens in a row lie in matched windows of one diagonal, or
     * the item has fewer than 2 * RUN tokens and at most EDIT of them are in no matched window of
       one diagonal, and at least eight are: so one changed word hides no item of 14 tokens or more.
 
-    Items of six or seven tokens are one window; shorter items, null and empty texts on either
-    side, and rows with a null id match nothing. Repeated rows and several items with one text
+    Items of six or seven tokens are one window; shorter items are one literal window, so only
+    capitals and punctuation around words may differ. Null and empty texts on either side and rows
+    with a null id match nothing. Repeated rows and several items with one text
     each give their pair once. ``matched``, ``windows`` and ``coverage`` are of windows of eight
     (or the one window); ``tokens`` and ``run`` are the most on any diagonal.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null").mapInArrow(_item_windows, _FOUND)
     items = stash(items.dropDuplicates(["id", "pos", "hash"]), "item-windows")
-    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most three
+    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most eight
     shared = spark.sparkContext.broadcast(_bits_of(items))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,11 +237,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 row, value, templates = _templates(part.column(1).to_pylist(), words)
                 sizes = np.bincount(row, minlength=part.num_rows)
                 starts = np.concatenate(([0], np.cumsum(sizes)))
-                for length, (template, slot, needed) in product(lengths, templates):
-                    at, hashes = _windows(row, template, slot, needed, length)
+                for length, (template, slot, needed, least) in ((n, t) for n in lengths for t in templates(n)):
+                    at, hashes = _windows(row, template, slot, needed, least, length)
                     place = hashes & np.uint64(FILTER_BITS - 1)
                     held = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
                     at, hashes = at[held], hashes[held]
+                    if length < LEAST_TOKENS:  # a short item is as good once as many times
+                        first_at = _firsts(row, at, hashes)
+                        at, hashes = at[first_at], hashes[first_at]
                     if len(at):
                         yield _found(part.column(0), row[at], sizes, at, at - starts[row[at]], hashes, length, value, slot)
 
@@ -229,10 +254,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     met = found.join(known, ["hash", "length"]).withColumn("shift", F.col("doc_pos") - F.col("pos"))
     met = stash(met.select("doc_id", "item_id", "shift", "pos", "n_tokens", "length", "values", "doc_values", "slots").distinct(), "met")
-    filled = met.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("values", "doc_values", "slots")).alias("x")).where("x.slots")
-    odd = filled.groupBy("doc_id", "item_id", "shift", "x.values").agg(F.min("x.doc_values").alias("low"), F.max("x.doc_values").alias("high")).where("low <> high")
-    odd = odd.select("doc_id", "item_id", "shift").distinct()
-    sure = met.join(odd, ["doc_id", "item_id", "shift"], "left_anti")
+    diagonal = ["doc_id", "item_id", "shift"]
+    filled = met.select(*diagonal, F.posexplode(F.arrays_zip("values", "doc_values", "slots")).alias("k", "x"), "pos").where("x.slots")
+    filled = filled.select(*diagonal, (F.col("pos") + F.col("k")).alias("token"), F.col("x.values").alias("value"), F.col("x.doc_values").alias("doc_value")).distinct()
+    counted = filled.groupBy(*diagonal, "value", "doc_value").agg(F.count("*").alias("n"))
+    several = counted.groupBy(*diagonal, "value").agg(F.collect_list(F.struct("doc_value", "n")).alias("took"), F.sum("n").alias("all")).where(F.size("took") > 1)
+    # what most of the value's places became, or what stayed the value itself, is consistent
+    several = several.withColumn("took", F.filter("took", lambda x: (2 * x["n"] <= F.col("all")) & (x["doc_value"] != F.col("value"))))
+    odd = several.groupBy(*diagonal).agg(F.flatten(F.collect_list(F.transform("took", lambda x: F.struct(F.col("value"), x["doc_value"].alias("doc_value"))))).alias("odd"))
+    filling = F.arrays_zip("values", "doc_values", "slots")
+    wrong = F.exists(filling, lambda x: x["slots"] & F.array_contains("odd", F.struct(x["values"].alias("value"), x["doc_values"].alias("doc_value"))))
+    sure = met.join(odd, diagonal, "left").where(F.col("odd").isNull() | ~wrong)
     same = F.col("values") == F.col("doc_values")
     window = F.struct("pos", "length")
     main = F.col("length") == F.least("n_tokens", F.lit(WINDOW))

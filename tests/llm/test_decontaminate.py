@@ -79,3 +79,23 @@ def test_partial_passages_and_copies_with_one_changed_word_are_found(spark):
             want.add((1000 * n + at, n))
     got = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_one_odd_value_numbers_and_short_items(spark):
+    rng = random.Random(5)
+    words = numbered(0, 60)
+    words[12] = words[45] = "40"
+    item = " ".join(words)
+    row = "3 14 15 92 65 35 89 79 32 38 46 26 43 38 32 79"
+    docs = [
+        (1, sentence(rng, 20) + " " + " ".join([*words[:45], "45", *words[46:]]) + " " + sentence(rng, 20)),
+        (2, sentence(rng, 20) + " " + row + " " + sentence(rng, 20)),
+        (3, sentence(rng, 20) + " " + row.replace("3", "4") + " " + sentence(rng, 20)),
+        (4, "they asked: Name the Capital, " * 3 + sentence(rng, 20)),
+        (5, "name the big capital"),
+        (6, "one 7 8 9"),
+        (7, "one 7 8 8"),
+    ]
+    items = [(1, item), (2, row), (3, "name the capital"), (4, "7 8 9")]
+    got = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 1), (2, 2), (4, 3), (6, 4)]
