@@ -19,9 +19,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that have 16 charact
 LEAST_VALUE, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "guess")
 
-# Words near which a value is a credential, a cheap test for them, and words common in passwords.
+# Words near which a value is a credential (at the start of a part of a name, as in DB_PWD and dbPin; the
+# words of ASSIGN anywhere), a cheap test for them, and words common in passwords.
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|bearer|credentials?|login)["']?\x20*(?::|=|->|\bis\b)\x20*["'`]?([^\s"'`<>,;]{6,})""",
+    r"""(?:password|passwd|secret|token|api_?key|(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth|bearer|credentials?|login))["']?\x20*(?::|=|->|\bis\b)\x20*["'`]?([^\s"'`<>,;]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "auth", "bearer", "credential", "login")
@@ -134,7 +135,10 @@ def find_spans(text: str, least_cost: float = 9.0) -> tuple[list[tuple[str, int,
             a, b = m.span(1)
             value = m[1].rstrip(".!?)]}:")
             b = a + len(value)
-            if len(value) >= 6 and not any(s < b and a < e for _, s, e in base) and guess_cost(value) >= least_cost and not value.isalpha():
+            if len(value) < 6 or any(s <= a and b <= e for _, s, e in base):
+                continue
+            # of a value that a base span covers in part, the rest is secret too
+            if any(s < b and a < e for _, s, e in base) or guess_cost(value) >= least_cost:
                 added.append(("guess", a, b))
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=order), sorted(added, key=order)

@@ -89,6 +89,24 @@ def test_guess_cost_adds_credentials_in_context_only():
     assert secrets.find_spans("password: password1") == ([], [])
 
 
+def test_guess_cost_reads_names_with_prefixes_letters_and_values_found_in_part():
+    def guessed(text: str) -> list[str]:
+        return [text[a:b] for k, a, b in secrets.find_spans(text)[1]]
+
+    for name in ("DB_PASSWORD=", "my_secret: ", "user_pwd = ", "dbPin=", "mypassword=", "app.auth: ", "X-Api-Key: "):
+        assert guessed(name + "Tr0ub!4dor&3zQ9x") == ["Tr0ub!4dor&3zQ9x"], name
+    assert guessed("pwd=QzkVhWxJqPbT") == ["QzkVhWxJqPbT"]
+    assert guessed("pwd=PASSWORDsummer") == [] and guessed("the spin: Tr0ub!4dor&3zQ9x") == []
+    assert guessed("password=abcdefghijkl$RestOfSecret") == ["abcdefghijkl$RestOfSecret"]
+    assert guessed("password=abcdefghijklRestOfSecret") == []
+
+
+def test_redaction_leaves_no_rest_of_a_value(spark):
+    df = spark.createDataFrame([(1, "a password=abcdefghijkl$RestOfSecret b", 5), (2, "DB_PASSWORD=Tr0ub!4dor&3zQ9x", 5)], "doc_id bigint, text string, n_chars bigint")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df).collect()}
+    assert got == {1: "a [SECRET] b", 2: "DB_PASSWORD=[SECRET]"}
+
+
 def test_redaction_removes_every_span(spark):
     df = spark.createDataFrame([(1, "a password=abcdef0123456789abcdef b", 5, None), (2, None, None, "x"), (3, "clean", 5, "y")], "doc_id bigint, text string, n_chars bigint, lang string")
     got = {r["doc_id"]: r for r in secrets.redact_secrets(df).collect()}
