@@ -103,6 +103,26 @@ def test_language_by_text_and_by_context(spark):
     assert langid.identify(df.where("false"), model).count() == 0
 
 
+def test_every_declared_language_is_learnt_and_unknown_text_is_rejected(spark):
+    rng = random.Random(6)
+
+    def text(syllables: list[str], n: int) -> str:
+        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+    speech = {k: [c + v for c in cs for v in vs] for k, cs, vs in (("aa", "bdg", "ae"), ("bb", "ptk", "io"), ("cc", "mnl", "uy"), ("dd", "szv", "eo"), ("nl", "rhj", "au"), ("zz", "fwx", "iy"))}
+    train = spark.createDataFrame([(k, text(v, 60)) for k, v in speech.items() if k != "zz" for _ in range(80)], "lang string, text string")
+    model = langid.text_model(train)
+    rows = [(k, text(v, 60)) for k, v in enumerate(speech.values())]
+    rows += [(10 + k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40))) for k in range(5)]
+    rows += [(20 + k, text(speech["nl"], 4)) for k in range(20)]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], "id bigint, text string, declared string, suffix string, host string")
+    got = {r["id"]: r for r in langid.identify(df, model).collect()}
+    assert [got[k]["lang"] for k in range(6)] == ["aa", "bb", "cc", "dd", "nl", "und"]
+    assert [got[k]["accepted"] for k in range(6)] == [True] * 5 + [False]
+    assert not any(got[10 + k]["accepted"] for k in range(5))
+    assert all(got[20 + k]["lang"] == "nl" and got[20 + k]["accepted"] for k in range(20))
+
+
 def test_page_rows(spark):
     pages = [(1, "https://www.a.example.de/de/x?y", "<html LANG='de-AT'><script>the</script><p>Hallo &amp; Welt</p><!-- the -->"), (2, None, None), (3, "nothing", "<p>x")]
     got = {r["id"]: r for r in langid.page_rows(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
