@@ -1,46 +1,68 @@
-"""Helpers shared by the corpus operators: reading tables and cutting lineage in the shared folder."""
+"""Helpers shared by the corpus operators: reading tables, cutting lineage in the shared folder, and splitting hot keys."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-TEXTS_PER_BATCH = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long, so the session's Arrow batches are made to hold few rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_PER_BATCH))
+#: A key that holds more than one in so many rows is hot. There are at most so many of them, so they may be collected and broadcast.
+HOT = 10_000
+LEAST_HOT = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of this machine only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The tables stay until that folder is cleared, as what is returned may still read them.
+    """
     spark = df.sparkSession
-    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(df: DataFrame, key: str) -> list[tuple[int, int]]:
+    """(key, parts) of the keys with more than LEAST_HOT rows and more than a HOT-th of all: HOT keys at most."""
+    share = max(LEAST_HOT, df.count() // HOT)
+    found = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > share)
+    return [(row[key], -(-row["n"] // share)) for row in found.collect()]
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right on key, where left may hold a key very often and right holds each key once.
+
+    The rows of a hot key are dealt to parts by their hash, and right's row of it is copied for each
+    part (HOT copies at most, twice over), so no task gets all rows of one key. left should be
+    cheap to read, as it is counted first; its columns should be hashable.
+    """
+    hot = hot_keys(left, key)
+    if not hot:
+        return left.join(right, key, how)
+    parts = F.broadcast(left.sparkSession.createDataFrame(hot, f"{key} {left.schema[key].dataType.simpleString()}, _parts bigint"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("_parts")), F.lit(0))
+    dealt = left.join(parts, key, "left").withColumn("_part", salt).drop("_parts")
+    copied = right.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,7 +72,3 @@ def crc_mod(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo modulus; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

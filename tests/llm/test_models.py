@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import brown, langid, linkrank, toxicity
 from sparkloom.llm.runtime import crc_mod
+from sparkloom.llm.textkit import word_hashes
 from tests.llm import brute
 
 DOCS = "doc_id bigint, text string"
@@ -24,12 +25,81 @@ def two_tongues(n: int) -> list[tuple[int, str]]:
     return [(k, " ".join(rng.choice(tongues[k % 2]) for _ in range(rng.randrange(1, 60)))) for k in range(n)]
 
 
-@pytest.mark.parametrize("most", [1 << 20, 8])
-def test_base_scores_equal_brute_force_and_classes_help(spark, monkeypatch, most):
-    monkeypatch.setattr(brown, "MAX_HEAD", most)
+def plain_class_scores(texts, trains, classes, core_words, head_words):
+    """The class model by loops over words, with the exchange itself given: score by row."""
+    rows = [[*brute.words(t), None] for t in texts]
+    seen = [r for r, own in zip(rows, trains, strict=True) if own]
+    steps = Counter(p for r in seen for p in zip([None, *r[:-1]], r, strict=True))
+    n = Counter(w for r in seen for w in r if w is not None)
+    hashed = {}
+    for w in {w for r in rows for w in r if w is not None}:
+        buf = np.frombuffer(w.encode(), np.uint8)
+        hashed[w] = int(word_hashes(buf, np.array([0]), np.array([len(buf)]))[0])
+    level = {w: math.floor(math.log2(c) * 2) for w, c in n.items()}
+    t = 0
+    while sum(x >= t for x in level.values()) + 1 > head_words + 1:
+        t += 1
+    head = [w for w in sorted(n, key=lambda w: (-n[w], hashed[w])) if level[w] >= t]
+    core = head[:core_words]
+    inner = [(core.index(a), core.index(b), c) for (a, b), c in sorted(steps.items(), key=str) if a in core and b in core]
+    found = brown.exchange(*(np.array(x) for x in zip(*inner, strict=True)), len(core), classes)
+    end, unknown = classes, classes + 1
+    cls = {None: end} | {w: int(c) for w, c in zip(core, found, strict=True)}
+
+    def placed(words, known, table):
+        """Each word's likeliest class by its neighbours in known."""
+        out = {}
+        for w in words:
+            sums = np.zeros(classes, np.float32)
+            for (a, b), c in steps.items():
+                for b_own, near, before in ((b == w, a, True), (a == w, b, False)):
+                    if b_own and near in known:
+                        each = [math.log((table[known[near], k] if before else table[k, known[near]]) / (table[:, k].sum() if before else table[k].sum())) for k in range(classes)]
+                        sums += np.array(each, np.float32) * c
+            out[w] = int(np.argmax(sums)) if sums.any() else hashed[w] % classes
+        return out
+
+    def table_of(known, own):
+        table = np.zeros((classes + 2, classes + 2))
+        for (a, b), c in steps.items():
+            if a in own and b in own:
+                table[known[a], known[b]] += c
+        return table
+
+    cls |= placed([w for w in head if w not in core], cls, table_of(cls, {None, *core}) + 0.1)
+    table = np.zeros((classes + 2, classes + 2))
+    for (a, b), c in steps.items():
+        if a in cls and b in cls:
+            for x in [cls[a]] + [unknown] * (n[a] == 1):
+                for y in [cls[b]] + [unknown] * (n[b] == 1):
+                    table[x, y] += c
+    every = cls | placed([w for w in n if w not in cls], cls, table + 0.1)
+    for (a, b), c in steps.items():
+        if not (a in cls and b in cls):
+            for x in [every[a]] + [unknown] * (n[a] == 1):
+                for y in [every[b]] + [unknown] * (n[b] == 1):
+                    table[x, y] += c
+    base = (table.sum(axis=0) + 1) / (table.sum() + classes + 2)
+    total = Counter()
+    for w, c in n.items():
+        total[every[w]] += c
+    out = []
+    for r in rows:
+        at = [end] + [every.get(w, unknown) for w in r]
+        score = 0.0
+        for a, b, w in zip(at, at[1:], r, strict=False):
+            score += math.log10((table[a, b] + brown.STRENGTH * base[b]) / (table[a].sum() + brown.STRENGTH)) + (math.log10(n[w] / total[b]) if w in n else 0.0)
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize(("core", "head"), [(2048, 1 << 20), (6, None), (8, 9)])
+def test_base_and_class_scores_equal_brute_force(spark, core, head):
+    rng = random.Random(3)
     rows = two_tongues(150) + [(150, None), (151, ""), (152, "Rare ÜNIQUE \x0b rare"), (3, "repeated row"), (None, "null id")]
+    rows += [(200 + k, " ".join(f"{a}{rng.randrange(40)}" for a in ("once", "seldom", "x", "once"))) for k in range(30)]
     df = spark.createDataFrame([(*r, True) for r in rows], DOCS + ", held_out boolean").repartition(3)
-    got = brown.class_model_scores(df, crc_mod("doc_id", 7) == 2).collect()
+    got = brown.class_model_scores(df, crc_mod("doc_id", 7) == 2, classes=4, core_words=core, head_words=head, rounds=1).collect()
     assert len(got) == len(rows)
     count: Counter = Counter()
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
@@ -37,13 +107,21 @@ def test_base_scores_equal_brute_force_and_classes_help(spark, monkeypatch, most
         if not held(d):
             count.update([*brute.words(t), None])
     n, v = sum(count.values()), len(count)
+    scores = plain_class_scores([t for _, t in rows], [not held(d) for d, _ in rows], 4, core, head or 1 << 40)
     want = Counter()
-    for d, t in rows:
+    for (d, t), score in zip(rows, scores, strict=True):
         tokens = [*brute.words(t), None]
-        want[d, held(d), len(tokens), sum(count[w] > 0 for w in tokens), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens), 6)] += 1
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    if most > 100:
-        assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens)
+        want[d, held(d), len(tokens), sum(count[w] > 0 for w in tokens), n, round(base, 6), round(score, 4), round(10 ** (-score / len(tokens)), 2)] += 1
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 4), round(r["perplexity"], 2)) for r in got) == want
+    assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
+def test_class_score_of_a_long_text(spark):
+    words = " ".join(f"w{k % 700}" for k in range(400_000))
+    df = spark.createDataFrame([(1, words), (2, words), (3, "w1 w2 w3")], DOCS)
+    got = {r["doc_id"]: r for r in brown.class_model_scores(df, F.col("doc_id") == 2).collect()}
+    assert got[2]["n_tokens"] == 400_001 and got[2]["score"] == got[1]["score"] and got[2]["perplexity"] < 701
 
 
 def test_scores_without_training_rows_or_any_rows(spark):
