@@ -39,21 +39,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, key: str) -> list[tuple[int, int]]:
-    """(key, parts) of the keys with more than LEAST_HOT rows and more than a HOT-th of all: HOT keys at most."""
+def hot_keys(df: DataFrame, key: str, counts: DataFrame | None = None) -> list[tuple[int, int]]:
+    """(key, parts) of the keys with more than LEAST_HOT rows of df and more than a HOT-th of all: HOT keys at most.
+
+    counts(key, n), where it is known already, holds the rows of every key of df that may be hot.
+    """
     share = max(LEAST_HOT, df.count() // HOT)
-    found = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > share)
-    return [(row[key], -(-row["n"] // share)) for row in found.collect()]
+    if counts is None:
+        counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return [(row[key], -(-row["n"] // share)) for row in counts.where(F.col("n") > share).select(key, "n").collect()]
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot: list[tuple[int, int]] | None = None) -> DataFrame:
     """left joined with right on key, where left may hold a key very often and right holds each key once.
 
     The rows of a hot key are dealt to parts by their hash, and right's row of it is copied for each
     part (HOT copies at most, twice over), so no task gets all rows of one key. left should be
-    cheap to read, as it is counted first; its columns should be hashable.
+    cheap to read, as it is counted first unless hot is given; its columns should be hashable.
     """
-    hot = hot_keys(left, key)
+    hot = hot_keys(left, key) if hot is None else hot
     if not hot:
         return left.join(right, key, how)
     parts = F.broadcast(left.sparkSession.createDataFrame(hot, f"{key} {left.schema[key].dataType.simpleString()}, _parts bigint"))

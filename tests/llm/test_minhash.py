@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkloom.llm import minhash
+from sparkloom.llm import minhash, runtime
 from sparkloom.llm.graph import components
 from sparkloom.llm.textkit import shingle_sets, text_chunks, word_bounds
 from tests.llm import brute
@@ -55,6 +55,36 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_an_id_with_several_texts_links_all_that_any_of_them_links(spark):
+    rng = random.Random(8)
+    a, b = ([rng.choice("abcdefghijklmnop") + str(k) for k in range(60)] for _ in range(2))
+    rows = [(1, " ".join(a)), (5, " ".join([*a, "z"])), (5, " ".join(b)), (9, " ".join([*b, "q"])), (5, ""), (7, "alone"), (7, "alone"), (8, None)]
+    want = sorted([(1, 1), (5, 1), (5, 1), (9, 1), (5, 5), (7, 7), (7, 7), (8, 8)])
+    for parts in (1, 2, 3, 5, 7):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        assert sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df).collect()) == want
+
+
+def test_a_pair_at_the_threshold_counts_in_large_buckets_too(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
+    words = [f"w{k}" for k in range(2000)]
+    rows = {k: " ".join(words[: 4 + 1500 + d]) for k, d in enumerate((0, 500, 251, 60, 499, 496))}
+    df = spark.createDataFrame(list(rows.items()), SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == brute.components(rows)
+
+
+def test_hot_keys_are_dealt_to_parts(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "LEAST_HOT", 4)
+    rows = texts() | {1000 + k: "one and the same text of more than five words" for k in range(40)}
+    df = spark.createDataFrame(list(rows.items()), SCHEMA)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == brute.components(rows)
+    left, right = spark.createDataFrame([(k % 3 if k % 5 else None, k) for k in range(90)], "key bigint, x bigint"), spark.createDataFrame([(0, "a"), (2, "b")], "key bigint, y string")
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, runtime.split_join(left, right, "key", how).collect()), key=str) == sorted(map(tuple, left.join(right, "key", how).collect()), key=str)
+
+
 def test_fewest_matches_follow_the_posterior():
     fewest = minhash._fewest_matches(0.75, 1e-6)
     assert all(0 <= m <= n for n, m in fewest.items())
