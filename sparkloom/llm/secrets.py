@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from datetime import date
-from math import lgamma, log, log10
+from heapq import heappop, heappush
+from itertools import accumulate
+from math import inf, lgamma, log, log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +41,11 @@ KEYBOARD_ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 
 _LEET = str.maketrans("@4301!57$", "aaeoiists")
 _DATE = re.compile(r"(?:(?P<y>19\d\d|20\d\d)(?P<s>[-/._]?)(?P<m>\d\d?)(?P=s)(?P<d>\d\d?)|(?P<d2>\d\d?)(?P<t>[-/._]?)(?P<m2>\d\d?)(?P=t)(?P<y2>19\d\d|20\d\d))")
-_LONGEST = 24
+_YEAR = re.compile(r"(?:19|20)\d\d")
+LONGEST_WORD = 24
+RANKED = 20_000  # words of the corpus that count as guessable, 1 MB when broadcast
+LEAST_COST = 9.0
+KIND_COST = log10(6)  # the choice between six kinds of segment
 _near: dict[str, set[str]] = {}
 for _r, _row in enumerate(KEYBOARD_ROWS):
     for _k, _c in enumerate(_row):
@@ -62,86 +69,156 @@ def _is_date(m: re.Match) -> bool:
     return True
 
 
-def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
-    """log10 of the guesses that the cheapest segmentation of value needs.
-
-    Segments are dictionary words (rank, with case and substitution variants), dates and years,
-    repeats of a character, alphabet or digit runs, keyboard walks, and brute-force spans; k
-    segments cost k! orders more. An empty value costs 0. The time is linear in the length.
-    """
-    ranks = _RANKS if ranks is None else ranks
-    low, n = value.lower(), len(value)
-    if len(low) != n:  # a character whose lower case is longer
-        low = "".join(c.lower()[0] for c in value)
-    plain = low.translate(_LEET)
-    best = [0.0] + [float("inf")] * n
-    parts = [0] * (n + 1)
-
-    def offer(i: int, j: int, cost: float) -> None:
-        k = parts[i] + 1
-        total = best[i] + cost + log10(k)  # the product of 1..k is k!
-        if total < best[j]:
-            best[j], parts[j] = total, k
-
-    for i in range(n):
-        offer(i, i + 1, _char_cost(value[i]) - log10(parts[i] + 1) + (0.3 if i == 0 or parts[i] == 0 else 0.0))
-        run = 1
-        while i + run < n and low[i + run] == low[i]:
-            run += 1
-        if run >= 3:
-            offer(i, i + run, _char_cost(low[i]) + log10(run))
-        for step in (1, -1):
-            run = 1
-            while i + run < n and low[i + run].isalnum() and ord(low[i + run]) - ord(low[i + run - 1]) == step:
-                run += 1
-            if run >= 3:
-                offer(i, i + run, log10(72) + log10(run))
-        run, turns = 1, 0
-        while i + run < n and low[i + run] in _near.get(low[i + run - 1], ()):
-            turns += run > 1 and (ord(low[i + run]) - ord(low[i + run - 1]) > 0) != (ord(low[i + run - 1]) - ord(low[i + run - 2]) > 0)
-            run += 1
-        if run >= 4:
-            offer(i, i + run, log10(47) + log10(run) + (turns + 1) * log10(4))
-        if low[i].isdigit():
+class _Runs:
+    """Ends of the runs of one kind; a run that was followed once is not followed again."""
+
+    def __init__(self, goes_on: Callable[[int], bool], n: int) -> None:
+        self.goes_on, self.n, self.end = goes_on, n, 0
+
+    def end_from(self, i: int) -> int:
+        """The end of the run that holds i; i never decreases."""
+        if i >= self.end - 1:
+            self.end = i + 1
+            while self.end < self.n and self.goes_on(self.end):
+                self.end += 1
+        return self.end
+
+
+class _Value:
+    """A value and the segments that can start at a position of it."""
+
+    def __init__(self, value: str, ranks: dict[str, int]) -> None:
+        low = value.lower()
+        if len(low) != len(value):  # a character whose lower case is longer
+            low = "".join(c.lower()[0] for c in value)
+        self.value, self.low, self.plain, self.ranks = value, low, low.translate(_LEET), ranks
+        rises = lambda k: ord(low[k]) > ord(low[k - 1])
+        self.same = _Runs(lambda k: low[k] == low[k - 1], len(low))
+        self.up, self.down = (_Runs(lambda k, d=d: low[k].isalnum() and ord(low[k]) - ord(low[k - 1]) == d, len(low)) for d in (1, -1))
+        self.turns: list[int] = []  # where a walk changes direction
+
+        def walks(k: int) -> bool:
+            on = low[k] in _near.get(low[k - 1], ())
+            if on and k >= 2 and rises(k) != rises(k - 1) and (not self.turns or self.turns[-1] < k):
+                self.turns.append(k)
+            return on
+
+        self.walk = _Runs(walks, len(low))
+
+    def segments(self, i: int) -> Iterator[tuple[int, float]]:
+        """(end, cost) of the words, dates, years and runs (each to its end) that start at i."""
+        low, plain = self.low, self.plain
+        if (end := self.same.end_from(i)) - i >= 3:
+            yield end, _char_cost(low[i]) + log10(end - i)
+        for run in (self.up, self.down):
+            if (end := run.end_from(i)) - i >= 3:
+                yield end, log10(72) + log10(end - i)
+        if (end := self.walk.end_from(i)) - i >= 4:
+            turns = bisect_left(self.turns, end) - bisect_left(self.turns, i + 2)
+            yield end, log10(47) + log10(end - i) + (turns + 1) * log10(4)
+        if "0" <= low[i] <= "9":
             if (m := _DATE.match(low, i)) and _is_date(m):
-                offer(i, m.end(), log10(365 * 120) + (log10(5) if m["s"] or m["t"] else 0))
-            if re.match(r"(?:19|20)\d\d", low[i : i + 4]):
-                offer(i, i + 4, log10(120))
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = ranks.get(low[i:j])
+                yield m.end(), log10(365 * 120) + (log10(5) if m["s"] or m["t"] else 0)
+            if _YEAR.match(low, i):
+                yield i + 4, log10(120)
+        for j in range(i + 3, min(len(low), i + LONGEST_WORD) + 1):
+            rank = self.ranks.get(low[i:j])
             swapped = rank is None
             if swapped:
-                rank = ranks.get(plain[i:j])
+                rank = self.ranks.get(plain[i:j])
             if rank is not None:
-                ups = sum(a != b for a, b in zip(value[i:j], low[i:j], strict=True))
+                ups = sum(a != b for a, b in zip(self.value[i:j], low[i:j], strict=True))
                 odd = 0.0 if not ups else log10(2) if ups in (1, j - i) else (lgamma(j - i + 1) - lgamma(ups + 1) - lgamma(j - i - ups + 1)) / log(10)
-                offer(i, j, log10(rank + 1) + odd + swapped * log10(4))
-    return best[n]
+                yield j, log10(rank + 1) + odd + swapped * log10(4)
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None, stop: float = inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of value needs; inf if it needs 10 ** stop or more.
+
+    Segments are dictionary words (rank, with case and substitution variants), dates and years,
+    repeats of a character, alphabet or digit runs, keyboard walks, and brute-force spans. Every
+    segment also costs the choice of its kind. An empty value costs 0. Runs are followed once, and
+    only positions that cost less than ``stop`` are looked at, so the time is linear in the length.
+    """
+    own = _Value(value, _RANKS if ranks is None else ranks)
+    n = len(value)
+    best, brute = {0: 0.0}, {}  # by position: the least cost, and the least that ends in a brute-force span
+    todo = [0]
+
+    def offer(costs: dict[int, float], j: int, cost: float) -> None:
+        if cost < stop and cost < costs.get(j, inf):
+            if j not in best and j not in brute:
+                heappush(todo, j)
+            costs[j] = cost
+
+    while todo:
+        i = heappop(todo)
+        so_far = min(best.pop(i, inf), brute.get(i, inf))
+        if i == n:
+            return so_far
+        offer(brute, i + 1, min(so_far + KIND_COST, brute.pop(i, inf)) + _char_cost(value[i]))
+        for j, cost in own.segments(i):
+            offer(best, j, so_far + KIND_COST + cost)
+    return inf
 
 
 _RANKS = {w: k + 1 for k, w in enumerate(COMMON_WORDS)}
 
 
-def find_spans(text: str, least_cost: float = 9.0) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def find_spans(text: str, least_cost: float = LEAST_COST, ranks: dict[str, int] | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, added spans) as (kind, start, end), end exclusive, by start and then kind as listed."""
     base = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE] if ":" in text or "=" in text else []
     if "AKIA" in text:
         base += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     base += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+    order = lambda x: (x[1], KINDS.index(x[0]), x[2])
+    base.sort(key=order)
     added = []
     low = text.lower()
     if any(h in low for h in HINTS):
+        starts, ends = [s for _, s, _ in base], list(accumulate((e for _, _, e in base), max))
+        furthest = lambda k: ends[k - 1] if k else -1
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
+            a = m.start(1)
             value = m[1].rstrip(".!?)]}:")
             b = a + len(value)
-            if len(value) < 6 or any(s <= a and b <= e for _, s, e in base):
+            if len(value) < 6 or furthest(bisect_right(starts, a)) >= b:
                 continue
             # of a value that a base span covers in part, the rest is secret too
-            if any(s < b and a < e for _, s, e in base) or guess_cost(value) >= least_cost:
+            if furthest(bisect_left(starts, b)) > a or guess_cost(value, ranks, least_cost) >= least_cost:
                 added.append(("guess", a, b))
-    order = lambda x: (x[1], KINDS.index(x[0]), x[2])
-    return sorted(base, key=order), sorted(added, key=order)
+    return base, added
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter[str] = Counter()
+
+    def drain() -> pa.RecordBatch:
+        kept = [(w, n) for w, n in counts.items() if 3 <= len(w) <= LONGEST_WORD and w.isalpha()]
+        counts.clear()
+        return pa.record_batch({"word": pa.array([w for w, _ in kept], pa.string()), "n": pa.array([n for _, n in kept], pa.int64())})
+
+    for batch in batches:
+        for _, text in _texts(batch, 0):
+            low = text.lower()
+            if any(h in low for h in HINTS):
+                low = CONTEXT.sub(" ", text).lower()
+            counts.update(low.split())
+            if len(counts) > 500_000:
+                yield drain()
+    yield drain()
+
+
+def word_ranks(docs: DataFrame, most: int = RANKED) -> dict[str, int]:
+    """Ranks of the common words, and after them of the ``most`` words of letters that docs(text) holds most often.
+
+    Words are counted over all rows; what stands where a credential is expected is not counted, so
+    that a password in many copies is not taken for a word. Ties go by code point. Only the
+    ``most`` words reach the driver.
+    """
+    counts = docs.select("text").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    learnt = [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    return _RANKS | {w: len(_RANKS) + k + 1 for k, w in enumerate(w for w in learnt if w not in _RANKS)}
 
 
 def joined(spans: Iterable[tuple[str, int, int]]) -> str:
@@ -154,19 +231,20 @@ def _texts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, str]]:
             yield first + k, text or ""
 
 
-def scan_secrets(docs: DataFrame, least_cost: float = 9.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
     """doc_id, counts of the base kinds, base spans and all spans, for every row of docs(doc_id, text).
 
-    The whole text is scanned; null is empty and has no spans. Repeated rows get equal answers,
-    other columns are ignored, an empty table gives no rows.
+    The whole text is scanned, whatever its length; null is empty and has no spans. Repeated rows
+    get equal answers, other columns are ignored, an empty table gives no rows.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
             bases, alls = [], []
             for _, text in _texts(batch, 1):
-                base, added = find_spans(text, least_cost)
+                base, added = find_spans(text, least_cost, shared.value)
                 for kind, found in counts.items():
                     found.append(sum(k == kind for k, _, _ in base + added))
                 bases.append(joined(base))
@@ -180,19 +258,20 @@ def scan_secrets(docs: DataFrame, least_cost: float = 9.0) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_spans string, spans string")
 
 
-def redact_secrets(docs: DataFrame, least_cost: float = 9.0) -> DataFrame:
+def redact_secrets(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
     """docs with every span, overlapping ones merged, replaced by a mark; n_chars follows the text.
 
-    Rows without a secret, null texts among them, stay as they are.
+    Rows without a secret, null texts among them, stay as they are, and so do all other columns.
     """
     schema, names = docs.schema, docs.columns
     at = names.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: list[str | None] = []
             for k, text in _texts(batch, at):
-                base, added = find_spans(text, least_cost)
+                base, added = find_spans(text, least_cost, shared.value)
                 out, last = [], 0
                 for _, a, b in sorted(base + added, key=lambda x: (x[1], -x[2])):
                     if a >= last:
@@ -203,7 +282,3 @@ def redact_secrets(docs: DataFrame, least_cost: float = 9.0) -> DataFrame:
 
     out = docs.mapInArrow(redact, schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(schema["n_chars"].dataType))) if "n_chars" in names else out
-
-
-def text_digest(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()

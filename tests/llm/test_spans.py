@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+import time
 
 import pytest
 
@@ -68,6 +71,75 @@ def test_secret_base_spans_equal_plain_patterns(spark, seed):
     assert secrets.scan_secrets(df.where("false")).count() == 0
 
 
+def every_cost(value: str, ranks: dict[str, int]) -> float:
+    """The least cost over all segmentations, each tried."""
+    low = value.lower()
+
+    def run_end(i: int, goes_on) -> int:
+        j = i + 1
+        while j < len(low) and goes_on(j):
+            j += 1
+        return j
+
+    def segments(i: int):
+        for j in range(i + 1, len(low) + 1):
+            yield j, plain_cost(value[i:j])
+            for word, extra in ((low[i:j], 0), (low[i:j].translate(secrets._LEET), math.log10(4))):
+                if word in ranks and j - i >= 3:
+                    ups = sum(c.isupper() for c in value[i:j])
+                    odd = 0 if not ups else math.log10(2) if ups in (1, j - i) else math.log10(math.comb(j - i, ups))
+                    yield j, math.log10(ranks[word] + 1) + odd + extra
+                    break
+            if re.fullmatch(r"(19|20)\d\d", low[i:j]):
+                yield j, math.log10(120)
+        if (m := secrets._DATE.match(low, i)) and secrets._is_date(m):
+            yield m.end(), math.log10(365 * 120) + (math.log10(5) if m["s"] or m["t"] else 0)
+        j = run_end(i, lambda k: low[k] == low[k - 1])
+        if j - i >= 3:
+            yield j, plain_cost(low[i]) + math.log10(j - i)
+        for step in (1, -1):
+            j = run_end(i, lambda k, step=step: low[k].isalnum() and ord(low[k]) - ord(low[k - 1]) == step)
+            if j - i >= 3:
+                yield j, math.log10(72) + math.log10(j - i)
+        j = run_end(i, lambda k: low[k] in secrets._near.get(low[k - 1], ()))
+        if j - i >= 4:
+            way = [low[k] > low[k - 1] for k in range(i + 1, j)]
+            yield j, math.log10(47) + math.log10(j - i) + (1 + sum(a != b for a, b in zip(way, way[1:], strict=False))) * math.log10(4)
+
+    def least(i: int) -> float:
+        return 0.0 if i == len(low) else min(secrets.KIND_COST + cost + least(j) for j, cost in segments(i))
+
+    return least(0)
+
+
+def test_guess_cost_is_the_least_of_all_segmentations():
+    rng = random.Random(4)
+    ranks = {"pass": 1, "word": 7, "password": 2, "sword": 40, "and": 3, "tro": 99, "asd": 5}
+    values = ["passwordx7", "x7password", "pAsSword", "p4$$word", "asdfgh", "aaaabcd", "19991231", "1-2-1999", "qwedsaz", "12345", "aaa", "tr0and"]
+    values += ["".join(rng.choice(("pass", "word", "a", "s", "d", "1", "9", "2000", "Z", "$", "ab", "q", "w")) for _ in range(4))[:8] for _ in range(300)]
+    for value in values:
+        want = every_cost(value, ranks)
+        assert secrets.guess_cost(value, ranks) == pytest.approx(want), value
+        assert secrets.guess_cost(value, ranks, 6.0) == (pytest.approx(want) if want < 6 else math.inf), value
+    assert secrets.guess_cost("passwordx7kq9z", ranks) == pytest.approx(secrets.guess_cost("x7kq9zpassword", ranks))
+
+
+@pytest.mark.parametrize("value", ["a", "ab", "qwsa", "password", "x7", "19991231", "abcdefghij", "\u0130"])
+def test_guess_cost_of_a_long_value_is_quick(value):
+    began = time.perf_counter()
+    found = secrets.find_spans("pwd=" + (value * 1_000_000)[:1_000_000] + " pin: xK9#vQ2$mZ7")[1]
+    assert time.perf_counter() - began < 2 and found[-1][2] > 1_000_000
+
+
+def test_ranks_are_learnt_but_credentials_are_not(spark):
+    texts = ["elephant giraffe zebra elephant", "pwd=QzkVhWxJqPbT elephant giraffe", "pwd=QzkVhWxJqPbT", None, ""] * 40
+    ranks = secrets.word_ranks(spark.createDataFrame([(t,) for t in texts], "text string"))
+    n = len(secrets._RANKS)
+    assert [ranks[w] - n for w in ("elephant", "giraffe", "zebra")] == [1, 2, 3] and "qzkvhwxjqpbt" not in ranks
+    assert secrets.guess_cost("elephantgiraffe1", ranks) < secrets.LEAST_COST < secrets.guess_cost("elephantgiraffe1")
+    assert len(secrets.word_ranks(spark.createDataFrame([(t,) for t in texts], "text string"), 2)) == n + 2
+
+
 def plain_cost(value: str) -> float:
     """Brute-force spans only."""
     return sum(secrets._char_cost(c) for c in value)
