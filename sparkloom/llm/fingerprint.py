@@ -5,10 +5,10 @@ paragraphs' vectors, lane by lane, modulo a power of two. The order of the parag
 matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 The vector has two parts. Eight lanes modulo 2**32 hold a uniform hash of the paragraph: they
-decide equality. 180 lanes modulo 2**20 hold a bit each for every sentence of the paragraph: with
-ones counted, a lane is (count of ones) - (count of zeros) = 2 * ones - sentences, a sum of random
-signs. The mean squared difference of two texts' signs estimates how many sentences they do not
-share, which gives a likeness without the texts.
+decide equality. 180 lanes of 20 bits, packed in threes into sums modulo 2**64, hold a bit each for
+every sentence of the paragraph: with ones counted, a lane is (count of ones) - (count of zeros) =
+2 * ones - sentences, a sum of random signs. The mean product of two texts' lanes estimates how
+many sentences they share, which gives a likeness without the texts.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import HOT, LEAST_HOT
+
 WIDE = 8
 HASHES, SHIFTS, FIELDS = 3, 20, 3  # three hashes, of which 20 shifts give three bits each
 LANES = HASHES * SHIFTS * FIELDS
@@ -23,7 +25,7 @@ FIELD_BITS = 20
 MASK = sum(1 << (FIELD_BITS * k) for k in range(FIELDS))
 SENTENCE = r"[.!?]+(?:[^\S\n]+|(?=\n)|\z)|\n"  # never across paragraphs
 GROUP_ROWS = 1000
-CELLS = 1 << 18
+MOST_PARTS = 50_000
 
 
 def _units(text: Column, which: int) -> Column:
@@ -70,69 +72,109 @@ def _field(c: Column, k: int) -> Column:
 
 
 def likeness(wide_a: Column, signs_a: Column, n_a: Column, wide_b: Column, signs_b: Column, n_b: Column) -> Column:
-    """Estimated share of common sentences, 2 * both / (n_a + n_b), from 0 to 1; 1 if the wide lanes are equal."""
+    """Estimated likeness of two texts' sentences, 2 <a, b> / (<a, a> + <b, b>) with a and b their counts by sentence, from 0 to 1.
 
-    def squared(x: Column, y: Column) -> Column:
-        each = [(2 * (_field(x, k) - _field(y, k)) - (n_a - n_b)).cast("double") for k in range(FIELDS)]
-        return sum((e * e for e in each[1:]), each[0] * each[0])
+    Where no text repeats a sentence this is their common share, 2 * both / (n_a + n_b). It is 1 if
+    the wide lanes are equal; else it is 0 if a text has 2**20 sentences or more, as lanes then run over.
+    """
 
-    apart = F.aggregate(F.zip_with(signs_a, signs_b, squared), F.lit(0.0), lambda s, x: s + x) / LANES
-    # sentences of a text are seldom repeated, so a text's own squared length is about its number of sentences
-    share = 1 - apart / F.greatest(n_a + n_b, F.lit(1))
-    return F.when(wide_a == wide_b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+    def add(total: Column, lanes: Column) -> Column:
+        pairs = [(2 * _field(lanes["x"], k) - n_a, 2 * _field(lanes["y"], k) - n_b) for k in range(FIELDS)]
+        pairs = [(x.cast("double"), y.cast("double")) for x, y in pairs]
+        return F.struct((total["both"] + sum((x * y for x, y in pairs), F.lit(0.0))).alias("both"), (total["own"] + sum((x * x + y * y for x, y in pairs), F.lit(0.0))).alias("own"))
 
+    lanes = F.zip_with(signs_a, signs_b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    sums = F.aggregate(lanes, F.struct(F.lit(0.0).alias("both"), F.lit(0.0).alias("own")), add, lambda t: F.coalesce(F.try_divide(2 * t["both"], t["own"]), F.lit(0.0)))
+    readable = F.greatest(n_a, n_b) < (1 << FIELD_BITS)
+    return F.when(wide_a == wide_b, 1.0).when(readable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), sums))).otherwise(0.0)
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, n_paragraphs for every distinct doc_id of docs(doc_id, text); null is empty."""
+
+def lanes(docs: DataFrame) -> DataFrame:
+    """doc_id, lanes, n_paragraphs for every distinct doc_id of docs(doc_id, text): the fingerprint as struct(wide, signs, n), to add and subtract."""
     units = docs.select("doc_id", F.explode(_units(F.coalesce("text", F.lit("")), 0)).alias("u"))
-    sums = _lane_sums(units, ["doc_id"])
-    return sums.select("doc_id", _print_of(F.col("wide"), F.col("signs"), F.col("n_sentences")).alias("fingerprint"), "n_paragraphs")
+    return _lane_sums(units, ["doc_id"]).select("doc_id", F.struct("wide", "signs", F.col("n_sentences").alias("n")).alias("lanes"), "n_paragraphs")
+
+
+def inserted(lanes: Column, paragraphs: Column) -> Column:
+    """The lanes of a text after paragraphs, given by their lanes, were inserted anywhere."""
+    return _combined(lanes, paragraphs, 1)
+
+
+def deleted(lanes: Column, paragraphs: Column) -> Column:
+    """The lanes of a text after paragraphs that it holds, given by their lanes, were deleted."""
+    return _combined(lanes, paragraphs, -1)
+
+
+def _combined(a: Column, b: Column, sign: int) -> Column:
+    wide = F.zip_with(a["wide"], b["wide"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 32)))
+    return F.struct(wide.alias("wide"), F.zip_with(a["signs"], b["signs"], lambda x, y: x + sign * y).alias("signs"), (a["n"] + sign * b["n"]).alias("n"))
+
+
+def print_of(lanes: Column) -> Column:
+    """The fingerprint of lanes as text."""
+    return _print_of(lanes["wide"], lanes["signs"], lanes["n"])
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, n_paragraphs for every distinct doc_id of docs(doc_id, text); null is empty; texts of one id are summed."""
+    return lanes(docs).select("doc_id", print_of(F.col("lanes")).alias("fingerprint"), "n_paragraphs")
+
+
+def _place(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most x, by halving; -1 for null."""
+    if not cuts:
+        return F.when(x.isNull(), -1).otherwise(0)
+    held = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.element_at(held, F.least(at + step, F.lit(len(cuts)))) <= x), at + step).otherwise(at))
+    return F.when(x.isNull(), -1).otherwise(found)
 
 
-def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cell, part) and (first, guest_part): ranges of ids in order, of about GROUP_ROWS rows each.
+def _parts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """texts(doc_id, text, h) with part, ranges in order of (doc_id, h) of about GROUP_ROWS rows; and (part, doc_id, h, guest_part) of the first row of each.
 
-    The span of the ids is cut into CELLS equal cells, and neighbouring cells are joined to parts;
-    the driver sees one count and least id for each cell in use, CELLS at most. ``first`` is the
-    least id of a part, and guest_part the part before it (before the first comes the last).
+    The ranges are quantiles of the ids, MOST_PARTS at most. An id of very many rows, null too, is a
+    range of its own and cut again by h, a uniform hash. guest_part is the part before (before the
+    first comes the last). The driver sees the cuts and one row for each part.
     """
-    spark = docs.sparkSession
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).head()
-    docs = docs.withColumn("cell", _cell(low, high))
-    cells, part, held, firsts = [], -1, GROUP_ROWS, []
-    for row in docs.groupBy("cell").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).orderBy("cell").collect():
-        if held >= GROUP_ROWS:
-            part, held = part + 1, 0
-            firsts.append(None if row["nulls"] else row["first"])
-        cells.append((row["cell"], part))
-        held += row["n"]
-    guests = [(first, (k - 1) % len(firsts)) for k, first in enumerate(firsts)]
-    return docs.join(F.broadcast(spark.createDataFrame(cells, "cell bigint, part int")), "cell").drop("cell"), spark.createDataFrame(guests, "first bigint, guest_part int")
-
-
-def _cell(low: int | None, high: int | None) -> Column:
-    """The cell of doc_id, from 1; null ids are before all others."""
-    if low is None:
-        return F.lit(0).cast("bigint")
-    return F.coalesce(F.width_bucket(F.col("doc_id").cast("double"), F.lit(float(low)), F.lit(float(high) + 1), F.lit(CELLS)), F.lit(0)).cast("bigint")
+    n = texts.count()
+    share = max(LEAST_HOT, n // HOT)
+    hot = {r["doc_id"]: -(-r["count"] // share) for r in texts.groupBy("doc_id").count().where(F.col("count") > share).collect()}  # HOT rows at most
+    k = min(MOST_PARTS, -(-n // GROUP_ROWS))
+    cuts = texts.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 20 * k)).head()[0] if k > 1 else None
+    ids = [x for x in hot if x is not None]
+    cuts = sorted({*(cuts or []), *ids, *(x + 1 for x in ids if x < 2**63 - 1)})
+    cells = F.lit(1)
+    if hot:
+        numbers = texts.sparkSession.createDataFrame(list(hot.items()), "id bigint, cells int")
+        texts = texts.join(F.broadcast(numbers), texts["doc_id"].eqNullSafe(numbers["id"]), "left").drop("id")
+        cells = F.coalesce("cells", F.lit(1))
+    cell = F.least(F.floor((F.col("h") / float(2**64) + 0.5) * cells), cells - 1)
+    texts = texts.withColumn("part", (_place(F.col("doc_id"), cuts) + 1).cast("bigint") * (2 * HOT) + cell).select("doc_id", "text", "h", "part")
+    firsts = sorted(texts.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("part", "x.*").collect())
+    guests = [(*row, firsts[i - 1]["part"]) for i, row in enumerate(firsts)]
+    return texts, texts.sparkSession.createDataFrame(guests, "part bigint, doc_id bigint, h bigint, guest_part bigint")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """The fingerprint of every row of docs(doc_id, text), of its edited text, and how alike they and the next row's are.
 
     Edited: the last floor(n_chars / 2) characters give way to the first as many of the next row's
-    text, by doc_id (null first) and then text; after the last comes the first. null is empty. A
-    single row is its own next row. Rows that repeat are rows of their own; other columns are
-    ignored; an empty table gives no rows.
+    text, by doc_id (null first) and then a hash of the text; after the last comes the first. null
+    is empty. A single row is its own next row. Rows that repeat are rows of their own; texts of any
+    length are read whole; other columns are ignored; an empty table gives no rows.
 
     The texts are shuffled once, by ranges of ids; the first row of each range also goes, as a
-    guest, to the range before it, so that every row finds its next row in its own task.
+    guest, to the range before it, so that every row finds its next row in its own task. Rows of one
+    id are dealt to several tasks; only such as are equal in id and text stay together.
     """
-    texts, firsts = _parts(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    seats = F.array_compact(F.array(F.struct(F.col("part"), F.lit(0).alias("guest")), F.when(F.col("guest_part").isNotNull(), F.struct(F.col("guest_part").alias("part"), F.lit(1).alias("guest")))))
-    seated = texts.join(F.broadcast(firsts), texts["doc_id"].eqNullSafe(firsts["first"]), "left").select("doc_id", "text", F.explode(seats).alias("seat"))
-    seated = seated.select("seat.part", "seat.guest", "doc_id", "text")
-    w = Window.partitionBy("part").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
+    text = F.coalesce("text", F.lit(""))
+    texts, firsts = _parts(docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")))
+    seats = F.array_compact(F.array(F.struct(texts["part"], F.lit(0).alias("guest")), F.when(F.col("guest_part").isNotNull(), F.struct(F.col("guest_part").alias("part"), F.lit(1).alias("guest")))))
+    first = (texts["part"] == firsts["part"]) & texts["doc_id"].eqNullSafe(firsts["doc_id"]) & (texts["h"] == firsts["h"])
+    seated = texts.join(F.broadcast(firsts), first, "left").select(texts["doc_id"], "text", texts["h"], F.explode(seats).alias("seat"))
+    seated = seated.select("seat.part", "seat.guest", "doc_id", "text", "h")
+    w = Window.partitionBy("part").orderBy("guest", F.col("doc_id").asc_nulls_first(), "h")
     seated = seated.withColumns({"seq": F.row_number().over(w), "next": F.lead("text").over(w)})
 
     n = F.length("text")

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import fingerprint
 
@@ -55,11 +58,43 @@ def test_sum_ignores_order_and_takes_insertions_and_deletions(spark):
     df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(reversed(lines))), (3, "\n".join(lines[1:])), (4, lines[0]), (5, None)], SCHEMA)
     got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(df).collect()}
     assert got[1] == got[2] and got[1] != got[3]
-    wide = lambda f: [int(f[k : k + 8], 16) for k in range(0, 64, 8)]
-    signs = lambda f: [int(x, 16) for x in f.split("-")[2].split(".")]
-    assert wide(got[1]) == [(x + y) % 2**32 for x, y in zip(wide(got[3]), wide(got[4]), strict=True)]
-    assert signs(got[1]) == [x + y for x, y in zip(signs(got[3]), signs(got[4]), strict=True)]
     assert set(got[5].split("-")[0]) == {"0"}
+    by = {k: fingerprint.lanes(df.where(f"doc_id = {k}")).select(F.col("lanes").alias(f"l{k}")) for k in (1, 3, 4)}
+    both = by[1].crossJoin(by[3]).crossJoin(by[4])
+    found = both.select(fingerprint.print_of(fingerprint.inserted(F.col("l3"), F.col("l4"))), fingerprint.print_of(fingerprint.deleted(F.col("l1"), F.col("l4")))).head()
+    assert found[0] == got[1] and found[1] == got[3]
+
+
+def true_likeness(a: str, b: str) -> float:
+    x, y = (Counter(u for line in t.split("\n") for u in re.split(r"[.!?]+(?:\s+|$)", line) if u) for t in (a, b))
+    both, own = sum(n * y[u] for u, n in x.items()), sum(n * n for n in [*x.values(), *y.values()])
+    return 2 * both / own if own else float(x == y)
+
+
+def test_likeness_is_near_the_true_one(spark):
+    own = [t for t in texts(60, 4) if len(t) > 500]
+    own = [x for k, t in enumerate(own) for x in (t, "\n".join(t.split("\n")[: 1 + k % 3]) + "\n" + own[k - 1])] + ["the same line\n" * 1000, "the same line\n" * 500, "x", ""]
+    df = spark.createDataFrame(list(enumerate(own)), SCHEMA)
+    got = {r["doc_id"]: r["near_next"] for r in fingerprint.edited_fingerprints(df).collect()}
+    want = [true_likeness(a, b) for a, b in zip(own, own[1:] + own[:1], strict=True)]
+    assert max(abs(got[k] - x) for k, x in enumerate(want)) < 0.35
+    assert abs(sum(got[k] - x for k, x in enumerate(want))) / len(want) < 0.06
+    assert got[len(own) - 4] == pytest.approx(0.8)
+
+
+def test_ranges_hold_about_as_many_rows_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "GROUP_ROWS", 50)
+    monkeypatch.setattr(fingerprint, "LEAST_HOT", 100)
+    ids = [*range(1000), 2**60, *[-7] * 400, *[None] * 300]
+    data = [(d, f"text {k}") for k, d in enumerate(ids)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(3)
+    parts = fingerprint._parts(df.withColumn("h", F.xxhash64("text")))[0].groupBy("part").count().collect()
+    assert len(parts) >= 20 and max(r["count"] for r in parts) <= 200
+    got = fingerprint.edited_fingerprints(df).collect()
+    hashed = dict(df.select("text", F.xxhash64("text")).collect())
+    order = [t for _, t in sorted(data, key=lambda x: (x[0] is not None, x[0] or 0, hashed[x[1]]))]
+    want = Counter(hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter(r["edited_sha256"] for r in got) == want
 
 
 def test_single_repeated_null_and_no_rows(spark):
