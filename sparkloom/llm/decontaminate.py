@@ -30,7 +30,7 @@ COVERAGE = 0.5
 RUN = 13  # so many matched tokens in a row are a passage of the item
 EDIT = LEAST_TOKENS  # a changed word and the tokens between it and the near end, too few for a window
 FILTER_BITS = 1 << 25
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 200_000  # windows of eight values and slots at most, 40 MB
 
 # Units of measure that follow a number.
 UNITS = "kg g mg t lb lbs oz km m cm mm mi ft in yd l ml s sec ms min h hr hour hours day days week weeks month months year years usd eur gbp dollars euros cents percent % $ € £ mph kmh w kw v a hz".split()
@@ -147,14 +147,15 @@ def _firsts(row: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.sort(order[new])
 
 
-_FOUND = "id bigint, length int, n_tokens int, pos int, hash bigint, values array<bigint>, slots array<boolean>"
+_FOUND = "id bigint, text_key bigint, length int, n_tokens int, pos int, hash bigint, values array<bigint>, slots array<boolean>"
 
 
-def _found(ids: pa.Array, rows: np.ndarray, sizes: np.ndarray, at: np.ndarray, pos: np.ndarray, hashes: np.ndarray, length: int, value: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:
+def _found(part: pa.RecordBatch, rows: np.ndarray, sizes: np.ndarray, at: np.ndarray, pos: np.ndarray, hashes: np.ndarray, length: int, value: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:
     signed = value.view(np.int64)
     return pa.record_batch(
         {
-            "id": ids.take(pa.array(rows)),
+            "id": part.column(0).take(pa.array(rows)),
+            "text_key": part.column(2).take(pa.array(rows)),
             "length": pa.array(np.full(len(at), length, np.int32)),
             "n_tokens": pa.array(sizes[rows].astype(np.int32)),
             "pos": pa.array(pos.astype(np.int32)),
@@ -178,7 +179,7 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     at, hashes = _windows(row, template, slot, needed, least, length)
                     fits = _fits(sizes[row[at]], length)
                     at, hashes = at[fits], hashes[fits]
-                    yield _found(part.column(0), row[at], sizes, at, at - starts[row[at]], hashes, length, value, slot)
+                    yield _found(part, row[at], sizes, at, at - starts[row[at]], hashes, length, value, slot)
 
 
 def _bits_of(hashes: DataFrame) -> np.ndarray:
@@ -219,13 +220,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     Items of six or seven tokens are one window; shorter items are one literal window, so only
     capitals and punctuation around words may differ. Null and empty texts on either side and rows
-    with a null id match nothing. Repeated rows and several items with one text
-    each give their pair once. ``matched``, ``windows`` and ``coverage`` are of windows of eight
+    with a null id match nothing. Texts of any length are read whole. Repeated rows and several
+    items with one text each give their pair once; several texts under one id, of documents or of
+    items, are compared each by its own, and the pair has the figures of those that match most. ``matched``, ``windows`` and ``coverage`` are of windows of eight
     (or the one window); ``tokens`` and ``run`` are the most on any diagonal.
     """
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text").where("item_id is not null").mapInArrow(_item_windows, _FOUND)
-    items = stash(items.dropDuplicates(["id", "pos", "hash"]), "item-windows")
+    text_key = F.xxhash64("text").alias("text_key")  # texts that share an id stay apart
+    items = benchmark.select("item_id", "text", text_key).where("item_id is not null").mapInArrow(_item_windows, _FOUND)
+    items = stash(items.dropDuplicates(["id", "text_key", "pos", "hash"]), "item-windows")
     lengths = sorted(r["length"] for r in items.select("length").distinct().collect())  # at most eight
     shared = spark.sparkContext.broadcast(_bits_of(items))
 
@@ -246,15 +249,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                         first_at = _firsts(row, at, hashes)
                         at, hashes = at[first_at], hashes[first_at]
                     if len(at):
-                        yield _found(part.column(0), row[at], sizes, at, at - starts[row[at]], hashes, length, value, slot)
+                        yield _found(part, row[at], sizes, at, at - starts[row[at]], hashes, length, value, slot)
 
-    found = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(hits, _FOUND)
-    found = found.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "hash", "length", F.col("values").alias("doc_values"))
-    known = items.select(F.col("id").alias("item_id"), "pos", "hash", "length", "n_tokens", "values", "slots")
+    found = docs.select("doc_id", "text", text_key).where("doc_id is not null").mapInArrow(hits, _FOUND)
+    found = found.select(F.col("id").alias("doc_id"), F.col("text_key").alias("doc_key"), F.col("pos").alias("doc_pos"), "hash", "length", F.col("values").alias("doc_values"))
+    known = items.select(F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "pos", "hash", "length", "n_tokens", "values", "slots")
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    texts = ["doc_id", "doc_key", "item_id", "item_key"]
     met = found.join(known, ["hash", "length"]).withColumn("shift", F.col("doc_pos") - F.col("pos"))
-    met = stash(met.select("doc_id", "item_id", "shift", "pos", "n_tokens", "length", "values", "doc_values", "slots").distinct(), "met")
-    diagonal = ["doc_id", "item_id", "shift"]
+    met = stash(met.select(*texts, "shift", "pos", "n_tokens", "length", "values", "doc_values", "slots").distinct(), "met")
+    diagonal = [*texts, "shift"]
     filled = met.select(*diagonal, F.posexplode(F.arrays_zip("values", "doc_values", "slots")).alias("k", "x"), "pos").where("x.slots")
     filled = filled.select(*diagonal, (F.col("pos") + F.col("k")).alias("token"), F.col("x.values").alias("value"), F.col("x.doc_values").alias("doc_value")).distinct()
     counted = filled.groupBy(*diagonal, "value", "doc_value").agg(F.count("*").alias("n"))
@@ -268,18 +272,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     same = F.col("values") == F.col("doc_values")
     window = F.struct("pos", "length")
     main = F.col("length") == F.least("n_tokens", F.lit(WINDOW))
-    diagonals = sure.groupBy("doc_id", "item_id", "n_tokens", "shift").agg(
+    diagonals = sure.groupBy(*diagonal, "n_tokens").agg(
         F.collect_set(window).alias("held"), F.collect_set(F.when(same, window)).alias("equal"), F.collect_set(F.when(main, F.col("pos"))).alias("main")
     )
     joined = _joined(F.array_sort("held"))
-    pairs = diagonals.withColumn("joined", joined).groupBy("doc_id", "item_id", "n_tokens").agg(
+    pairs = diagonals.withColumn("joined", joined).groupBy(*texts, "n_tokens").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("main")))).alias("matched"),
         F.max("joined.tokens").alias("tokens"),
         F.max("joined.run").alias("run"),
         (F.size(F.array_distinct(F.flatten(F.collect_list("held")))) == F.size(F.array_distinct(F.flatten(F.collect_list("equal"))))).alias("verbatim"),
     )
-    total = items.where(main).groupBy(F.col("id").alias("item_id")).agg(F.countDistinct("pos").alias("windows"))
-    out = pairs.join(total, "item_id", "left").withColumn("windows", F.coalesce("windows", F.lit(0))).withColumn("coverage", F.when(F.col("windows") > 0, F.col("matched") / F.col("windows")).otherwise(0.0))
+    total = items.where(main).groupBy(F.col("id").alias("item_id"), F.col("text_key").alias("item_key")).agg(F.countDistinct("pos").alias("windows"))
+    out = pairs.join(total, ["item_id", "item_key"], "left").withColumn("windows", F.coalesce("windows", F.lit(0))).withColumn("coverage", F.when(F.col("windows") > 0, F.col("matched") / F.col("windows")).otherwise(0.0))
     few = (F.col("n_tokens") < 2 * RUN) & (F.col("tokens") >= F.greatest(F.lit(WINDOW), F.col("n_tokens") - EDIT))
     out = out.where((F.col("coverage") >= coverage) | (F.col("run") >= RUN) | few)
-    return out.select("doc_id", "item_id", "matched", "windows", "coverage", "tokens", "run", "verbatim")
+    most = F.max(F.struct("tokens", "run", "matched", "coverage", "windows", "verbatim")).alias("most")
+    return out.groupBy("doc_id", "item_id").agg(most).select("doc_id", "item_id", *[f"most.{c}" for c in ("matched", "windows", "coverage", "tokens", "run", "verbatim")])

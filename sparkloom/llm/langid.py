@@ -150,7 +150,9 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
     by all rows that lack it. A text without letters, null and empty ones among them, has lang
     'und', posterior 0 and is not accepted, and so has a text that the best language does not
     explain; other rows are accepted if the best posterior is at least ``least``. A tie goes to
-    the language first by name. An empty table gives no rows.
+    the language first by name. Texts of any length are read whole. Rows that repeat, or repeat an id
+    with another text, are judged each by its own; other columns are ignored. An empty table gives
+    no rows.
     """
     n_langs = len(model.names)
     scored = stash(_text_scores(rows.select("id", "text", "declared", "suffix", "host"), model), "language-scores")
@@ -200,12 +202,19 @@ def identify(rows: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """(id, text, declared, suffix, host) of pages(page_id, url, html), for identify()."""
+    """(id, text, declared, suffix, host) of pages(page_id, url, html), for identify(); a row for each row.
+
+    Null, empty and malformed addresses have no host and suffix, a null page no text. The patterns
+    are linear in the page: pieces are cut at each opening of a script, style or comment, and of
+    each piece the part up to its own end goes; an opening without an end in its piece is text.
+    """
     address = F.expr("case when instr(url, '://') > 0 then substring(url, instr(url, '://') + 3) end")
     host = F.lower(F.regexp_extract(address, r"^[^/?#:]*", 0))
     section = F.lower(F.regexp_extract(address, r"^[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", 1))
-    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z]+;", " ")
-    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]+)", 1))
+    pieces = F.split("html", r"(?i)(?=<script\b|<style\b|<!--)")
+    shown = F.transform(pieces, lambda x: F.regexp_replace(x, r"(?is)\A(?:<script\b.*?</script\s*+>|<style\b.*?</style\s*+>|<!--.*?-->)", " "))
+    text = F.regexp_replace(F.array_join(shown, ""), r"<[^<>]*+>|&[a-z]{1,31};", " ")
+    declared = F.lower(F.regexp_extract("html", r"(?i)<html\b[^<>]*\blang=[\"']?([A-Za-z]+)", 1))
     return pages.select(
         F.col("page_id").alias("id"),
         text.alias("text"),
@@ -216,5 +225,5 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """(id, text, declared, suffix, host) of docs(doc_id, text, lang, source): a document's source is its host, and it has no address."""
+    """(id, text, declared, suffix, host) of docs(doc_id, text, lang, source): a document's source is its host, and it has no address. A row for each row."""
     return docs.select(F.col("doc_id").alias("id"), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))

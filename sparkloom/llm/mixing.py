@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import stash
+from .runtime import broadcast_if_small, stash, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 RANKED_PER_TASK = 100_000
-BROADCAST_ROWS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -63,10 +62,12 @@ def copies(doc_id: Column, rate: Column, seed: str) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    small = targets.count() <= BROADCAST_ROWS
-    right = targets.select(F.col("source").alias("_source"), "source_size", "target", "rate")
-    return rows.join(F.broadcast(right) if small else right, rows["source"].eqNullSafe(right["_source"]), "left").drop("_source")
+def _with_targets(rows: DataFrame, targets: DataFrame, names: dict[str, str]) -> DataFrame:
+    """rows with these columns of their source's targets, under the names given."""
+    key = unused("mix_key", rows.columns)
+    right = targets.select(F.col("source").alias(key), *[F.col(k).alias(v) for k, v in names.items()])
+    right = broadcast_if_small(right)
+    return rows.join(right, rows["source"].eqNullSafe(right[key]), "left").drop(key)
 
 
 def mix_report(docs: DataFrame, seed: str = "mix") -> DataFrame:
@@ -76,17 +77,23 @@ def mix_report(docs: DataFrame, seed: str = "mix") -> DataFrame:
     repeat a doc_id draw alike. Other columns are ignored; an empty table gives no rows.
     """
     sized = stash(docs.select("doc_id", "source", words_of(F.col("text")).alias("size")), "sized")
-    planned = _with_targets(sized, source_targets(sized))
+    planned = _with_targets(sized, source_targets(sized), {k: k for k in ("source_size", "target", "rate")})
     taken = F.col("size") * copies(F.col("doc_id"), F.col("rate"), seed)
     return planned.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The mix itself: every row of docs as often as it is taken, with copy = 1, 2, ..."""
+    """The mix itself: every row of docs(doc_id, text, source) as often as it is taken, with all its columns and copy = 1, 2, ...
+
+    Null and empty texts have size 0 and draw by their source's rate as others do; null is a
+    source of its own, the last. Rows that repeat a doc_id draw alike. Other columns may have any
+    names; if one is called copy, the number of the copy is called _copy. An empty table gives no rows.
+    """
     sized = stash(docs.select("source", words_of(F.col("text")).alias("size")), "sized")
-    planned = _with_targets(docs, source_targets(sized))
-    each = planned.withColumn("_copies", copies(F.col("doc_id"), F.col("rate"), seed)).where("_copies > 0")
-    return each.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    rate, n = unused("mix_rate", docs.columns), unused("mix_copies", docs.columns)
+    planned = _with_targets(docs, source_targets(sized), {"rate": rate})
+    each = planned.withColumn(n, copies(F.col("doc_id"), F.col(rate), seed)).where(F.col(n) > 0)
+    return each.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(n))).alias(unused("copy", docs.columns)))
 
 
 MIX_SQL = r"""

@@ -107,7 +107,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """Every proposed span of docs(doc_id, text), and one row without a span for each document.
 
     (row_id, doc_id, pattern, kind, start, end, base, votes by labeler, shape); positions count
-    code points. A span that is not of the base and overlaps one that is, or an earlier one, goes.
+    code points.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = rows.select("row_id", "doc_id", F.explode(F.concat(*[_matches(F.col("text"), name) for name in PATTERNS], F.array(F.lit(None).cast(MATCH)))).alias("m")).select("row_id", "doc_id", "m.*")
@@ -135,10 +135,19 @@ def candidates(docs: DataFrame) -> DataFrame:
         "edges": F.when(edge, 1).otherwise(-1),
     }
     shape = F.concat_ws("|", "pattern", F.least(F.floor(F.log2(F.greatest(long_, F.lit(1)))), F.lit(6)))
-    out = found.select("row_id", "doc_id", "pattern", "kind", "start", "end", "base", *[vote[v].alias(v) for v in LABELERS], shape.alias("shape"))
-    before_, after_ = Window.partitionBy("row_id").orderBy("start", F.desc("base"), "pattern").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("row_id").orderBy("start", F.desc("base"), "pattern").rowsBetween(1, Window.unboundedFollowing)
-    hit = (F.coalesce(F.max("end").over(before_), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(after_), F.col("end")) < F.col("end"))
-    return out.withColumn("hit", hit).where(F.col("kind").isNull() | F.col("base") | ~F.col("hit")).drop("hit")
+    return found.select("row_id", "doc_id", "pattern", "kind", "start", "end", "base", *[vote[v].alias(v) for v in LABELERS], shape.alias("shape"))
+
+
+def _settled(taken: DataFrame) -> DataFrame:
+    """taken without the added spans that overlap one of the base, or one that begins earlier."""
+    w = Window.partitionBy("row_id").orderBy("start", F.desc("base"), "pattern", "end")
+    back = Window.partitionBy("row_id").orderBy(F.desc("start"), "base", F.desc("pattern"), F.desc("end"))
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
+    base_end, base_start = F.when(F.col("base"), F.col("end")), F.when(F.col("base"), F.col("start"))
+    hit = (F.coalesce(F.max(base_end).over(before), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(base_start).over(after), F.col("end")) < F.col("end"))
+    free = taken.withColumn("hit", hit).where(F.col("kind").isNull() | F.col("base") | ~F.col("hit"))
+    again = F.coalesce(F.max(F.when(~F.col("base"), F.col("end"))).over(before), F.lit(-1)) > F.col("start")
+    return free.withColumn("hit", again).where(F.col("kind").isNull() | F.col("base") | ~F.col("hit")).drop("hit")
 
 
 def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 30) -> tuple[dict, dict]:
@@ -208,14 +217,15 @@ def _score(weights: dict[str, float]) -> Column:
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_spans, spans, n_added for every row of docs(doc_id, text).
 
-    Counts and base_spans are of the base patterns; spans has the accepted ones too, all as
-    kind:start:end by kind and start. The whole text is read; null is empty and has no spans. Rows
+    Counts and base_spans are of the base patterns; spans has the accepted ones too, but for those
+    that overlap a base span or an accepted one that begins earlier, all as kind:start:end by kind
+    and start. The whole text is read; null is empty and has no spans. Rows
     that repeat get a row each; other columns are ignored; an empty table gives no rows.
     """
     spans = stash(candidates(docs), "candidates")
     cells = spans.where("kind is not null").groupBy("kind", "shape", *LABELERS).count().collect()  # a fixed number of votes and shapes
     weights = train(sorted((r["kind"], r["shape"], tuple(r[v] for v in LABELERS), r["count"]) for r in cells))
-    taken = spans.withColumn("taken", F.col("base") | (_score(weights) > LEAST_SCORE))
+    taken = _settled(spans.withColumn("taken", F.col("base") | (_score(weights) > LEAST_SCORE)).where("kind is null or taken"))
     place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     item = F.struct(place.alias("place"), "start", "end", "kind")
     text = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")

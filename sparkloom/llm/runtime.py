@@ -67,6 +67,21 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return dealt.join(copied, [key, "_part"], how).drop("_part")
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000, byte_limit: int = 32 << 20) -> DataFrame:
+    """df marked for a broadcast if it has at most so many rows and bytes of text; else as it is, to be joined by a shuffle."""
+    texts = [F.sum(F.coalesce(F.octet_length(f.name), F.lit(0))) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    n, *sizes = df.agg(F.count("*"), *texts).head()
+    return F.broadcast(df) if n <= rows and sum(x or 0 for x in sizes) <= byte_limit else df
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

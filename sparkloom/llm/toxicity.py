@@ -15,7 +15,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import text_chunks, word_bounds, word_hashes
@@ -25,7 +25,8 @@ STEPS, STRIDE = 48, 32
 HIDDEN, ATTEND = 8, 8
 INPUTS = 6
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000  # the bound of the training sample, in texts
-EPOCHS, BATCH, LEAST_STEPS = 5, 64, 400
+SAMPLE_BYTES = 32 << 20  # and in bytes
+EPOCHS, BATCH, LEAST_STEPS = 4, 192, 150
 THRESHOLD = 0.3
 MARGIN = 1.5  # logits by which the threshold stays below the least toxic text that it is to catch, at most
 LEAST_KEPT = 400  # of a smaller sample all texts train, and set the threshold too
@@ -98,7 +99,7 @@ def _windows(row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 class Network:
@@ -235,13 +236,12 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> tuple
     usable = [k for k, v in enumerate(vocabularies) if len(v.word)]
     kept_back = {k for k in usable if k % 8 in (3, 6)} if len(usable) >= LEAST_KEPT else set()  # a quarter, from both halves, to set the threshold on
 
-    def inputs(k: int) -> np.ndarray:
-        return vocabularies[k].inputs(halves[half[k]])
+    given = {k: vocabularies[k].inputs(halves[half[k]]) for k in usable}
 
     rng = np.random.default_rng(7)
     chosen = {}
     for k in usable:
-        x = inputs(k)[vocabularies[k].word]
+        x = given[k][vocabularies[k].word]
         start, end, _ = _windows(np.zeros(len(x), np.int32), 1)
         suspect = x[:, :3].sum(axis=1)
         peak = np.array([suspect[a : min(a + STEPS, b)].max() for a, b in zip(start, end, strict=True)])
@@ -252,7 +252,7 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> tuple
         for k in usable:
             if k in kept_back:
                 continue
-            x = inputs(k)[vocabularies[k].word]
+            x = given[k][vocabularies[k].word]
             for w in sorted(chosen[k]):
                 got = x[w * STRIDE : w * STRIDE + STEPS]
                 xs.append(np.pad(got, ((0, STEPS - len(got)), (0, 0))))
@@ -260,8 +260,7 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> tuple
                 ys.append(y[k])
         network.train(np.stack(xs), np.stack(masks).astype(np.float32), np.array(ys, np.float32))
         top = np.full(len(y), -30.0)
-        for k in usable:
-            logit = _window_logits(vocabularies[k], 1, inputs(k), network)[0]
+        for k, logit in zip(usable, _each_logits([(vocabularies[k].word, given[k]) for k in usable], network), strict=True):
             top[k] = logit.max()
             chosen[k] = {int(np.argmax(logit))} if y[k] else chosen[k] | {int(np.argmax(logit))}
     # move the logits so that the threshold parts the texts kept back best, by F1
@@ -277,50 +276,75 @@ def fit(texts: list[str], labels: list[int], clean_weight: float = 1.0) -> tuple
     return _association(vocabularies, y), network
 
 
-def _window_logits(v: _Vocabulary, n_rows: int, inputs: np.ndarray, network: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Logit and row of every window of some rows, in blocks."""
-    gates = network.gates(inputs).astype(np.float32) if len(v.word) else np.zeros((1, 6 * HIDDEN), np.float32)
-    start, stop, of = _windows(v.row, n_rows)
+def _window_logits(word: np.ndarray, row: np.ndarray, n_rows: int, inputs: np.ndarray, network: Network) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and row of every window of some rows, in blocks; inputs has a row for each distinct word."""
+    gates = network.gates(inputs).astype(np.float32) if len(word) else np.zeros((1, 6 * HIDDEN), np.float32)
+    start, stop, of = _windows(row, n_rows)
     out = np.zeros(len(start))
     for k in range(0, len(start), BLOCK):
         at = start[k : k + BLOCK] + np.arange(STEPS)[:, None]
         inside = at < stop[k : k + BLOCK]
         at[~inside] = 0
-        out[k : k + BLOCK] = network.logits(gates[v.word[at]], inside.astype(np.float32))
+        out[k : k + BLOCK] = network.logits(gates[word[at]], inside.astype(np.float32))
     return out, of
 
 
+def _each_logits(texts: list[tuple[np.ndarray, np.ndarray]], network: Network) -> Iterator[np.ndarray]:
+    """The window logits of each of some texts (words, inputs), several texts at a time."""
+    first = 0
+    while first < len(texts):
+        end, held = first, 0
+        while end < len(texts) and (end == first or held + len(texts[end][0]) <= BLOCK * STRIDE):
+            held += len(texts[end][0])
+            end += 1
+        part = texts[first:end]
+        shift = np.concatenate(([0], np.cumsum([len(x) for _, x in part])))[:-1]
+        word = np.concatenate([w + s for (w, _), s in zip(part, shift, strict=True)])
+        row = np.repeat(np.arange(len(part)), [len(w) for w, _ in part])
+        logit, of = _window_logits(word, row, len(part), np.concatenate([x for _, x in part]), network)
+        yield from np.split(logit, np.searchsorted(of, np.arange(1, len(part))))
+        first = end
+
+
 def _score_rows(column: pa.Array, tables: Tables, network: Network) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, scores) over runs of rows."""
     for first, end, buf, offsets in text_chunks(column):
         v = _Vocabulary(buf, offsets)
-        logit, of = _window_logits(v, end - first, v.inputs(tables), network)
+        logit, of = _window_logits(v.word, v.row, end - first, v.inputs(tables), network)
         top = np.zeros(end - first)
         np.maximum.at(top, of, _sigmoid(logit))
         yield first, top
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, trains: Column) -> tuple[list[str], list[int], float]:
-    """A bounded sample of labelled texts, of each label the first by a hash of the id; and fit()'s clean_weight."""
+def _sampled(docs: DataFrame, labels: DataFrame, trains: Column, toxic: int, clean: int, byte_limit: int) -> tuple[list[str], list[int], float]:
+    """A bounded sample of labelled texts, of each label the first by a hash of the id; and fit()'s clean_weight.
+
+    Texts of over a fiftieth of byte_limit do not train; of the others, those that keep each label
+    within half of it. An id with several texts trains with the one of the smallest hash.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(trains).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = known.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(SAMPLE_CLEAN))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.where("toxic = 1").orderBy(*order).limit(toxic).union(known.where("toxic = 0").orderBy(*order).limit(clean))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= byte_limit // 50).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order))  # over a bounded number of rows
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= byte_limit // 2).toArrow().sort_by("doc_id")
     whole = dict(known.groupBy("toxic").count().collect())
-    weight = max(1, whole.get(0, 0) / SAMPLE_CLEAN) / max(1, whole.get(1, 0) / SAMPLE_TOXIC)
-    return [x or "" for x in rows.column("text").to_pylist()], rows.column("toxic").to_pylist(), weight
+    weight = max(1, whole.get(0, 0) / clean) / max(1, whole.get(1, 0) / toxic)
+    return rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), weight
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, byte_limit: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text).
 
     held_out is an expression of doc_id; labels(doc_id, toxic) of ids where it is false train, at
-    most SAMPLE_TOXIC and SAMPLE_CLEAN texts. The score uses the text alone. A text without
-    words, null and empty ones among them, scores 0. Labels that are null, of other values or of
-    unknown ids are ignored; an id labelled both ways is toxic; without labels of both kinds all
-    texts score alike. Repeated rows score alike; other columns are ignored.
+    most ``toxic`` and ``clean`` texts of ``byte_limit`` bytes in all, whole ones. The score uses the
+    text alone, whole. A text without words, null and empty ones among them, scores 0. Labels that
+    are null, of other values or of unknown ids are ignored; an id labelled both ways is toxic;
+    without labels of both kinds all texts score alike. Repeated rows score alike, and texts that
+    share an id each by its own; other columns are ignored; an empty table gives no rows.
     """
-    shared: Any = docs.sparkSession.sparkContext.broadcast(fit(*_sampled(docs, labels, ~held_out)))
+    shared: Any = docs.sparkSession.sparkContext.broadcast(fit(*_sampled(docs, labels, ~held_out, toxic, clean, byte_limit)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, network = shared.value

@@ -37,6 +37,56 @@ def test_verbatim_and_reparameterised_items_are_found_and_clean_texts_are_not(sp
     assert len(got) == len(found)
 
 
+def plain_pairs(docs: list[tuple[int, str]], items: list[tuple[int, str]]) -> set[tuple[int, int]]:
+    """The pairs for texts of plain words, by trying every diagonal."""
+    out = set()
+    for d, text in docs:
+        for i, item in items:
+            a, b = text.split(), item.split()
+            held, tokens, run = set(), 0, 0
+            for shift in range(1 - len(b), len(a)):
+                same = [0 <= shift + k < len(a) and a[shift + k] == b[k] for k in range(len(b))]
+                covered = [False] * len(b)
+                for length in (8, 6) if len(b) < 26 else (8,):
+                    for k in range(len(b) - length + 1):
+                        if all(same[k : k + length]):
+                            covered[k : k + length] = [True] * length
+                            held |= {k} if length == 8 else set()
+                tokens = max(tokens, sum(covered))
+                run = max(run, *(len(x) for x in "".join("x" if c else " " for c in covered).split(" ")))
+            if len(held) >= 0.5 * (len(b) - 7) or run >= 13 or (len(b) < 26 and tokens >= max(8, len(b) - 6)):
+                out.add((d, i))
+    return out
+
+
+def test_pairs_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("plain river stone walks under green light paper house quick table often never while after every small large".split())
+    items = [(k, " ".join(word() for _ in range(rng.randrange(8, 45)))) for k in range(30)]
+    docs = []
+    for k in range(150):
+        own = items[k % 30][1].split()
+        a, b = sorted(rng.randrange(len(own) + 1) for _ in range(2))
+        part = [word() if rng.random() < 0.03 else w for w in own[a:b]]
+        docs.append((k, " ".join([*(word() for _ in range(rng.randrange(20))), *part, *(word() for _ in range(rng.randrange(20)))])))
+    got = contaminated(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS)).collect()
+    want = plain_pairs(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 30
+
+
+def test_texts_that_share_an_id_are_compared_apart(spark):
+    rng = random.Random(5)
+    item, other = sentence(rng, 40), sentence(rng, 40)
+    halves = [" ".join(item.split()[:11]), " ".join(["x"] * 11 + item.split()[11:20])]
+    rows = [(1, halves[0]), (1, halves[1]), (2, item), (2, other), (3, other)]
+    want = None
+    for parts in (1, 3, 5):
+        docs, items = spark.createDataFrame(rows, DOCS).repartition(parts), spark.createDataFrame([(7, item), (7, other), (8, other)], ITEMS).repartition(parts)
+        got = sorted(map(tuple, contaminated(docs, items).collect()))
+        assert {(r[0], r[1]) for r in got} == {(2, 7), (2, 8), (3, 7), (3, 8)}
+        assert got == (want := want or got)
+
+
 def test_inconsistent_slots_do_not_match(spark):
     item = "start with 5 apples then take 5 more apples and again give 5 of the apples to the boy and keep the 5 that are left for later"
     same = item.replace("5", "8")

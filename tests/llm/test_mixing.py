@@ -85,3 +85,15 @@ def test_empty_table_and_ranges_of_sources(spark, monkeypatch):
     got = {r["source_size"]: r["target"] for r in mixing.mix_report(df).collect()}
     for s, n in sizes.items():
         assert got[n] == pytest.approx(want[s])
+
+
+def test_columns_of_any_name_come_through_the_mix(spark, tmp_path):
+    names = ["rate", "target", "source_size", "copy", "size", "mix_key", "mix_rate", "mix_copies", "weight"]
+    data = [(k, f"s{k % 3}" if k % 5 else None, "a b c" if k % 4 else None, *[k] * len(names)) for k in range(60)]
+    df = spark.createDataFrame(data, SCHEMA + "".join(f", {n} int" for n in names))
+    mixed = mixing.mix(df)
+    assert mixed.columns == [*df.columns, "_copy"]
+    mixed.write.parquet(str(tmp_path / "mix"))
+    assert all(r["rate"] == r["doc_id"] == r["copy"] for r in mixed.collect())
+    plain = mixing.mix(df.select("doc_id", "source", "text"))
+    assert sorted(map(str, mixed.select("doc_id", "_copy").collect())) == sorted(str(r).replace("copy", "_copy") for r in plain.select("doc_id", "copy").collect())

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +299,149 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert got[4]["verdict"] == "allow" and got[4]["trust"] > 0
     scores = linkrank.host_scores(spark.createDataFrame([("bad.net", "/es/", ""), ("a.com", "/", "")], "host string, path string, html string")).collect()
     assert sum(r["trust"] for r in scores) == pytest.approx(1) and sum(r["distrust"] for r in scores) == pytest.approx(1)
+
+
+def dense_ranks(hosts, edges, seeds):
+    """Personalised PageRank by a dense matrix; every host also links to itself."""
+    at = {h: k for k, h in enumerate(hosts)}
+    m = np.eye(len(hosts))
+    for (a, b), n in edges.items():
+        m[at[a], at[b]] += n
+    m /= m.sum(axis=1, keepdims=True)
+    seed = np.array([float(seeds.get(h, 0)) for h in hosts])
+    seed /= seed.sum()
+    rank = seed.copy()
+    for _ in range(400):
+        rank = (1 - linkrank.DAMPING) * seed + linkrank.DAMPING * rank @ m
+    return dict(zip(hosts, rank, strict=True))
+
+
+def test_ranks_equal_those_of_a_dense_matrix(spark):
+    links = [("a.com", "b.org"), ("a.com", "c.org"), ("b.org", "bad.net"), ("c.org", "a.com"), ("d.info:8080", "bad.net:443"), ("x.y.d.info", "d.info")]
+    pages = [(h, "/es/", f'<a HREF = "https://{to}/p"> <img src="http://pic.org/">') for h, to in links] + [("bad.net", "/es/", None), ("e.com", "/", "")]
+    got = {r["host"]: r for r in linkrank.host_scores(spark.createDataFrame(pages, "host string, path string, html string"), rounds=90, tolerance=1e-9).collect()}
+    plain = lambda h: h.split(":")[0]
+    edges = Counter((plain(a), plain(b)) for a, b in links)
+    for a, b in (("x.y.d.info", "y.d.info"), ("y.d.info", "d.info")):
+        edges[a, b] += 1
+        edges[b, a] += 1
+    hosts = sorted({h for e in edges for h in e} | {"e.com"})
+    assert sorted(got) == hosts
+    trust = dense_ranks(hosts, edges, {"a.com": 2, "e.com": 1})
+    distrust = dense_ranks(hosts, Counter({(b, a): n for (a, b), n in edges.items()}), {"bad.net": 1})
+    for h in hosts:
+        assert got[h]["trust"] == pytest.approx(trust[h], abs=1e-6) and got[h]["distrust"] == pytest.approx(distrust[h], abs=1e-6)
+
+
+def test_ladder_ends_at_domains_that_can_be_registered(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.example.com", "h1.co.uk", "x.h1.co.uk", "10.0.0.1", "example.com", "com", "a.co.com", "")], "host string")
+    assert sorted(map(tuple, linkrank.ladder(hosts).collect())) == [("a.b.example.com", "b.example.com"), ("a.co.com", "co.com"), ("b.example.com", "example.com"), ("x.h1.co.uk", "h1.co.uk")]
+
+
+def test_page_text_has_no_markup_and_long_pages_are_quick(spark):
+    pages = [
+        (1, "http://a.de/x", "<html lang='DE'><script>var x</script>Hallo<!-- no --><style>p{}</style> <b>Welt</b>&nbsp;!"),
+        (2, None, "<" * 300_000),
+        (3, "nowhere", "<script " * 50_000 + "text"),
+        (4, "http://a.de/fr/x", "<html " * 50_000),
+        (5, "http://a.de:8/", None),
+    ]
+    began = time.perf_counter()
+    got = {r["id"]: r for r in langid.page_rows(spark.createDataFrame(pages, PAGES)).collect()}
+    assert time.perf_counter() - began < 20
+    assert got[1]["text"].split() == ["Hallo", "Welt", "!"] and got[1]["declared"] == "de" and got[1]["host"] == "a.de"
+    assert got[4]["suffix"] == "de/fr" and got[5]["text"] is None and got[2]["host"] is None
+
+
+def plain_posterior(text, declared, suffix, host, rows, model):
+    """The posterior of one row by loops, from the guesses of all rows."""
+
+    def evidence(t):
+        letters = [c if c.isalpha() else " " for c in (t or "").lower()]
+        grams = [letters[k : k + 3] for k in range(len(letters) - 2)]
+        grams = [g for g in grams if g.count(" ") <= 1]
+        buckets = [langid._trigrams(np.frombuffer("".join(g).encode(), np.uint8), np.array([0, 3]))[0][0] for g in grams]
+        if not buckets:
+            return np.zeros(len(model.names)), 0
+        return np.array([np.mean([logs[b] for b in buckets]) for logs in model.logs]) * langid.TEMPER * np.log1p(len(buckets) / langid.TEMPER), len(buckets)
+
+    k = len(model.names)
+    counts = defaultdict(lambda: np.zeros(k))
+    for t, d, s, h in rows:
+        scores, n = evidence(t)
+        if sum(c.isalpha() for c in t or "") >= 10 and n:
+            domain = h if h is None or h.count(".") < 2 else h.split(".", 1)[1]
+            for key in (("all",), ("d", d), ("s", s), ("h", h), ("domain", domain)):
+                counts[key][int(np.argmax(scores))] += 1
+    whole = counts["all",] + 1
+    shares = lambda seen, prior: (seen + langid.SMOOTHING * prior) / (seen.sum() + langid.SMOOTHING)
+    domain = host if host is None or host.count(".") < 2 else host.split(".", 1)[1]
+    prior = shares(counts["h", host], shares(counts["domain", domain], whole / whole.sum()))
+    ratio = lambda key: np.log((counts[key] + 1) / (whole + 1))
+    score = evidence(text)[0] + ratio(("d", declared)) + 0.5 * ratio(("s", suffix)) + np.log(prior)
+    p = np.exp(score - score.max())
+    return dict(zip(model.names, p / p.sum(), strict=True))
+
+
+def test_posterior_equals_brute_force(spark):
+    rng = random.Random(2)
+    train = spark.createDataFrame([(k, t) for k, t in SENTENCES.items()] * 5, "lang string, text string")
+    model = langid.text_model(train)
+    rows = []
+    for k in range(60):
+        lang = rng.choice(["en", "de", "fr", "es"])
+        own = SENTENCES[lang].replace("ö", "o").replace("é", "e").split()
+        rows.append((" ".join(rng.choice(own) for _ in range(rng.randrange(1, 12))), rng.choice([lang, lang, "en", None]), rng.choice([lang, "com", None]), rng.choice([f"{lang}.example.org", "www.a.com", "b.net", None])))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id bigint, text string, declared string, suffix string, host string")
+    judged = 0
+    for r in langid.identify(df, model).collect():
+        if r["lang"] != "und":
+            want = plain_posterior(*rows[r["id"]], rows, model)
+            assert max(want, key=want.get) == r["lang"] and r["posterior"] == pytest.approx(want[r["lang"]], rel=1e-3)
+            judged += 1
+    assert judged > 40
+
+
+def plain_network(network, x):
+    """The logit of one window, unit by unit."""
+    p = {k: v.astype(float) for k, v in network.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    states = {}
+    for d in "fb":
+        h, n = np.zeros(toxicity.HIDDEN), toxicity.HIDDEN
+        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            g, r = x[t] @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+            z, keep = sigmoid(g[:n] + r[:n]), sigmoid(g[n : 2 * n] + r[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(g[2 * n :] + keep * r[2 * n :])
+            states[d, t] = h
+    s = [np.concatenate((states["f", t], states["b", t])) for t in range(len(x))]
+    weight = np.exp([np.tanh(v @ p["A"]) @ p["a"] for v in s])
+    return sum(w * v for w, v in zip(weight / weight.sum(), s, strict=True)) @ p["o"] + p["b"][0] + network.shift
+
+
+def test_score_of_a_text_is_that_of_its_worst_window_unit_by_unit():
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 150))) + (" vile scum" if k % 2 else "") for k in range(60)]
+    tables, network = toxicity.fit(texts, [k % 2 for k in range(60)])
+    got = next(iter(toxicity._score_rows(pa.array(texts), tables, network)))[1]
+    for text, score in zip(texts, got, strict=True):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        v = toxicity._Vocabulary(buf, np.array([0, len(buf)]))
+        x = v.inputs(tables)[v.word].astype(float)
+        starts = [0, *(k for k in range(toxicity.STRIDE, len(x), toxicity.STRIDE) if k + toxicity.STEPS - toxicity.STRIDE < len(x))]
+        logits = [plain_network(network, x[a : a + toxicity.STEPS]) for a in starts]
+        assert score == pytest.approx(1 / (1 + math.exp(-max(logits))), abs=1e-4)
+
+
+def test_sample_is_bounded_in_texts_and_bytes_and_reruns_agree(spark):
+    rows = [(k, f"text {k} " + "x" * 100) for k in range(60)] + [(5, "another text"), (70, "y" * 5000), (None, "z")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(70, 1), (None, 1), (3, None)], "doc_id bigint, toxic int")
+    seen = set()
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, DOCS).repartition(parts)
+        texts, marks, _ = toxicity._sampled(docs, labels, F.lit(True), 20, 10, 50_000)
+        assert sum(marks) in (19, 20) and len(marks) == sum(marks) + 10 and "y" * 5000 not in texts
+        seen.add(tuple(texts))
+        assert sum(map(len, toxicity._sampled(docs, labels, F.lit(True), 20, 10, 6000)[0])) <= 6000
+    assert len(seen) == 1

@@ -46,6 +46,13 @@ def test_pii_adds_likely_spans_and_keeps_rows(spark):
     assert pii.find_pii(df.where("false")).count() == 0
 
 
+def test_overlaps_are_settled_among_accepted_spans(spark):
+    rows = [(1, "email", 0, 10, True), (1, "phone", 8, 20, False), (1, "ssn", 20, 30, False), (1, "iban", 25, 40, False), (1, "phone", 50, 60, False), (1, "card", 55, 70, True), (2, "phone", 0, 5, False), (2, "ssn", 5, 9, False), (3, None, None, None, False)]
+    df = spark.createDataFrame([(r[0], r[1], r[1] or "", *r[2:]) for r in rows], "row_id bigint, kind string, pattern string, start int, `end` int, base boolean")
+    got = sorted((r["row_id"], r["kind"] or "", r["start"]) for r in pii._settled(df).collect())
+    assert got == [(1, "card", 55), (1, "email", 0), (1, "ssn", 20), (2, "phone", 0), (2, "ssn", 5), (3, "", None)]
+
+
 def test_expectation_maximisation_finds_the_reliable_labeler():
     rng = random.Random(1)
     cells: dict = {}
