@@ -49,6 +49,34 @@ def test_each_stage_takes_effect_on_what_the_one_before_kept(spark, tmp_path):
     assert docs.where(F.col("copy") > 2).isEmpty()
 
 
+def prose(rng: random.Random, n: int) -> str:
+    return " ".join(rng.choice("the weather was fine and they went for long walks with their dog before rain came over hills near old town".split()) for _ in range(n))
+
+
+def test_stages_take_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    _, item = write(tmp_path)
+    rng = random.Random(9)
+    two = [prose(rng, 60), prose(rng, 60)]
+    long_ = prose(rng, 200_000)
+    rows = [(1, two[0]), (1, two[1]), (1, two[0]), (2, two[1] + " more"), (None, two[0]), (None, item), (3, None), (4, ""), (5, long_), (6, item), (6, prose(rng, 60)), (7, "12 34"), (None, "%%"), (8, prose(rng, 20) + " secret=abcdef0123456789")]
+    names = ["kept", "row_key", "text_key", "id", "rate", "copy", "part", "accepted", "row"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint" + "".join(f", {n} string" for n in names)
+    data = [(d, t, "en", "s", len(t or ""), *["x"] * len(names)) for d, t in rows]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(data, schema).repartition(parts)
+        got = {}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns + ["_copy"] * (name == "mixing")
+            got[name] = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.stash(out, name).collect()), key=str)
+            assert corpus_pipeline.stash(stage(spark, docs.where("false"), str(tmp_path)), name).isEmpty()
+        assert got["language_id"] == sorted(((d, t) for d, t in rows if t and any(c.isalpha() for c in t)), key=str)
+        first = (1, min(two))
+        assert got["near_dedup"] == sorted([first, (None, two[0]), (None, item), (3, None), (4, ""), (5, long_), (6, min(rows[9][1], rows[10][1])), (7, "12 34"), (None, "%%"), (8, rows[13][1])], key=str)
+        assert got["decontaminate"] == sorted([r for r in rows if r[1] != item], key=str)
+        assert got["secret_scan"] == sorted([(d, t and t.replace("secret=abcdef0123456789", "[SECRET]")) for d, t in rows], key=str)
+
+
 def test_run_and_queries_are_registered(spark, tmp_path):
     write(tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
