@@ -267,12 +267,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
     rows = stash(docs.mapInArrow(_sketches, "doc_id bigint, n_shingles bigint, node bigint, bands array<bigint>, sig binary"), "sketches")
     known = rows.where("n_shingles > 0 and doc_id is not null")
     reps = stash(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "reps")
-    heads = known.select("doc_id", "node", "n_shingles", "bands").join(reps, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
+    heads = known.select("doc_id", "node", "n_shingles", "bands").join(reps, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
     banded = stash(heads.select("node", "n_shingles", F.explode("bands").alias("key")), "banded")
     shared = stash(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "shared")
     members = stash(split_join(banded, shared, "key", hot=hot_keys(banded, "key", shared)), "members")
-    signatures = known.select("node", "doc_id", "sig").join(reps, ["node", "doc_id"], "left_semi").join(members.select("node").distinct(), "node", "left_semi")
-    signatures = stash(signatures.select("node", "sig").dropDuplicates(["node"]), "signatures")
+    wanted = stash(members.select("node").distinct().join(reps, "node"), "wanted")
+    signatures = known.select("node", "doc_id", "sig").join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node", "doc_id"])
+    signatures = stash(signatures.select("node", "sig"), "signatures")
 
     pairs = stash(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = stash(_verify(pairs, signatures, reps, docs, percent, miss).union(_same_id(known)), "links")
