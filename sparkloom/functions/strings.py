@@ -20,8 +20,8 @@ def slug(text: Column) -> Column:
 
 
 def stable_id(preferred: Column, fallback: Column, prefix: str) -> Column:
-    """The given id, else prefix_slug of the fallback."""
-    return F.coalesce(F.nullif(F.trim(preferred), F.lit("")), F.concat(F.lit(f"{prefix}_"), slug(fallback)))
+    """The given id, else prefix_slug of the fallback without legal suffixes."""
+    return F.coalesce(F.nullif(F.trim(preferred), F.lit("")), F.concat(F.lit(f"{prefix}_"), slug(normalized_name(fallback))))
 
 
 def file_extension(name: Column) -> Column:

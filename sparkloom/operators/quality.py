@@ -13,8 +13,10 @@ PROFILES = {
     "pitchbook": (("terms.management_fee", "performance.net_return_1y", "operations.aum"), ("terms.management_fee", "performance.net_return_1y", "operations.aum"), 0.80),
     "tear_sheet": (("performance.net_return_1y", "operations.aum"), ("operations.aum",), 1.0),
     "monthly_letter": (("performance.net_return_1y", "commentary.market_update"), ("performance.net_return_1y",), 0.5),
-    "ddq": (("terms.management_fee", "operations.aum", "terms.inception_date"), ("terms.management_fee", "operations.aum"), 0.80),
+    "ddq": (("terms.management_fee", "operations.aum", "operations.inception_date"), ("terms.management_fee", "operations.aum"), 0.80),
 }
+#: The profile of documents whose type has none.
+BASE_PROFILE = (("terms.management_fee", "performance.net_return_1y", "operations.aum"), ("terms.management_fee", "performance.net_return_1y", "operations.aum"), 0.80)
 BUCKETS = ((0.0, 0.5), (0.5, 0.7), (0.7, 0.85), (0.85, 1.0))
 
 
@@ -35,7 +37,7 @@ def threshold_decisions(fields: DataFrame, documents: DataFrame, profiles: DataF
 
     fields(document_id, key, confidence, ord), documents(document_id, doc_type). Mandatory fields
     that are missing or unsure come first in the reason, in the profile's order, then repeated
-    keys by name; low coverage alone is the last reason.
+    keys by name; low coverage alone is the last reason. A type without a profile has the base one.
     """
     best = best_fields(fields)
     found = best.groupBy("document_id").agg(
@@ -43,7 +45,10 @@ def threshold_decisions(fields: DataFrame, documents: DataFrame, profiles: DataF
         F.array_sort(F.collect_list(F.when(F.col("copies") > 1, F.col("key")))).alias("repeated"),
         F.count_if(F.col("confidence") >= THRESHOLDS["auto_accept"]).alias("auto_accepted"),
     )
-    rows = documents.join(F.broadcast(profiles), "doc_type").join(found, "document_id", "left")
+    keys, need, least = BASE_PROFILE
+    base = {"key_fields": F.array(*[F.lit(k) for k in keys]), "mandatory": F.array(*[F.lit(k) for k in need]), "least_coverage": F.lit(least)}
+    rows = documents.join(F.broadcast(profiles), "doc_type", "left").withColumns({k: F.coalesce(k, v) for k, v in base.items()})
+    rows = rows.join(found, "document_id", "left")
     sure = F.coalesce("confidence", F.create_map().cast("map<string,double>"))
     value = lambda k: F.try_element_at(sure, k)
     covered = F.size(F.filter("key_fields", lambda k: F.coalesce(value(k) >= THRESHOLDS["key_field"], F.lit(False))))
@@ -82,17 +87,21 @@ def cross_check(observations: DataFrame, tolerance_percent: float = 5.0) -> Data
 
 
 def field_outcomes(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Full outer join on (document_id, key): matched, mismatched, missing, unexpected; a repeated actual key mismatches."""
+    """Full outer join on (document_id, key): matched, mismatched, missing, unexpected; a repeated actual key mismatches.
+
+    A null value is a value: two nulls match, and it is there on its side. Of a repeated expected key the least value counts.
+    """
     plain = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
     one = actual.groupBy("document_id", "key").agg(F.min("value").alias("actual"), F.count("*").alias("copies"))
-    both = expected.select("document_id", "key", F.col("value").alias("expected")).join(one, ["document_id", "key"], "full_outer")
+    wanted = expected.groupBy("document_id", "key").agg(F.min("value").alias("expected")).withColumn("_wanted", F.lit(True))
+    both = wanted.join(one, ["document_id", "key"], "full_outer")
     outcome = (
-        F.when(F.col("expected").isNull(), "unexpected")
-        .when(F.col("actual").isNull(), "missing")
-        .when((F.col("copies") == 1) & (plain(F.col("expected")) == plain(F.col("actual"))), "matched")
+        F.when(F.col("_wanted").isNull(), "unexpected")
+        .when(F.col("copies").isNull(), "missing")
+        .when((F.col("copies") == 1) & plain(F.col("expected")).eqNullSafe(plain(F.col("actual"))), "matched")
         .otherwise("mismatched")
     )
-    return both.withColumn("outcome", outcome)
+    return both.withColumn("outcome", outcome).drop("_wanted")
 
 
 def extraction_f1(outcomes: DataFrame, by: str = "key") -> DataFrame:

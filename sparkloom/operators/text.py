@@ -16,8 +16,16 @@ INJECTION = (
     ("TOOL_INJECTION", r"(?is)(\bfunction_call\b|\btool_calls?\b|<\s*tool\s*>|</\s*tool\s*>|\bassistant\s+to=\w+\b)"),
 )
 # Terms of the visual classifier.
-INFORMATIVE = "alpha attribution benchmark bps chart correlation drawdown exposure gross index monthly performance portfolio return returns risk sector sharpe table volatility ytd".split()
+INFORMATIVE = (
+    "alpha", "attribution", "benchmark", "bps", "chart", "correlation", "drawdown", "exposure", "gross", "index", "monthly",
+    "performance", "portfolio", "return", "returns", "risk", "sector", "sharpe", "table", "volatility", "ytd",
+)
 BOILERPLATE = ("all rights reserved", "confidential", "copyright", "disclaimer", "for institutional use", "for professional investors", "logo", "not an offer", "terms of use", "trademark")
+# Signs of a chart, words, and names of pictures that are seldom informative.
+CHART = r"(?i)\b(?:q[1-4]|20\d{2}|fy\d{2})\b|(?<![A-Za-z0-9])-?[0-9]+(?:\.[0-9]+)?%"
+TOKEN = r"[a-zA-Z][a-zA-Z0-9_%.-]*"
+LOGO_MARKERS = ("logo", "banner", "footer", "masthead")
+PREVIEW_BYTES = 8192
 # What a note says about a return series, in order of priority.
 SERIES_TAGS = (
     ("pro_forma", r"pro forma|pro-forma|proforma"),
@@ -42,21 +50,27 @@ def series_tag(note: Column, has_gaps: Column) -> Column:
     return F.coalesce(*[F.when(hit(p) | has_gaps if tag == "backfilled" else hit(p), tag) for tag, p in SERIES_TAGS], F.lit("standard"))
 
 
-def visual_label(text: Column, byte_size: Column) -> dict[str, Column]:
-    """Label, confidence and reasons of a preview text."""
+def preview(content: Column) -> Column:
+    """The text of the first PREVIEW_BYTES bytes of an artifact; a character cut in two and invalid bytes are left out."""
+    return F.replace(F.make_valid_utf8(F.substring(content, 1, PREVIEW_BYTES).cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
+def visual_label(text: Column, byte_size: Column, source_ref: Column) -> dict[str, Column]:
+    """Label, confidence, reasons and rationale of an artifact, from its preview text, size and source reference."""
     low = F.lower(text)
     hits = lambda terms: reduce(lambda a, b: a + b, [F.contains(low, F.lit(t)).cast("int") for t in terms])
     good, bad = hits(INFORMATIVE), hits(BOILERPLATE)
-    tokens = F.regexp_count(text, F.lit("[A-Za-z0-9]+"))
+    tokens = F.regexp_count(text, F.lit(TOKEN))
     dense, sparse = tokens >= 18, (tokens <= 5) | ((tokens < 18) & (byte_size <= 512))
-    chart = F.rlike(text, F.lit(r"(?i)(\d+(\.\d+)?\s*%|\bq[1-4]\b|\b(19|20)\d{2}\b)"))
+    chart = F.rlike(text, F.lit(CHART))
+    logo = reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(source_ref, F.lit(""))), F.lit(m)) for m in LOGO_MARKERS])
     for_score = F.least(good, F.lit(4)) * 2 + F.when(chart, 3).otherwise(0) + F.when(dense, 2).otherwise(0)
-    against = F.least(bad, F.lit(4)) * 2 + F.when(~dense & sparse, 2).otherwise(0)
+    against = F.least(bad, F.lit(4)) * 2 + F.when(~dense & sparse, 2).otherwise(0) + F.when(logo, 3).otherwise(0)
     informative = for_score >= against
     base = F.when(informative, 0.62).otherwise(0.58)
     confidence = F.round(F.least(F.lit(0.95), base + F.least(F.lit(0.25), F.abs(for_score - against) * 0.04) + F.least(F.lit(0.12), (for_score + against) * 0.01)), 2)
     reasons = F.array_compact(
-        F.array(F.when(good > 0, "informative_terms"), F.when(bad > 0, "boilerplate_terms"), F.when(chart, "chart_indicators"), F.when(dense, "text_density_high"), F.when(~dense & sparse, "text_density_low"))
+        F.array(F.when(good > 0, "informative_terms"), F.when(bad > 0, "boilerplate_terms"), F.when(chart, "chart_indicators"), F.when(dense, "text_density_high"), F.when(~dense & sparse, "text_density_low"), F.when(logo, "logo_banner_pattern"))
     )
     return {
         "label": F.when(informative, "informative").otherwise("boilerplate"),

@@ -18,17 +18,17 @@ QUEUE_MOVES = {
     "ops_review": ("in_validation", "completed", "rejected"),
 }
 NEXT_ACTION = {
-    "pending_triage": "claim",
-    "in_validation": "validate",
-    "awaiting_manager_response": "follow_up",
-    "ops_review": "review",
-    "completed": "none",
-    "rejected": "none",
+    "pending_triage": "Claim by analyst",
+    "in_validation": "Review extracted fields",
+    "awaiting_manager_response": "Collect manager clarification",
+    "ops_review": "Ops policy decision",
+    "completed": "No action",
+    "rejected": "No further action",
 }
 
 
 def next_action(state: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in NEXT_ACTION.items() for x in kv]), state)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in NEXT_ACTION.items() for x in kv]), state), F.lit("No action"))
 
 
 def queue_page(rows: DataFrame, condition: Column | None = None, sort_by: str = "updated_at", descending: bool = True, offset: int = 0, limit: int = 50) -> DataFrame:
@@ -116,3 +116,9 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
     )
     disagree = (F.col("reviews") > 1) & (F.col("differ") | (F.col("range") >= 2))
     return out.withColumns({"informative_rate": zero_safe_ratio(F.col("informative"), F.col("reviews")), "mean_rank": F.round("mean_rank", 4), "disagreement": disagree}).drop("range", "differ")
+
+
+def cross_check_items(reports: DataFrame) -> DataFrame:
+    """A queue item for each of reports(entity, escalate, reasons) that escalates."""
+    package = F.col("entity").cast("string")
+    return reports.where("escalate").select(F.concat(package, F.lit(":validation:extraction_cross_check")).alias("item_id"), package.alias("package_id"), F.lit("pending_triage").alias("state"), F.col("reasons").alias("escalation_reason"))

@@ -28,13 +28,13 @@ def element_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.element_coverage(elements, documents, fields)
 
 
-_TASKS_SQL = "tasks AS (SELECT o_orderkey AS task_id, o_orderkey // 100 AS milestone, [o_orderkey - 1 - o_orderkey % 3, o_orderkey + o_orderkey % 200 - 150] AS depends FROM orders WHERE o_orderkey % 2 = 0)"
+_TASKS_SQL = "tasks AS (SELECT o_orderkey AS task_id, o_orderkey // 100 AS milestone, [o_orderkey - 1 - o_orderkey % 3, o_orderkey + o_orderkey % 200 - 150] AS depends FROM orders)"
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     depends = F.array(key - 1 - key % 3, key + key % 200 - 150)
-    return table(spark, sf_dir, "orders").where(key % 2 == 0).select(key.alias("task_id"), F.expr("o_orderkey div 100").alias("milestone"), depends.alias("depends"))
+    return table(spark, sf_dir, "orders").select(key.alias("task_id"), F.expr("o_orderkey div 100").alias("milestone"), depends.alias("depends"))
 
 
 @query(f"""WITH {_TASKS_SQL}, e AS (SELECT task_id, milestone, unnest(depends) AS depends_on FROM tasks)
@@ -124,11 +124,11 @@ def flat_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.flat_modalities(table(spark, sf_dir, "customer").select(key.alias("document_id"), blocks.alias("blocks"), F.array(cell).alias("cells")))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS document_id, l_linenumber AS attempt, 'p' || (l_suppkey % 3) AS provider, l_partkey % 3 = 0 AS ok, 'v' || l_partkey AS value FROM lineitem WHERE l_linenumber <= 2), u AS (SELECT DISTINCT ON (document_id, attempt) * FROM a ORDER BY document_id, attempt, provider, value),
-g AS (SELECT document_id, arg_min(provider, attempt) FILTER (ok) AS provider, arg_min(value, attempt) FILTER (ok) AS value, count(*) FILTER (ok) AS worked, count(DISTINCT provider) FILTER (NOT ok) AS failed_providers FROM u GROUP BY 1)
+@query("""WITH a AS (SELECT l_orderkey AS document_id, l_linenumber AS attempt, 'p' || (l_suppkey % 3) AS provider, l_partkey % 3 = 0 AS ok, 'v' || l_partkey AS value FROM lineitem), u AS (SELECT DISTINCT ON (document_id, attempt) * FROM a ORDER BY document_id, attempt, provider, value),
+g AS (SELECT document_id, arg_min(provider, attempt) FILTER (ok AND attempt <= 2) AS provider, arg_min(value, attempt) FILTER (ok AND attempt <= 2) AS value, count(*) FILTER (ok AND attempt <= 2) AS worked, count(DISTINCT provider) FILTER (NOT ok AND attempt <= 2) AS failed_providers, min(attempt) AS first FROM u GROUP BY 1 HAVING min(attempt) <= 2)
 SELECT document_id, provider, value, failed_providers, CASE WHEN worked > 0 THEN 'none' WHEN failed_providers > 1 THEN 'ops_review' ELSE 'analyst_review' END AS route FROM g""")
 def provider_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    attempts = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(
+    attempts = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("document_id"),
         F.col("l_linenumber").alias("attempt"),
         F.concat(F.lit("p"), (F.col("l_suppkey") % 3).cast("string")).alias("provider"),

@@ -9,10 +9,11 @@ from sparkloom.operators import quality
 from sparkloom.plans.registry import query
 from sparkloom.sources.tables import table
 
-KEYS = ("terms.management_fee", "performance.net_return_1y", "operations.aum", "commentary.market_update", "terms.inception_date")
+KEYS = ("terms.management_fee", "performance.net_return_1y", "operations.aum", "commentary.market_update", "operations.inception_date")
 _KEY_SQL = "CASE l_partkey % 5 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KEYS)) + " END"
-_TYPE_SQL = "CASE o_orderkey % 4 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(quality.PROFILES)) + " END"
-_PROFILES_SQL = "profiles(doc_type, key_fields, mandatory, least_coverage) AS (VALUES " + ", ".join(f"('{k}', {list(a)}, {list(b)}, {c}::DOUBLE)" for k, (a, b, c) in quality.PROFILES.items()) + ")"
+_TYPES = (*quality.PROFILES, "memo")
+_TYPE_SQL = "CASE o_orderkey % 5 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_TYPES)) + " END"
+_PROFILES_SQL = "profiles(doc_type, key_fields, mandatory, least_coverage) AS (VALUES " + ", ".join(f"('{k}', {list(a)}, {list(b)}, {c}::DOUBLE)" for k, (a, b, c) in (quality.PROFILES | {"memo": quality.BASE_PROFILE}).items()) + ")"
 FIELDS_SQL = f"""fields AS (SELECT l_orderkey AS document_id, {_KEY_SQL} AS key, ((l_suppkey * 7 + l_partkey * 3) % 101) / 100.0::DOUBLE AS confidence, l_partkey * 100 + l_linenumber AS ord FROM lineitem)"""
 
 
@@ -34,13 +35,24 @@ SELECT d.document_id, d.doc_type, round(coverage, 6) AS coverage, coalesce(auto_
   coalesce(reasons, CASE WHEN coverage < least_coverage THEN 'low_key_field_coverage' END) AS reason
 FROM docs d JOIN profiles USING (doc_type) JOIN cov USING (document_id) LEFT JOIN r USING (document_id) LEFT JOIN acc USING (document_id)""")
 def threshold_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*[F.lit(k) for k in quality.PROFILES]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in _TYPES]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     documents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), kind.alias("doc_type"))
     return quality.threshold_decisions(fields(spark, sf_dir), documents, quality.profile_table(spark)).withColumn("coverage", F.round("coverage", 6))
 
 
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order, part, supplier = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    value = (
+        F.when(order % 50 == 0, "n/a")
+        .when(order % 3 == 0, F.concat(F.lit("$"), (part % 90 + 10).cast("string"), F.lit(" million")))
+        .otherwise(F.concat((part % 90 + 10 + supplier % 3).cast("string"), F.lit("M")))
+    )
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(part.alias("entity"), F.lit("operations.aum").alias("key"), F.concat(F.lit("s"), supplier.cast("string")).alias("source"), (order * 13 % 101 / F.lit(100.0)).alias("confidence"), value.alias("value"))
+
+
 _OBS_SQL = """obs AS (SELECT l_partkey AS entity, 'operations.aum' AS key, 's' || l_suppkey AS source, (l_orderkey * 13 % 101) / 100.0::DOUBLE AS confidence,
-  CASE WHEN l_orderkey % 50 = 0 THEN 'n/a' WHEN l_orderkey % 3 = 0 THEN '$' || CAST(l_partkey % 90 + 10 AS VARCHAR) || ' million' ELSE CAST((l_partkey % 90 + 10) + (l_suppkey % 3) AS VARCHAR) || 'M' END AS value FROM lineitem WHERE l_linenumber <= 2)"""
+  CASE WHEN l_orderkey % 50 = 0 THEN 'n/a' WHEN l_orderkey % 3 = 0 THEN '$' || CAST(l_partkey % 90 + 10 AS VARCHAR) || ' million' ELSE CAST((l_partkey % 90 + 10) + (l_suppkey % 3) AS VARCHAR) || 'M' END AS value FROM lineitem)"""
 
 
 @query(f"""WITH {_OBS_SQL}, p AS (SELECT *, CASE WHEN value = 'n/a' THEN NULL ELSE CAST(regexp_extract(value, '[0-9]+') AS DOUBLE) * 1e6 END AS number FROM obs),
@@ -50,15 +62,7 @@ d AS (SELECT *, coalesce(abs(low - high) / greatest(abs(low), abs(high), 1e-12)
 r AS (SELECT *, CASE WHEN unparsed <> '' THEN 'unparseable:' || key || ':' || unparsed WHEN diff > 5 THEN 'disagreement:' || key END AS reason FROM d)
 SELECT entity, key, n, accepted.source AS accepted_source, accepted.value AS accepted_value, round(diff, 6) AS difference_percent, reason IS NOT NULL AS escalate, reason FROM r""")
 def cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order, part, supplier = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    value = (
-        F.when(order % 50 == 0, "n/a")
-        .when(order % 3 == 0, F.concat(F.lit("$"), (part % 90 + 10).cast("string"), F.lit(" million")))
-        .otherwise(F.concat((part % 90 + 10 + supplier % 3).cast("string"), F.lit("M")))
-    )
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
-    observed = rows.select(part.alias("entity"), F.lit("operations.aum").alias("key"), F.concat(F.lit("s"), supplier.cast("string")).alias("source"), (order * 13 % 101 / F.lit(100.0)).alias("confidence"), value.alias("value"))
-    return quality.cross_check(observed).withColumn("difference_percent", F.round("difference_percent", 6))
+    return quality.cross_check(observations(spark, sf_dir)).withColumn("difference_percent", F.round("difference_percent", 6))
 
 
 _EXPECTED_SQL = """expected AS (SELECT o_orderkey AS document_id, k AS key, o_orderpriority || ' ' || k AS value FROM orders, (VALUES ('a'), ('b'), ('c')) t(k) WHERE o_orderkey % 13 <> 0 OR k <> 'c'),

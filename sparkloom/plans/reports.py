@@ -28,24 +28,25 @@ def prompt_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _INF = " + ".join(f"CAST(contains(l, '{t}') AS INTEGER)" for t in text.INFORMATIVE)
 _BOI = " + ".join(f"CAST(contains(l, '{t}') AS INTEGER)" for t in text.BOILERPLATE)
-_NOTE_SQL = "left(coalesce(text, ''), CAST(20 + doc_id % 400 AS INTEGER)) || CASE doc_id % 5 WHEN 0 THEN ' Sharpe ratio 12.5% chart' WHEN 1 THEN ' Confidential. All rights reserved' WHEN 2 THEN ' Copyright 2023' ELSE '' END"
+_NOTE_SQL = "coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN ' Sharpe ratio 12.5% chart' WHEN 1 THEN ' Confidential. All rights reserved' WHEN 2 THEN ' Copyright 2023' ELSE '' END"
 
 
 def _note() -> F.Column:
     tails = (" Sharpe ratio 12.5% chart", " Confidential. All rights reserved", " Copyright 2023", "", "")
     tail = F.element_at(F.array(*[F.lit(t) for t in tails]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return F.concat(F.left(F.coalesce("text", F.lit("")), (20 + F.col("doc_id") % 400).cast("int")), tail)
+    return F.concat(F.coalesce("text", F.lit("")), tail)
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_NOTE_SQL} AS t FROM documents), h AS (SELECT doc_id, t, lower(t) AS l, len(regexp_extract_all(t, '[A-Za-z0-9]+')) AS n FROM t),
-s AS (SELECT doc_id, {_INF} AS g, {_BOI} AS b, n >= 18 AS dense, n <= 5 OR (n < 18 AND strlen(t) <= 512) AS sparse, regexp_matches(t, '(?i)(\\d+(\\.\\d+)?\\s*%|\\bq[1-4]\\b|\\b(19|20)\\d{{2}}\\b)') AS chart FROM h),
-p AS (SELECT *, least(g, 4) * 2 + CASE WHEN chart THEN 3 ELSE 0 END + CASE WHEN dense THEN 2 ELSE 0 END AS f, least(b, 4) * 2 + CASE WHEN NOT dense AND sparse THEN 2 ELSE 0 END AS a FROM s)
+@query(f"""WITH t AS (SELECT doc_id, doc_id % 6 = 0 AS logo, {_NOTE_SQL} AS t FROM documents), h AS (SELECT doc_id, logo, t, lower(t) AS l, len(regexp_extract_all(t, '{text.TOKEN}')) AS n FROM t),
+s AS (SELECT doc_id, logo, {_INF} AS g, {_BOI} AS b, n >= 18 AS dense, n <= 5 OR (n < 18 AND strlen(t) <= 512) AS sparse, regexp_matches(t, '(?i)\\b(?:q[1-4]|20\\d{{2}}|fy\\d{{2}})\\b|(?:^|[^A-Za-z0-9])-?[0-9]+(?:\\.[0-9]+)?%') AS chart FROM h),
+p AS (SELECT *, least(g, 4) * 2 + CASE WHEN chart THEN 3 ELSE 0 END + CASE WHEN dense THEN 2 ELSE 0 END AS f, least(b, 4) * 2 + CASE WHEN NOT dense AND sparse THEN 2 ELSE 0 END + CASE WHEN logo THEN 3 ELSE 0 END AS a FROM s)
 SELECT doc_id, CASE WHEN f >= a THEN 'informative' ELSE 'boilerplate' END AS label,
   round(least(0.95::DOUBLE, CASE WHEN f >= a THEN 0.62::DOUBLE ELSE 0.58::DOUBLE END + least(0.25::DOUBLE, abs(f - a) * 0.04::DOUBLE) + least(0.12::DOUBLE, (f + a) * 0.01::DOUBLE)), 2) AS confidence,
-  coalesce(nullif(concat_ws(',', CASE WHEN g > 0 THEN 'informative_terms' END, CASE WHEN b > 0 THEN 'boilerplate_terms' END, CASE WHEN chart THEN 'chart_indicators' END, CASE WHEN dense THEN 'text_density_high' END, CASE WHEN NOT dense AND sparse THEN 'text_density_low' END), ''), 'fallback_content_heuristic') AS reasons FROM p""")
+  coalesce(nullif(concat_ws(',', CASE WHEN g > 0 THEN 'informative_terms' END, CASE WHEN b > 0 THEN 'boilerplate_terms' END, CASE WHEN chart THEN 'chart_indicators' END, CASE WHEN dense THEN 'text_density_high' END, CASE WHEN NOT dense AND sparse THEN 'text_density_low' END, CASE WHEN logo THEN 'logo_banner_pattern' END), ''), 'fallback_content_heuristic') AS reasons FROM p""")
 def visual_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", _note().alias("t"))
-    return docs.select("doc_id", *[c.alias(k) for k, c in text.visual_label(F.col("t"), F.octet_length("t")).items()])
+    ref = F.when(F.col("doc_id") % 6 == 0, F.concat(F.col("source"), F.lit("/Masthead.png"))).otherwise("page-1")
+    docs = table(spark, sf_dir, "documents").select("doc_id", _note().alias("t"), ref.alias("ref"))
+    return docs.select("doc_id", *[c.alias(k) for k, c in text.visual_label(F.col("t"), F.octet_length("t"), F.col("ref")).items()])
 
 
 @query("""WITH t AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 3 WHEN 0 THEN ' CONFIDENTIAL: memo-7 end' WHEN 1 THEN ' proprietary_x9 and confidential-A/B' ELSE '' END AS t FROM documents)
@@ -121,10 +122,10 @@ def variant_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", status.alias("status"), F.when(is_object, F.try_variant_get("v", "$.k", "int")).alias("k"))
 
 
-@query("""WITH f AS (SELECT l_orderkey AS document_id, l_linenumber AS page, 'k' || (l_partkey % 5) AS key FROM lineitem WHERE l_orderkey % 3 > 0), r AS (SELECT document_id, count(*) AS n_fields, string_agg(document_id || ':' || key || ':p' || page, ';' ORDER BY page, key) AS refs FROM f GROUP BY 1)
+@query("""WITH f AS (SELECT l_orderkey AS document_id, l_linenumber AS page, 'k' || (l_partkey % 5) AS key FROM lineitem), r AS (SELECT document_id, count(*) AS n_fields, string_agg(document_id || ':' || key || ':p' || page, ';' ORDER BY page, key) AS refs FROM f GROUP BY 1)
 SELECT o_orderkey AS document_id, coalesce(n_fields, 0) AS n_fields, coalesce(refs, '') AS refs FROM orders LEFT JOIN r ON document_id = o_orderkey""")
 def lineage_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.concat(F.lit("k"), (F.col("l_partkey") % 5).cast("string")).alias("key"))
+    fields = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.concat(F.lit("k"), (F.col("l_partkey") % 5).cast("string")).alias("key"))
     return reports.lineage(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id")), fields)
 
 

@@ -30,12 +30,15 @@ _EVENT_STATE = "CASE event_id % 4 WHEN 0 THEN 'received' WHEN 1 THEN 'processing
 _ALLOWED = ", ".join(f"'{a}>{b}'" for a, bs in workflow.INGEST_MOVES.items() for b in bs)
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT user_id * 100 + event_id % 50 AS item_id, {_EVENT_STATE} AS to_state, row_number() OVER (PARTITION BY user_id * 100 + event_id % 50 ORDER BY ts, event_id) AS n FROM events),
+LIFECYCLE_SQL = f"""WITH RECURSIVE e AS (SELECT user_id * 100 + event_id % 50 AS item_id, {_EVENT_STATE} AS to_state, row_number() OVER (PARTITION BY user_id * 100 + event_id % 50 ORDER BY ts, event_id) AS n FROM events),
 f(item_id, n, state, moves, illegal) AS (SELECT DISTINCT item_id, CAST(0 AS BIGINT), '', 0, 0 FROM e UNION ALL
   SELECT f.item_id, e.n, CASE WHEN f.state || '>' || e.to_state IN ({_ALLOWED}) THEN e.to_state ELSE f.state END,
     f.moves + CASE WHEN f.state || '>' || e.to_state IN ({_ALLOWED}) AND f.state <> e.to_state THEN 1 ELSE 0 END,
     f.illegal + CASE WHEN f.state || '>' || e.to_state NOT IN ({_ALLOWED}) AND f.state <> e.to_state THEN 1 ELSE 0 END FROM f JOIN e ON e.item_id = f.item_id AND e.n = f.n + 1)
-SELECT item_id, arg_max(state, n) AS state, arg_max(moves, n) AS moves, arg_max(illegal, n) AS illegal FROM f GROUP BY 1""")
+SELECT item_id, arg_max(state, n) AS state, arg_max(moves, n) AS moves, arg_max(illegal, n) AS illegal FROM f GROUP BY 1"""
+
+
+@query(LIFECYCLE_SQL)
 def lifecycle_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
     to = F.element_at(F.array(*[F.lit(s) for s in ("received", "processing", "completed", "escalated")]), (key % 4 + 1).cast("int"))
@@ -104,26 +107,31 @@ _EXT = "CASE o_orderkey % 9 WHEN 0 THEN 'deck.PDF' WHEN 1 THEN 'deck.pptx' WHEN
 
 
 @query(f"""WITH p AS (SELECT o_orderkey AS package_id, CASE WHEN o_orderkey % 31 = 0 THEN ' ' ELSE 'Firm ' || o_custkey END AS firm_name, CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE 'Fund' END AS fund_name,
-  CASE WHEN o_orderkey % 41 = 0 THEN '03/04/2024' WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T10:00:00Z' END AS received_at,
+  CASE WHEN o_orderkey % 41 = 0 THEN '03/04/2024' WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') || 'T10:00Z' END AS received_at, CASE o_orderkey % 29 WHEN 0 THEN ' ' WHEN 1 THEN 'v2' WHEN 2 THEN NULL ELSE 'v1' END AS version, CASE WHEN o_orderkey % 23 = 0 THEN 0 ELSE 3 END AS revision,
   CASE WHEN o_orderkey % 43 = 0 THEN 'fax' ELSE 'email' END AS source_channel, o_orderkey % 47 = 0 AS no_files, {_EXT} AS n0, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE 'primary' END AS r0, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'ref' END AS s0 FROM orders),
 f AS (SELECT package_id, 0 AS k, n0 AS n, r0 AS r, s0 AS s FROM p WHERE NOT no_files UNION ALL SELECT package_id, 1, 'extra.txt', 'secondary', 'ref' FROM p WHERE NOT no_files), x AS (SELECT *, CASE WHEN contains(n, '.') THEN lower(split_part(n, '.', -1)) ELSE '' END AS ext FROM f)
 SELECT package_id, 'missing_required_metadata' AS code, 'metadata.firm_name' AS path, 'error' AS severity FROM p WHERE trim(firm_name) = ''
 UNION ALL SELECT package_id, 'missing_required_metadata', 'metadata.fund_name', 'error' FROM p WHERE fund_name IS NULL
 UNION ALL SELECT package_id, 'invalid_source_channel', 'metadata.source_channel', 'error' FROM p WHERE source_channel = 'fax'
 UNION ALL SELECT package_id, 'invalid_received_at', 'metadata.received_at', 'error' FROM p WHERE received_at LIKE '%/%'
+UNION ALL SELECT package_id, 'invalid_contract_version', 'metadata.contract_version', 'error' FROM p WHERE version = ' '
+UNION ALL SELECT package_id, 'unsupported_contract_version', 'metadata.contract_version', 'error' FROM p WHERE version = 'v2'
+UNION ALL SELECT package_id, 'invalid_schema_revision', 'metadata.schema_revision', 'error' FROM p WHERE revision < 1
 UNION ALL SELECT package_id, 'missing_files', 'files', 'error' FROM p WHERE no_files
-UNION ALL SELECT package_id, 'missing_primary_document', 'files', 'error' FROM x GROUP BY 1 HAVING NOT bool_or(r = 'primary' AND ext IN ('pdf', 'pptx'))
+UNION ALL SELECT package_id, 'missing_primary_document', 'files', 'error' FROM x GROUP BY 1 HAVING NOT bool_or(ext IN ('pdf', 'pptx'))
 UNION ALL SELECT package_id, 'missing_file_name', 'files[' || k || '].file_name', 'error' FROM x WHERE n = ''
-UNION ALL SELECT package_id, 'missing_file_role', 'files[' || k || '].role', 'error' FROM x WHERE r = ''
+UNION ALL SELECT package_id, 'missing_file_role', 'files[' || k || '].role', 'error' FROM x WHERE r = '' AND n <> ''
 UNION ALL SELECT package_id, 'unsupported_file_type', 'files[' || k || '].file_name', 'error' FROM x WHERE n <> '' AND ext NOT IN ('pdf', 'pptx', 'xlsx', 'docx', 'eml', 'txt', 'md')
-UNION ALL SELECT package_id, 'missing_source_ref', 'files[' || k || '].source_ref', 'warning' FROM x WHERE s IS NULL""")
+UNION ALL SELECT package_id, 'missing_source_ref', 'files[' || k || '].source_ref', 'warning' FROM x WHERE s IS NULL AND ext IN ('pdf', 'pptx', 'xlsx', 'docx', 'eml', 'txt', 'md')""")
 def intake_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, day = F.col("o_orderkey"), F.date_format(F.col("o_orderdate").cast("date"), "yyyy-MM-dd")
     name = F.element_at(F.array(*[F.lit(x) for x in ("deck.PDF", "deck.pptx", "data.xlsx", "notes.exe", "", "letter.docx", *["summary.pdf"] * 3)]), (key % 9 + 1).cast("int"))
     metadata = F.struct(
         F.when(key % 31 == 0, " ").otherwise(F.concat(F.lit("Firm "), F.col("o_custkey").cast("string"))).alias("firm_name"),
         F.when(key % 37 != 0, "Fund").alias("fund_name"),
-        F.when(key % 41 == 0, "03/04/2024").when(key % 2 == 0, day).otherwise(F.concat(day, F.lit("T10:00:00Z"))).alias("received_at"),
+        F.when(key % 41 == 0, "03/04/2024").when(key % 2 == 0, day).otherwise(F.concat(day, F.lit("T10:00Z"))).alias("received_at"),
+        F.when(key % 29 == 0, " ").when(key % 29 == 1, "v2").when(key % 29 > 2, "v1").alias("contract_version"),
+        F.when(key % 23 == 0, 0).otherwise(3).alias("schema_revision"),
         F.when(key % 43 == 0, "fax").otherwise("email").alias("source_channel"),
     )
     first = F.struct(name.alias("file_name"), F.when(key % 13 == 0, "").otherwise("primary").alias("role"), F.when(key % 3 != 0, "ref").alias("source_ref"))
@@ -136,9 +144,9 @@ def intake_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 known AS (SELECT DISTINCT entity_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(a)), '\\s+', ' ', 'g'), '([\\s,]*\\b(llc|l\\.l\\.c|lp|l\\.p|ltd|inc)\\.?)+[\\s,]*$', ''), '[\\s,]+$', '')) AS key FROM (SELECT entity_id, unnest(list_append(aliases, name)) AS a FROM ent)),
 g AS (SELECT key, count(*) AS matches, min(entity_id) AS match FROM known GROUP BY 1),
 n AS (SELECT c_custkey AS name_id, CASE c_custkey % 4 WHEN 0 THEN upper(s_name) || ' LTD' WHEN 1 THEN 'shared   name' WHEN 2 THEN s_name || ' Partners' ELSE c_name END AS name, CASE WHEN c_custkey % 20 = 7 THEN 'given_1' ELSE '' END AS given_id FROM customer JOIN supplier ON s_suppkey = 1 + c_custkey % (SELECT count(*) FROM supplier)),
-j AS (SELECT n.*, matches, match FROM n LEFT JOIN g ON g.key = trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(n.name)), '\\s+', ' ', 'g'), '([\\s,]*\\b(llc|l\\.l\\.c|lp|l\\.p|ltd|inc)\\.?)+[\\s,]*$', ''), '[\\s,]+$', '')))
+j AS (SELECT n.*, matches, match, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(n.name)), '\\s+', ' ', 'g'), '([\\s,]*\\b(llc|l\\.l\\.c|lp|l\\.p|ltd|inc)\\.?)+[\\s,]*$', ''), '[\\s,]+$', '')) AS key FROM n LEFT JOIN g ON g.key = trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(n.name)), '\\s+', ' ', 'g'), '([\\s,]*\\b(llc|l\\.l\\.c|lp|l\\.p|ltd|inc)\\.?)+[\\s,]*$', ''), '[\\s,]+$', '')))
 SELECT name_id, name, CASE WHEN given_id <> '' THEN 'given' WHEN matches > 1 THEN 'ambiguous' WHEN matches = 1 THEN 'matched' ELSE 'new' END AS status,
-  CASE WHEN given_id <> '' THEN given_id WHEN matches > 1 THEN NULL WHEN matches = 1 THEN match ELSE 'firm_' || regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END AS entity_id FROM j""")
+  CASE WHEN given_id <> '' THEN given_id WHEN matches > 1 THEN NULL WHEN matches = 1 THEN match ELSE 'firm_' || regexp_replace(regexp_replace(key, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END AS entity_id FROM j""")
 def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     key = F.col("s_suppkey")
@@ -151,20 +159,52 @@ def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.resolve_entities(names, entities, "firm")
 
 
-_CONTENT_SQL = """'Manager: ' || p_name || '; Strategy: ' || p_type || '; Management Fee: ' || (p_size % 3) || '.5 %; ' || CASE WHEN p_partkey % 3 = 0 THEN 'AUM: $' || p_size || 'm; ' ELSE '' END || 'net return: -' || p_size || '.25%'"""
+_CONTENT_SQL = """'Manager - ' || p_name || '; Strategy Asset Class: ' || p_type || '; Management Fee ' || (p_size % 3) || '.5%; performance fee: 20%; ' || CASE WHEN p_partkey % 3 = 0 THEN 'AUM: $' || p_size || 'm; ' ELSE '' END || 'page 4 net return 1y -- ' || p_size || '.25%; Key Person Risk: low. ' || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'Benchmark: ' || p_brand ELSE '' END"""
+
+
+def _fields_sql(patterns: tuple, source: str, strip: str = "") -> str:
+    """SQL for the first match of each pattern in source(document_id, content)."""
+    quoted = [(k, p.replace("'", "''"), sure) for k, p, sure in patterns]
+    value = lambda p: f"trim(regexp_extract(content, '{p}', 1))"
+    return " UNION ALL ".join(
+        f"SELECT *, '{k}' AS key, {f'rtrim({value(p)}, {chr(39)}{strip}{chr(39)})' if strip else value(p)} AS value, {sure}::DOUBLE AS confidence, CAST(instr(content, regexp_extract(content, '{p}', 0)) AS INTEGER) AS start, trim(regexp_extract(content, '{p}', 0)) AS snippet FROM {source} WHERE regexp_matches(content, '{p}')"
+        for k, p, sure in quoted
+    )
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    parts = [F.lit("Manager - "), F.col("p_name"), F.lit("; Strategy Asset Class: "), F.col("p_type"), F.lit("; Management Fee "), (F.col("p_size") % 3).cast("string"), F.lit(".5%; performance fee: 20%; ")]
+    aum = F.when(key % 3 == 0, F.concat(F.lit("AUM: $"), size, F.lit("m; "))).otherwise("")
+    last = F.when(key % 2 == 0, F.concat(F.lit("\nBenchmark: "), "p_brand")).otherwise("")
+    content = F.concat(*parts, aum, F.lit("page 4 net return 1y -- "), size, F.lit(".25%; Key Person Risk: low. "), last)
+    return table(spark, sf_dir, "part").select(key.alias("document_id"), content.alias("content"))
 
 
-@query(f"""WITH d AS (SELECT p_partkey AS document_id, {_CONTENT_SQL} AS content FROM part), p(key, pat, label) AS (VALUES ('manager.name', '(?i)manager(?: name)?:\\s*([^\\n;]+)', 'Manager: '), ('strategy.name', '(?i)strategy:\\s*([^\\n;]+)', 'Strategy: '),
-  ('terms.management_fee', '(?i)management fee:\\s*([0-9]+(?:\\.[0-9]+)?\\s*%)', 'Management Fee: '), ('operations.aum', '(?i)aum:\\s*(\\$?[0-9]+(?:\\.[0-9]+)?\\s*[kmb]?)', 'AUM: '), ('performance.net_return_1y', '(?i)net return(?: 1y)?:\\s*(-?[0-9]+(?:\\.[0-9]+)?\\s*%)', 'net return: '))
-SELECT document_id, key, trim(CASE key WHEN 'manager.name' THEN regexp_extract(content, '(?i)manager(?: name)?:\\s*([^\\n;]+)', 1) WHEN 'strategy.name' THEN regexp_extract(content, '(?i)strategy:\\s*([^\\n;]+)', 1)
-  WHEN 'terms.management_fee' THEN regexp_extract(content, '(?i)management fee:\\s*([0-9]+(?:\\.[0-9]+)?\\s*%)', 1) WHEN 'operations.aum' THEN regexp_extract(content, '(?i)aum:\\s*(\\$?[0-9]+(?:\\.[0-9]+)?\\s*[kmb]?)', 1) ELSE regexp_extract(content, '(?i)net return(?: 1y)?:\\s*(-?[0-9]+(?:\\.[0-9]+)?\\s*%)', 1) END) AS value,
-  0.82::DOUBLE AS confidence, CAST(instr(content, label) AS INTEGER) AS start FROM d, p WHERE instr(content, label) > 0""")
+@query(f"WITH d AS (SELECT p_partkey AS document_id, {_CONTENT_SQL} AS content FROM part), f AS ({_fields_sql(intake.FIELD_PATTERNS, 'd')}) SELECT document_id, key, value, confidence, start, snippet FROM f")
 def extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size")
-    parts = [F.lit("Manager: "), F.col("p_name"), F.lit("; Strategy: "), F.col("p_type"), F.lit("; Management Fee: "), (size % 3).cast("string"), F.lit(".5 %; ")]
-    aum = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("AUM: $"), size.cast("string"), F.lit("m; "))).otherwise("")
-    content = F.concat(*parts, aum, F.lit("net return: -"), size.cast("string"), F.lit(".25%"))
-    return intake.extract_fields(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("document_id"), content.alias("content")))
+    return intake.extract_fields(_contents(spark, sf_dir))
+
+
+@query(f"""WITH d AS (SELECT p_partkey AS document_id, {_CONTENT_SQL} AS content FROM part), f AS ({_fields_sql(intake.PDF_PATTERNS, 'd', '.')})
+SELECT document_id, key, value, confidence, CASE WHEN start > instr(content, 'page 4') THEN 4 ELSE 0 END AS page FROM f""")
+def extract_pdf_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.extract_pdf_fields(_contents(spark, sf_dir))
+
+
+_SLIDES_SQL = "d AS (SELECT l_orderkey AS document_id, l_linenumber AS slide, CASE l_partkey % 4 WHEN 0 THEN 'Management Fee: ' || l_suppkey || '.5%' WHEN 1 THEN 'AUM- $' || l_suppkey || 'm; key person risk: high' WHEN 2 THEN 'net return 1y:' || l_linenumber || '.5%' ELSE 'aum 5' END AS content FROM lineitem)"
+
+
+@query(f"WITH {_SLIDES_SQL}, f AS ({_fields_sql(intake.SLIDE_PATTERNS, 'd')}) SELECT document_id, key, arg_min(value, (slide, value)) AS value, min(confidence) AS confidence, min(slide) AS slide FROM f GROUP BY 1, 2")
+def extract_slide_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, supplier, line = F.col("l_partkey"), F.col("l_suppkey").cast("string"), F.col("l_linenumber")
+    content = (
+        F.when(part % 4 == 0, F.concat(F.lit("Management Fee: "), supplier, F.lit(".5%")))
+        .when(part % 4 == 1, F.concat(F.lit("AUM- $"), supplier, F.lit("m; key person risk: high")))
+        .when(part % 4 == 2, F.concat(F.lit("net return 1y:"), line.cast("string"), F.lit(".5%")))
+        .otherwise("aum 5")
+    )
+    return intake.extract_slide_fields(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), line.alias("slide"), content.alias("content")))
 
 
 @query("""WITH t AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 7 WHEN 0 THEN ' DDQ' WHEN 1 THEN ' Tear Sheet' WHEN 2 THEN ' our Monthly Letter and pitchbook' WHEN 3 THEN ' Pitch Book' ELSE '' END AS content FROM documents), l AS (SELECT doc_id, lower(content) AS c FROM t)
