@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import packets, quality, reports, scoring, streams, timeseries, workflow  # noqa: F401
+from sparkloom.plans import exports, identities, packets, quality, queues, reports, runs, scoring, streams, timeseries, workflow  # noqa: F401
 from sparkloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

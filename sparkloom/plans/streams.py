@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query
+from sparkloom.plans.workflow import LIFECYCLE_SQL
 from sparkloom.streaming import events
 
 
 def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="sparkloom-")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
@@ -23,7 +27,7 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("_n", last).where("_n = 1").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-@query(None)
+@query(LIFECYCLE_SQL.replace("ORDER BY ts, event_id", "ORDER BY event_id"))
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each item after all events, in the order of arrival."""
     key = F.col("event_id")
