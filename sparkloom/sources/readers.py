@@ -53,6 +53,88 @@ def weight_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "asset_class string, component string, position int, weight double")
 
 
+# The keys of a threshold configuration.
+THRESHOLD_KEYS = ("field_auto_accept_min", "key_field_confidence_min", "document_key_field_coverage_min", "mandatory_field_min")
+LISTS = ("key_fields", "mandatory_fields")
+
+
+def threshold_config(text: str) -> tuple[dict[str, object], dict[str, dict[str, object]]]:
+    """(base, profiles by document type) of a configuration in the block form of YAML: numbers from 0 to 1, and lists one item a line.
+
+    ValueError for an unknown key, a list in a line, a number out of range, an indent other than
+    by twos, a profile without key fields, or a base without all thresholds. Profiles hold what they state only.
+    """
+    base: dict[str, object] = {}
+    profiles: dict[str, dict[str, object]] = {}
+    where, items = base, None
+    for number, raw in enumerate(text.splitlines(), 1):
+        line = raw.split("#", 1)[0].rstrip()
+        if not line:
+            continue
+        deep, (head, colon, tail) = len(line) - len(line.lstrip()), line.strip().partition(":")
+        tail = tail.strip().strip('"')
+        if head.startswith("- ") and items is not None and deep in (2, 4, 6) and not colon:
+            items.append(head[2:].strip().strip('"'))
+            continue
+        items = None
+        if deep == 0:
+            where = base
+        elif deep == 2 and colon and not tail and where is not base or deep == 2 and base.get("document_profiles") == "open":
+            where = profiles.setdefault(head, {})
+            continue
+        elif deep != 4 or where is base:
+            raise ValueError(f"line {number}: unexpected indent")
+        if head == "document_profiles" and deep == 0 and not tail:
+            base["document_profiles"] = "open"
+            where = profiles
+        elif head in LISTS and colon and not tail:
+            items = where.setdefault(head, [])
+        elif head in THRESHOLD_KEYS and tail:
+            value = float(tail)
+            if not 0 <= value <= 1:
+                raise ValueError(f"line {number}: {head} must be from 0 to 1")
+            where[head] = value
+        else:
+            raise ValueError(f"line {number}: unknown key {head!r}")
+        if deep == 0 and head != "document_profiles":
+            base.pop("document_profiles", None)
+    base.pop("document_profiles", None)
+    if missing := [k for k in THRESHOLD_KEYS if k not in base]:
+        raise ValueError(f"missing thresholds: {', '.join(missing)}")
+    if bare := [k for k, p in profiles.items() if not p.get("key_fields")]:
+        raise ValueError(f"profiles without key_fields: {', '.join(bare)}")
+    base.setdefault("mandatory_fields", [])
+    return base, profiles
+
+
+def threshold_profiles(spark: SparkSession, text: str) -> DataFrame:
+    """(doc_type, key_fields, mandatory_fields, thresholds) of a configuration, with null for what a profile leaves to the base."""
+    _, profiles = threshold_config(text)
+    names = (*LISTS, *THRESHOLD_KEYS)
+    rows = [(kind, *[p.get(k) for k in names]) for kind, p in profiles.items()]
+    return spark.createDataFrame(rows, "doc_type string, key_fields array<string>, mandatory_fields array<string>, " + ", ".join(f"{k} double" for k in THRESHOLD_KEYS))
+
+
+def seed_tables(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The arrays of one JSON object as tables by name, each with its own columns: seeds, corpora and scenarios."""
+    whole = spark.read.schema(", ".join(f"{name} array<struct<{columns}>>" for name, columns in schemas.items())).option("multiLine", True).json(path)
+    return {name: whole.select(F.inline(name)) for name in schemas}
+
+
+def expected_fields(samples: DataFrame) -> DataFrame:
+    """(document_id, key, value) of samples(document_id, expected), where expected is JSON: an object by key, or a list of objects with key and value."""
+    listed = F.startswith(F.trim("expected"), F.lit("["))
+    pairs = F.transform(F.map_entries(F.from_json("expected", "map<string,string>")), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
+    items = F.from_json("expected", "array<struct<key:string,value:string>>")
+    return samples.select("document_id", F.inline(F.when(listed, items).otherwise(pairs)))
+
+
+def fixture_bytes(files: DataFrame) -> DataFrame:
+    """files(package_id, file_name, source_ref) with content, the three as lines in UTF-8."""
+    lines = F.concat(F.concat_ws("\n", F.col("package_id").cast("string"), "file_name", "source_ref"), F.lit("\n"))
+    return files.withColumn("content", F.encode(lines, "UTF-8"))
+
+
 def _pdf_pages(content: bytes) -> list[str]:
     """The literal strings of a PDF's text streams, one entry a stream; uncompressed streams only."""
     if not content.startswith(b"%PDF-"):

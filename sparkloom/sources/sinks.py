@@ -36,6 +36,12 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: Column, ke
     return table.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def update_known(table: DataFrame, rows: DataFrame, keys: list[str], order: Column, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(table updated by the rows whose keys it has, the rows whose keys it has not): an update never adds a row."""
+    known = table.select(*keys)
+    return upsert(table, rows.join(known, keys, "left_semi"), keys, order, keep), rows.join(known, keys, "left_anti")
+
+
 def append_numbered(table: DataFrame, rows: DataFrame, key: str, order: Column) -> DataFrame:
     """Rows appended with the next numbers, in order; a batch of corrections is small."""
     top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
@@ -43,16 +49,17 @@ def append_numbered(table: DataFrame, rows: DataFrame, key: str, order: Column)
 
 
 def write_snapshot(table: DataFrame, folder: str, number: int) -> str:
+    """A numbered snapshot; it counts from when its number is written among the committed ones, after its rows."""
     path = f"{folder}/v={number:08d}"
     table.write.mode("errorifexists").parquet(path)
+    table.sparkSession.range(1).select(F.lit(number).alias("number")).write.mode("append").parquet(f"{folder}/committed")
     return path
 
 
 def newest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """The snapshot of the highest number; a write's files are not seen before it is committed."""
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
-    number = done.select(F.max(F.regexp_extract("path", r"v=(\d+)", 1))).head()[0]
-    return spark.read.parquet(f"{folder}/v={number}")
+    """The committed snapshot of the highest number."""
+    number = spark.read.parquet(f"{folder}/committed").agg(F.max("number")).head()[0]
+    return spark.read.parquet(f"{folder}/v={number:08d}")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -67,6 +74,8 @@ def write_ndjson(rows: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, sha256, bytes) of the files of a folder."""
+    """(name, sha256, bytes) of the files of a folder by name; ValueError for a folder whose path goes up."""
+    if ".." in folder.split("/"):
+        raise ValueError("a manifest's folder must not go up")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).orderBy("name")

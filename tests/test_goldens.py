@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.functions import dates, strings
-from sparkloom.operators import conflict, intake, metrics, quality, reports, scoring, text, timeseries, vectors, workflow
+from sparkloom.operators import conflict, identities, intake, metrics, quality, queues, reports, runs, scoring, text, timeseries, vectors, workflow
+from sparkloom.sources import readers
 
 SERIES = "series_id int, as_of date, value double"
 D = datetime.date
@@ -182,3 +183,102 @@ def test_reports(spark):
     votes = spark.createDataFrame([(1, 0), (1, 2), (1, 2), (2, 1)], "item_id int, severity int")
     got = {r["item_id"]: r for r in reports.verdicts(votes).collect()}
     assert (got[1]["worst"], got[1]["majority"], got[1]["split"], got[2]["split"]) == (2, 2, True, False)
+
+
+CONFIG = """# policy
+field_auto_accept_min: 0.85
+key_field_confidence_min: 0.75
+document_key_field_coverage_min: 0.80  # share
+mandatory_field_min: 0.60
+mandatory_fields:
+  - terms.management_fee
+  - operations.aum
+document_profiles:
+  tear_sheet:
+    key_fields:
+      - operations.aum
+    document_key_field_coverage_min: 1.0
+    mandatory_fields:
+  ddq:
+    key_fields:
+      - terms.management_fee
+"""
+
+
+def test_threshold_configuration_and_profiles(spark):
+    base, profiles = readers.threshold_config(CONFIG)
+    assert base == {"field_auto_accept_min": 0.85, "key_field_confidence_min": 0.75, "document_key_field_coverage_min": 0.8, "mandatory_field_min": 0.6, "mandatory_fields": ["terms.management_fee", "operations.aum"]}
+    assert profiles == {"tear_sheet": {"key_fields": ["operations.aum"], "document_key_field_coverage_min": 1.0, "mandatory_fields": []}, "ddq": {"key_fields": ["terms.management_fee"]}}
+    merged = {r["doc_type"]: r for r in runs.merged_profiles(readers.threshold_profiles(spark, CONFIG), base).collect()}
+    assert merged["tear_sheet"]["mandatory_fields"] == [] and merged["ddq"]["mandatory_fields"] == base["mandatory_fields"]
+    assert merged["tear_sheet"]["document_key_field_coverage_min"] == 1.0 and merged["ddq"]["document_key_field_coverage_min"] == 0.8
+    for old, new in (("0.85", "1.85"), ("mandatory_field_min", "odd"), ("  ddq:\n    key_fields:\n      - terms.management_fee\n", "  ddq:\n    mandatory_fields:\n"), ("    key_fields:\n      - terms", "   key_fields:\n      - terms"), ("mandatory_fields:\n  - terms.management_fee\n", "mandatory_fields: [a]\n")):
+        with pytest.raises(ValueError):
+            readers.threshold_config(CONFIG.replace(old, new, 1))
+
+
+def test_a_type_without_a_profile_has_the_base_one(spark):
+    fields = spark.createDataFrame([(1, k, 0.9, i) for i, k in enumerate(quality.BASE_PROFILE[0])], "document_id int, key string, confidence double, ord int")
+    documents = spark.createDataFrame([(1, "memo"), (2, "memo")], "document_id int, doc_type string")
+    got = {r["document_id"]: r for r in quality.threshold_decisions(fields, documents, quality.profile_table(spark)).collect()}
+    assert got[1]["auto_pass"] and got[1]["coverage"] == 1.0
+    assert got[2]["reason"].startswith("missing_mandatory_field:terms.management_fee")
+
+
+def test_null_values_are_values(spark):
+    schema = "document_id int, key string, value string"
+    expected = spark.createDataFrame([(1, "a", None), (1, "b", "x"), (1, "c", None)], schema)
+    actual = spark.createDataFrame([(1, "a", None), (1, "b", None), (1, "d", None)], schema)
+    got = {r["key"]: r["outcome"] for r in quality.field_outcomes(expected, actual).collect()}
+    assert got == {"a": "matched", "b": "mismatched", "c": "missing", "d": "unexpected"}
+
+
+def test_visual_labels_see_charts_and_logos(spark):
+    rows = [("fy24 outlook", "page"), ("in 1999", "page"), ("5 % of", "page"), ("returns -3.5%", "x/Masthead.png"), ("", None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, t string, ref string")
+    label = text.visual_label(F.col("t"), F.lit(100), F.col("ref"))
+    got = {r["k"]: r for r in df.select("k", *[c.alias(n) for n, c in label.items()]).collect()}
+    assert ["chart_indicators" in got[k]["reasons"] for k in range(5)] == [True, False, False, True, False]
+    assert "logo_banner_pattern" in got[3]["reasons"] and got[4]["label"] == "boilerplate"
+    cut = spark.createDataFrame([("a" * 8191 + "\u00e9b",)], "t string").select(text.preview(F.encode("t", "UTF-8")).alias("t")).head()[0]
+    assert cut == "a" * 8191
+
+
+@pytest.mark.parametrize(("value", "good"), [("2025-01-31", True), ("2025-02-30", False), ("2025-01-31T10:00Z", True), ("2025-01-31T10:00:00.123+02:00", True), ("2025-01-31T10:00:00", False), ("2025-99-99T10:00Z", False), ("01/31/2025", False), (None, False), (" ", False)])
+def test_received_at(spark, value, good):
+    assert spark.createDataFrame([(value,)], "t string").select(intake.valid_received_at(F.col("t"))).head()[0] == good
+
+
+def test_field_patterns_take_an_optional_colon(spark):
+    content = "Manager Alpha Partners\nManagement fee 1.5%; net return 1y: 12.0%\nAUM: $2.5b. Key person risk - low\nBenchmark MSCI World\nPage 3 strategy asset class: macro."
+    df = spark.createDataFrame([(1, content)], "document_id int, content string")
+    got = {r["key"]: r["value"] for r in intake.extract_fields(df).collect()}
+    assert got == {"manager.name": "Alpha Partners", "terms.management_fee": "1.5%", "performance.net_return_1y": "12.0%", "operations.aum": "$2.5b.", "team.key_person_risk": "low", "benchmark.name": "MSCI World", "strategy.asset_class": "macro.", "strategy.name": "asset class"}
+    pdf = {r["key"]: (r["value"], r["confidence"], r["page"]) for r in intake.extract_pdf_fields(df).collect()}
+    assert pdf["strategy.asset_class"] == ("macro", 0.93, 3) and pdf["operations.aum"] == ("$2.5b", 0.72, 0) and "terms.management_fee" not in pdf
+
+
+def test_queue_rules_and_parameters(spark):
+    rows = [(1, 0, "claim", "a1", "analyst", None, None, None), (1, 1, "move", "a2", "analyst", "completed", None, None), (1, 2, "transfer", "a1", "analyst", None, "a2", "analyst"), (1, 3, "move", "o1", "ops", "ops_review", None, None), (1, 4, "move", "a2", "analyst", "ops_review", None, None), (1, 5, "claim", "a3", "analyst", None, None, None), (2, 0, "move", "o1", "ops", "in_validation", None, None)]
+    got = {r["item_id"]: r for r in queues.queue_fold(spark.createDataFrame(rows, "item_id int, ord int, action string, actor_id string, actor_role string, to_state string, new_owner string, new_role string")).collect()}
+    assert (got[1]["state"], got[1]["owner_id"], got[1]["applied"], got[1]["rejected"]) == ("ops_review", "a2", 3, 2)
+    assert (got[2]["state"], got[2]["owner_id"], got[2]["rejected"]) == ("pending_triage", None, 1)
+    assert queues.queue_parameters({"state": " completed, ", "limit": "7"})["states"] == ("completed",)
+    for bad in ({"state": "odd"}, {"limit": "x"}, {"limit": "501"}, {"offset": "-1"}, {"sort_by": "id"}, {"owner_role": "boss"}):
+        with pytest.raises(ValueError):
+            queues.queue_parameters(bad)
+
+
+def test_expected_fields_of_both_forms_and_fixture_bytes(spark, tmp_path):
+    samples = spark.createDataFrame([(1, '{"a": "x", "b": "y"}'), (2, '[{"key": "a", "value": "z"}]')], "document_id int, expected string")
+    assert sorted(map(tuple, readers.expected_fields(samples).collect())) == [(1, "a", "x"), (1, "b", "y"), (2, "a", "z")]
+    files = spark.createDataFrame([("p", "f.pdf", "r")], "package_id string, file_name string, source_ref string")
+    assert bytes(readers.fixture_bytes(files).head()["content"]) == b"p\nf.pdf\nr\n"
+    (tmp_path / "seed.json").write_text('{"firms": [{"firm_id": "f1"}], "funds": [{"fund_id": "u1", "firm_id": "f1"}, {"fund_id": "u2", "firm_id": "f1"}]}')
+    tables = readers.seed_tables(spark, str(tmp_path / "seed.json"), {"firms": "firm_id:string", "funds": "fund_id:string,firm_id:string"})
+    assert tables["firms"].count() == 1 and tables["funds"].count() == 2
+
+
+def test_names_in_compatible_form(spark):
+    df = spark.createDataFrame([("\uff21lpha  Stra\u00dfe",), (None,)], "n string")
+    assert [r[0] for r in df.select(identities.plain_name(F.col("n"))).collect()] == ["alpha strasse", None]
