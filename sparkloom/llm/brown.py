@@ -97,11 +97,20 @@ class _Sums:
         self.parts, self.held = [], 0
 
 
-def _count(texts: DataFrame, key: str, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, n): how often each 64-bit key occurs, summed within each task; not yet across tasks."""
+def _count(texts: DataFrame, key: str, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray], wide: int | None = None) -> DataFrame:
+    """(key, n): how often each 64-bit key occurs, summed within each task; not yet across tasks.
+
+    With wide, the keys of one key // wide are one row (key, column array, n array).
+    """
 
     def batch_of(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({key: pa.array(found.view(np.int64)), "n": pa.array(n)})
+        if wide is None:
+            return pa.record_batch({key: pa.array(found.view(np.int64)), "n": pa.array(n)})
+        own = found // wide
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        offsets = pa.array(np.append(first, len(own)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (found % wide, n)]
+        return pa.record_batch({key: pa.array(own[first]), "column": lists[0], "n": lists[1]})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
@@ -112,7 +121,7 @@ def _count(texts: DataFrame, key: str, keys_of: Callable[[np.ndarray, np.ndarray
                     yield from (batch_of(*x) for x in sums.drain())
         yield from (batch_of(*x) for x in sums.drain())
 
-    return texts.mapInArrow(counted, f"{key} bigint, n bigint")
+    return texts.mapInArrow(counted, f"{key} bigint, n bigint" if wide is None else f"{key} bigint, column array<int>, n array<int>")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -194,21 +203,24 @@ def _likeliest(word: np.ndarray, column: np.ndarray, n: np.ndarray, affinity: np
 
 
 def _assign(affinity: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(at, class) of the head words from (key, n) sorted by key = at * len(affinity) + column."""
-    wide = len(affinity)
+    """(at, class) of the head words from (at, column array, n array) sorted by at."""
+
+    def likeliest(held: list[np.ndarray]) -> pa.RecordBatch:
+        at, got = _likeliest(*held, affinity)
+        return pa.record_batch({"at": pa.array(at), "class": pa.array(got)})
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3  # word, column, n
         for batch in batches:
-            keys, n = np.concatenate((keys, batch.column(0).to_numpy())), np.concatenate((n, batch.column(1).to_numpy()))
-            whole = int(np.searchsorted(keys, keys[-1] // wide * wide)) if len(keys) else 0  # the last word may go on in the next batch
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            new = (np.repeat(batch.column(0).to_numpy(), sizes), batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy())
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last word may go on in the next batch
             if whole:
-                at, got = _likeliest(keys[:whole] // wide, keys[:whole] % wide, n[:whole], affinity)
-                yield pa.record_batch({"at": pa.array(at), "class": pa.array(got)})
-                keys, n = keys[whole:], n[whole:]
-        if len(keys):
-            at, got = _likeliest(keys // wide, keys % wide, n, affinity)
-            yield pa.record_batch({"at": pa.array(at), "class": pa.array(got)})
+                yield likeliest([x[:whole] for x in held])
+                held = [x[whole:] for x in held]
+        if len(held[0]):
+            yield likeliest(held)
 
     return assign
 
@@ -301,8 +313,8 @@ def class_model_scores(docs: DataFrame, held_out: Column, classes: int = CLASSES
             a, b = moves & (before >= 0), moves & (after >= 0)
             return np.concatenate((at[a] * WIDE + before[a], at[b] * WIDE + ALL + after[b]))
 
-        near = _count(train, "key", contexts).groupBy("key").agg(F.sum("n").alias("n"))
-        near = near.repartition(F.expr(f"key div {WIDE}")).sortWithinPartitions("key")
+        # a word has at most WIDE counts from each task that saw it; they are summed as they stream by
+        near = _count(train, "at", contexts, WIDE).repartition("at").sortWithinPartitions("at")
         at, got = _columns(near.mapInArrow(_assign(_affinity(class_table(), classes)), "at bigint, class bigint"), "at", "class")
         moved = int(head_n[at[head_class[at] != got]].sum())
         head_class = head_class.copy()
