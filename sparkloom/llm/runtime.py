@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 HOT = 10_000
 LEAST_HOT = 1_000
 
+#: Most bytes of an Arrow batch in what stash writes; a batch lies in memory several times, on both sides of the pipe to Python.
+BATCH_BYTES = "8m"
+_BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,14 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bound Arrow batches by BATCH_BYTES for the jobs started inside; the session's own setting comes back after them."""
+    own = spark.conf.get(_BATCH_BYTES_KEY, None)
+    spark.conf.set(_BATCH_BYTES_KEY, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(_BATCH_BYTES_KEY)
+        else:
+            spark.conf.set(_BATCH_BYTES_KEY, own)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
 
-    The tables stay until that folder is cleared, as what is returned may still read them.
+    Its Arrow batches are small. The tables stay until that folder is cleared, as what is returned
+    may still read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
