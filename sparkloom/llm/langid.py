@@ -91,6 +91,7 @@ def text_model(labelled: DataFrame) -> TextModel:
     """
     known = labelled.where((F.col("lang") != "") & F.col("text").isNotNull()).select("lang", "text")
     counts = known.mapInArrow(_counted, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = stash(counts, "trigrams")
     seen: dict[str, np.ndarray] = {}
     for row in counts.toLocalIterator():
         seen.setdefault(row["lang"], np.zeros(BUCKETS))[row["bucket"]] = row["n"]

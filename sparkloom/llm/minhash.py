@@ -40,6 +40,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BATCH = 16
 FILTER_BITS = 1 << 25
+CHUNK_BYTES = 1 << 18  # texts cut into shingles at once, or one longer text
 
 _rng = np.random.default_rng(1010)
 _MULTIPLY = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,7 +73,7 @@ def node_of(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, end, buf, offsets in text_chunks(batch.column(1)):
+        for first, end, buf, offsets in text_chunks(batch.column(1), limit=CHUNK_BYTES):
             sets = shingle_sets(buf, offsets)
             sizes = np.array([len(s) for s in sets], np.int64)
             signatures = np.stack([signature(s) for s in sets])
@@ -159,7 +160,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             slot = batch.column(1).to_numpy(zero_copy_only=False)
             part = batch.filter(pa.array((held[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
-            for _, _, buf, offsets in text_chunks(part.column(0)):
+            for _, _, buf, offsets in text_chunks(part.column(0), limit=CHUNK_BYTES):
                 found = shingle_sets(buf, offsets)
                 yield pa.record_batch({"node": pa.array(node_of(found)), "shingles": pa.array([s.tobytes() for s in found], pa.binary())})
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
+
 # The base patterns and the least length of each match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -190,6 +192,9 @@ def find_spans(text: str, least_cost: float = LEAST_COST, ranks: dict[str, int]
     return base, added
 
 
+HELD_WORDS = 50_000  # distinct words that a task counts before it hands them on
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[str] = Counter()
 
@@ -204,7 +209,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if any(h in low for h in HINTS):
                 low = CONTEXT.sub(" ", text).lower()
             counts.update(low.split())
-            if len(counts) > 500_000:
+            if len(counts) > HELD_WORDS:
                 yield drain()
     yield drain()
 
@@ -217,7 +222,8 @@ def word_ranks(docs: DataFrame, most: int = RANKED) -> dict[str, int]:
     ``most`` words reach the driver.
     """
     counts = docs.select("text").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    learnt = [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    with small_batches(docs.sparkSession):
+        learnt = [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
     return _RANKS | {w: len(_RANKS) + k + 1 for k, w in enumerate(w for w in learnt if w not in _RANKS)}
 
 
@@ -258,6 +264,9 @@ def scan_secrets(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_spans string, spans string")
 
 
+SLICE_ROWS = 1_000  # rows that are redacted and handed back at once
+
+
 def redact_secrets(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
     """docs with every span, overlapping ones merged, replaced by a mark; n_chars follows the text.
 
@@ -268,7 +277,7 @@ def redact_secrets(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs))
 
     def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE_ROWS) for whole in batches for k in range(0, whole.num_rows, SLICE_ROWS)):
             texts: list[str | None] = []
             for k, text in _texts(batch, at):
                 base, added = find_spans(text, least_cost, shared.value)
