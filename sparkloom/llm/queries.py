@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .brown import class_model_scores
+from .chatformat import FORMAT_SQL, format_turns, hostile_turns, read_back
 from .decontaminate import contaminated
 from .fingerprint import edited_fingerprints
 from .langid import document_rows, identify, page_rows, text_model
@@ -15,8 +16,10 @@ from .linkrank import judge_urls
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mix_report
 from .pii import find_pii
+from .repair import damaged, repair_report
 from .runtime import crc_mod, table
 from .secrets import scan_secrets
+from .spelling import document_variants
 from .toxicity import toxicity_scores
 
 
@@ -68,6 +71,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(conversations), conversations)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_turns(conversations.unionByName(hostile_turns(spark))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,7 +98,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_multiset_fingerprint,
         op10_minhash_near_dedup,
+        op11_conversation_repair,
+        op12_spelling_variants,
+        op13_chat_format,
     )
 }
 
-ORACLES: dict[str, str] = {"op2_source_mix": MIX_SQL}
+ORACLES: dict[str, str] = {"op2_source_mix": MIX_SQL, "op13_chat_format": FORMAT_SQL}
