@@ -74,6 +74,85 @@ def similar_to(rows: DataFrame, queries: DataFrame, k: int | None = None, least:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def vector_classes(rows: DataFrame) -> DataFrame:
+    """(vec_id, class_id) of rows(vec_id, embedding): equal vectors are one class, named by its least id; null and empty ones have none."""
+    usable = rows.where(F.size(F.coalesce("embedding", F.array().cast("array<float>"))) > 0)
+    classes = usable.groupBy("embedding").agg(F.min("vec_id").alias("class_id"))
+    return usable.join(classes, "embedding").select("vec_id", "class_id")
+
+
+def tables_needed(least: float, bits: int, probes: int, recall: float, seed: int = 7) -> int:
+    """How many hash tables find a pair at similarity ``least`` with probability ``recall``, by simulating the hash of such pairs."""
+    rng = np.random.default_rng(seed)
+    a, noise = rng.normal(size=(2, 20_000, bits))
+    b = least * a + np.sqrt(1 - least**2) * noise
+    differ = (a > 0) != (b > 0)
+    flips = lambda x: np.abs(x).argsort(1)[:, :probes]  # noqa: E731  the bits that one vector tries both ways
+    one = differ.sum(1) == 1
+    near = [one & np.take_along_axis(differ, flips(x), 1).any(1) for x in (a, b)]
+    hit = float(np.mean((differ.sum(1) == 0) | near[0] | near[1]))
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - min(hit, 1 - 1e-9)))))
+
+
+def similar_pairs(rows: DataFrame, least: float = 0.8, recall: float = 0.99, exact: bool = False, probes: int = 3, block: int = 512, seed: int = 7) -> DataFrame:
+    """(a, b, similarity, closeness) of the classes a < b of rows(vec_id, embedding) whose cosine similarity is at least ``least``.
+
+    Classes are those of vector_classes, so copies of a vector are one. closeness is 1 / (1 + d) with
+    d = 1 - similarity. A vector is hashed to a few bits by random hyperplanes, in as many tables as
+    ``recall`` takes for a pair at the threshold, and tries both values of the ``probes`` bits it is
+    least sure of. Vectors that meet in a bucket are compared exactly. The bits grow with the table,
+    so buckets stay small; one that is not is dealt to blocks, each pair of blocks a group of its own,
+    so no group has more than twice ``block`` rows. ``exact`` puts all in one bucket: every pair is
+    compared, in blocks, which grows with the square of the table. Vectors of unlike length, and zero
+    vectors, are never similar. The same rows and seed give the same pairs.
+    """
+    usable = rows.where(F.size(F.coalesce("embedding", F.array().cast("array<float>"))) > 0)
+    reps = usable.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).withColumn("size", F.size("embedding"))
+    n = rows.count()
+    bits = 0 if exact else int(np.clip(np.ceil(np.log2(max(n, 1) / block * 4)), 4, 30))
+    tables = 1 if exact else tables_needed(least, bits, min(probes, bits), recall, seed)
+
+    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for size, part in batch.groupby("size"):
+                x = _unit(np.stack(part["embedding"].to_list()).astype(np.float64))
+                part = part[(x != 0).any(1)]  # noqa: PLW2901
+                x = x[(x != 0).any(1)]
+                if size not in planes:
+                    planes[size] = np.random.default_rng([seed, size]).normal(size=(tables, bits, size))
+                for table in range(tables):
+                    side = x @ planes[size][table].T
+                    code = (side > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
+                    codes = [code] + [code ^ (1 << k) for k in (np.abs(side).argsort(1)[:, :probes].T if bits else ())]
+                    for probe, own in enumerate(codes):
+                        yield pd.DataFrame({"size": size, "tab": table, "code": own, "home": probe == 0, "vec_id": part["vec_id"].to_numpy(), "unit": list(x)})
+
+    placed = reps.mapInPandas(buckets, "size int, tab int, code bigint, home boolean, vec_id bigint, unit array<double>")
+    key = ["size", "tab", "code"]
+    many = placed.groupBy(*key).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block)).where("blocks > 1")
+    dealt = placed.join(many.select(*key, "blocks"), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    dealt = dealt.select(*key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "vec_id", "unit")
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id", ignore_index=True)
+        unit, ids, home, side = np.stack(group["unit"].to_list()), group["vec_id"].to_numpy(), group["home"].to_numpy(), group["own"].to_numpy()
+        within = group["i"].iat[0] == group["j"].iat[0]
+        found = []
+        for first in range(0, len(ids), 256):
+            s = unit[first : first + 256] @ unit.T
+            p, q = np.nonzero(s >= least - 1e-12)
+            ok = (ids[first + p] < ids[q]) & (home[first + p] | home[q]) & (within | (side[first + p] != side[q]))
+            found.append(pd.DataFrame({"a": ids[first + p[ok]], "b": ids[q[ok]], "similarity": s[p[ok], q[ok]]}))
+        return pd.concat(found)
+
+    pairs = dealt.groupBy(*key, "i", "j").applyInPandas(compared, "a bigint, b bigint, similarity double")
+    one = pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return one.withColumn("closeness", 1 / (1 + (1 - F.col("similarity"))))
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import quality
@@ -40,7 +40,7 @@ def threshold_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.threshold_decisions(fields(spark, sf_dir), documents, quality.profile_table(spark)).withColumn("coverage", F.round("coverage", 6))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observations(spark: SparkSession, sf_dir: str, *ord_: Column) -> DataFrame:
     order, part, supplier = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     value = (
         F.when(order % 50 == 0, "n/a")
@@ -48,7 +48,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat((part % 90 + 10 + supplier % 3).cast("string"), F.lit("M")))
     )
     rows = table(spark, sf_dir, "lineitem")
-    return rows.select(part.alias("entity"), F.lit("operations.aum").alias("key"), F.concat(F.lit("s"), supplier.cast("string")).alias("source"), (order * 13 % 101 / F.lit(100.0)).alias("confidence"), value.alias("value"))
+    return rows.select(part.alias("entity"), F.lit("operations.aum").alias("key"), F.concat(F.lit("s"), supplier.cast("string")).alias("source"), (order * 13 % 101 / F.lit(100.0)).alias("confidence"), value.alias("value"), *[o.alias("ord") for o in ord_])
 
 
 _OBS_SQL = """obs AS (SELECT l_partkey AS entity, 'operations.aum' AS key, 's' || l_suppkey AS source, (l_orderkey * 13 % 101) / 100.0::DOUBLE AS confidence,
@@ -65,6 +65,17 @@ def cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cross_check(observations(spark, sf_dir)).withColumn("difference_percent", F.round("difference_percent", 6))
 
 
+@query(f"""WITH {_OBS_SQL.replace("SELECT l_partkey AS entity", "SELECT l_orderkey * 10 + l_linenumber AS ord, l_partkey AS entity")},
+p AS (SELECT ord, entity, key, source, value, CAST(regexp_extract(value, '[0-9]+') AS DOUBLE) * 1e6 AS number FROM obs WHERE value <> 'n/a'),
+j AS (SELECT a.entity, a.key, a.source AS left_source, a.value AS left_value, b.source AS right_source, b.value AS right_value, abs(a.number - b.number) / greatest(a.number, b.number) * 100 AS d,
+  row_number() OVER (PARTITION BY a.entity, a.key ORDER BY a.ord, a.source, a.value, b.ord, b.source, b.value) AS n
+  FROM p a JOIN p b ON a.entity = b.entity AND a.key = b.key AND (a.ord, a.source, a.value) < (b.ord, b.source, b.value) WHERE abs(a.number - b.number) / greatest(a.number, b.number) * 100 > 2)
+SELECT entity, key, left_source, left_value, right_source, right_value, round(d, 6) AS difference_percent, printf('cross_check_disagreement:%s:%s!=%s:%.4f%%>2.0000%%', key, left_source, right_source, d) AS reason FROM j WHERE n = 1""")
+def first_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = observations(spark, sf_dir, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return quality.first_disagreements(rows, 2.0).withColumn("difference_percent", F.round("difference_percent", 6))
+
+
 _EXPECTED_SQL = """expected AS (SELECT o_orderkey AS document_id, k AS key, o_orderpriority || ' ' || k AS value FROM orders, (VALUES ('a'), ('b'), ('c')) t(k) WHERE o_orderkey % 13 <> 0 OR k <> 'c'),
 actual AS (SELECT o_orderkey AS document_id, k AS key, CASE WHEN o_orderkey % 7 = 0 AND k = 'a' THEN 'other' ELSE '  ' || upper(o_orderpriority) || '   ' || k END AS value FROM orders, (VALUES ('a'), ('b'), ('c')) t(k) WHERE o_orderkey % 11 <> 0 OR k <> 'b'
   UNION ALL SELECT o_orderkey, 'a', o_orderpriority || ' a' FROM orders WHERE o_orderkey % 17 = 0),

@@ -94,6 +94,31 @@ def similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"similarity": F.round("similarity", 6), "closeness": F.round(1 / (1 + (1 - F.col("similarity"))), 6)})
 
 
+_TWINS_SQL = """t AS (SELECT vec_id, embedding::FLOAT[] AS e FROM embeddings UNION ALL SELECT vec_id + 2000000, embedding::FLOAT[] FROM embeddings WHERE vec_id % 10 = 0
+  UNION ALL SELECT vec_id + 1000000, list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE + 0.5 * embedding[len(embedding) + 1 - i]::DOUBLE)::FLOAT) FROM embeddings),
+c AS (SELECT min(vec_id) AS id, e FROM t GROUP BY e)"""
+
+
+def _twins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, a turned copy of each, and an equal copy of every tenth."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    turned = F.zip_with("embedding", F.reverse("embedding"), lambda x, y: (x.cast("double") + 0.5 * y.cast("double")).cast("float"))
+    copies = rows.where("vec_id % 10 = 0").select(F.col("vec_id") + 2_000_000, "embedding")
+    return rows.union(copies).union(rows.select(F.col("vec_id") + 1_000_000, turned))
+
+
+@query(f"""WITH {_TWINS_SQL}, p AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e::DOUBLE[], y.e::DOUBLE[]) AS s FROM c x JOIN c y ON x.id < y.id)
+SELECT a, b, round(s, 6) AS similarity, round(1 / (1 + (1 - s)), 6) AS closeness FROM p WHERE s >= 0.8""")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.similar_pairs(_twins(spark, sf_dir), recall=0.9999)
+    return found.withColumns({c: F.round(c, 6) for c in ("similarity", "closeness")})
+
+
+@query(f"WITH {_TWINS_SQL} SELECT t.vec_id, c.id AS class_id FROM t JOIN c USING (e)")
+def vector_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_classes(_twins(spark, sf_dir))
+
+
 @query("""WITH n AS (SELECT event_type, count(*) AS n, count(*) FILTER (value > 10) AS k FROM events GROUP BY 1), p AS (SELECT *, k / n::DOUBLE AS p FROM n)
 SELECT event_type, n, k, round((p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS low,
   round((p + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS high FROM p""")

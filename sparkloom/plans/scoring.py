@@ -87,11 +87,11 @@ def score_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.drift(base_scores(spark, sf_dir), moved)
 
 
-@query(f"""WITH {COMPONENTS_SQL} SELECT asset_class, count(*) AS n, round(avg(base_score), 6) AS mean, round(coalesce(stddev_samp(base_score), 0), 6) AS stddev, min(base_score) AS least,
+@query(f"""WITH {COMPONENTS_SQL} SELECT asset_class, count(*) AS n, CAST(sum(CAST(base_score AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS mean, round(coalesce(stddev_samp(base_score), 0), 6) AS stddev, min(base_score) AS least,
   round(quantile_cont(base_score, 0.5), 6) AS p50, round(quantile_cont(base_score, 0.9), 6) AS p90, max(base_score) AS most FROM base GROUP BY 1""")
 def score_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scoring.calibration(base_scores(spark, sf_dir))
-    return out.select("asset_class", "n", *[F.round(c, 6).alias(c) for c in ("mean", "stddev", "least", "p50", "p90", "most")])
+    return out.withColumns({c: F.round(c, 6) for c in ("stddev", "p50", "p90")})
 
 
 @query(f"""WITH {COMPONENTS_SQL}, kept AS (SELECT manager_id, asset_class, CASE WHEN manager_id % 10 = 3 AND component = 'transparency' THEN 'clarity' ELSE component END AS component FROM comps WHERE NOT (manager_id % 10 = 4 AND component = 'team_experience'))

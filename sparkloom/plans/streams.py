@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.plans.registry import query
+from sparkloom.plans.registry import query, shared_folder
 from sparkloom.plans.workflow import LIFECYCLE_SQL
 from sparkloom.streaming import events
 
 
-def _folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return found or tempfile.mkdtemp(prefix="sparkloom-")
-
-
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last count of each window; the table's files are in no order of time, so no row may be late."""
-    rows = events.drained(events.windowed_counts(events.event_stream(spark, sf_dir), late="3650 days"), _folder(spark), "update")
+    rows = events.drained(events.windowed_counts(events.event_stream(spark, sf_dir), late="3650 days"), shared_folder(spark), "update")
     last = F.row_number().over(Window.partitionBy("start", "event_type").orderBy(F.col("batch").desc()))
     return rows.withColumn("_n", last).where("_n = 1").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
@@ -33,6 +24,6 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("event_id")
     to = F.element_at(F.array(*[F.lit(s) for s in ("received", "processing", "completed", "escalated")]), (key % 4 + 1).cast("int"))
     moves = events.event_stream(spark, sf_dir).select((F.col("user_id") * 100 + key % 50).alias("item_id"), key.alias("ord"), to.alias("to_state"))
-    rows = events.drained(events.lifecycle_stream(moves), _folder(spark), "update")
+    rows = events.drained(events.lifecycle_stream(moves), shared_folder(spark), "update")
     last = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("batch").desc()))
     return rows.withColumn("_n", last).where("_n = 1").select("item_id", "state", "moves", "illegal")
