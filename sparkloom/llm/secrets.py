@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches
+from .runtime import small_batches, stash
 
 # The base patterns and the least length of each match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -289,5 +289,5 @@ def redact_secrets(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame
                 texts.append("".join(out) + text[last:] if out else batch.column(at)[k].as_py())
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(redact, schema)
+    out = stash(docs.mapInArrow(redact, schema), "redacted")  # in small batches, whatever the caller's own
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(schema["n_chars"].dataType))) if "n_chars" in names else out
