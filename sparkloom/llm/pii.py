@@ -67,25 +67,28 @@ MATCH = "struct<pattern:string,kind:string,i:int,gap:int,value:string,before:str
 
 
 def _matches(text: Column, name: str) -> Column:
-    """The matches of a pattern with the gap before each and what stands around it."""
+    """The matches of a pattern with the gap before each and what stands around it; the text is cut once, as an array of one that the spans are taken from."""
     pattern = PATTERNS[name]
     kind = name.split("_")[0]
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    bound = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("pieces")))
     none = F.array().cast(f"array<{MATCH}>")
 
-    def span(m: Column, i: Column) -> Column:
-        piece, rest = F.get(pieces, i), F.get(pieces, i + 1)
-        return F.struct(
-            F.lit(name).alias("pattern"),
-            F.lit(kind).alias("kind"),
-            i.cast("int").alias("i"),
-            F.length(piece).alias("gap"),
-            m.alias("value"),
-            F.right(piece, F.lit(40)).alias("before"),
-            F.left(rest, F.lit(2)).alias("after"),
-        )
-
-    return F.when(_GATES[name](text), F.transform(found, span)).otherwise(none)
+    def spans(whole: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            piece, rest = F.get(whole["pieces"], i), F.get(whole["pieces"], i + 1)
+            return F.struct(
+                F.lit(name).alias("pattern"),
+                F.lit(kind).alias("kind"),
+                i.cast("int").alias("i"),
+                F.length(piece).alias("gap"),
+                m.alias("value"),
+                F.right(piece, F.lit(40)).alias("before"),
+                F.left(rest, F.lit(2)).alias("after"),
+            )
+
+        return F.transform(whole["found"], span)
+
+    return F.when(_GATES[name](text), F.get(F.transform(bound, spans), F.lit(0))).otherwise(none)
 
 
 def _passes(kind: Column, value: Column) -> Column:
