@@ -5,8 +5,8 @@ paragraphs' vectors, lane by lane, modulo a power of two. The order of the parag
 matter, and a paragraph is inserted or deleted by adding or subtracting its vector.
 
 The vector has two parts. Eight lanes modulo 2**32 hold a uniform hash of the paragraph: they
-decide equality. 180 lanes of 20 bits, packed in threes into sums modulo 2**64, hold a bit each for
-every sentence of the paragraph: with ones counted, a lane is (count of ones) - (count of zeros) =
+decide equality. 180 lanes modulo 2**32, packed in twos, hold a bit each for every sentence of the
+paragraph: with ones counted, a lane is (count of ones) - (count of zeros) =
 2 * ones - sentences, a sum of random signs. The mean product of two texts' lanes estimates how
 many sentences they share, which gives a likeness without the texts.
 """
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from .runtime import HOT, LEAST_HOT
 
 WIDE = 8
-HASHES, SHIFTS, FIELDS = 3, 20, 3  # three hashes, of which 20 shifts give three bits each
+HASHES, SHIFTS, FIELDS = 3, 30, 2  # three hashes, of which 30 shifts give two bits each
 LANES = HASHES * SHIFTS * FIELDS
-FIELD_BITS = 20
+FIELD_BITS = 32
+MODULUS = 1 << FIELD_BITS
 MASK = sum(1 << (FIELD_BITS * k) for k in range(FIELDS))
 SENTENCE = r"[.!?]+(?:[^\S\n]+|(?=\n)|\z)|\n"  # never across paragraphs
 GROUP_ROWS = 1000
@@ -37,7 +38,7 @@ def _units(text: Column, which: int) -> Column:
 
 
 def _lane_sums(units: DataFrame, keys: list[str]) -> DataFrame:
-    """wide, signs (packed) and counts, summed over the units of each key."""
+    """wide, signs (packed) and counts, summed over the units of each key: fewer than 2**31, as those of one text always are."""
     hashed = units.select(
         *keys,
         F.when(F.col("u.paragraph").isNotNull(), 1).otherwise(0).alias("is_paragraph"),
@@ -55,7 +56,7 @@ def _lane_sums(units: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         "n_paragraphs",
         "n_sentences",
-        F.array(*[F.pmod(f"w{k}", F.lit(1 << 32)) for k in range(WIDE)]).alias("wide"),
+        F.array(*[F.pmod(f"w{k}", F.lit(MODULUS)) for k in range(WIDE)]).alias("wide"),
         F.array(*[f"s{k}_{s}" for k in range(HASHES) for s in range(SHIFTS)]).alias("signs"),
     )
 
@@ -68,31 +69,53 @@ def _print_of(wide: Column, signs: Column, n: Column) -> Column:
 
 
 def _field(c: Column, k: int) -> Column:
-    return F.shiftrightunsigned(c, FIELD_BITS * k).bitwiseAND(F.lit((1 << FIELD_BITS) - 1)) if k else c.bitwiseAND(F.lit((1 << FIELD_BITS) - 1))
+    return F.shiftrightunsigned(c, FIELD_BITS * k).bitwiseAND(F.lit(MODULUS - 1))
+
+
+def _packed(*fields: Column) -> Column:
+    """Fields, each modulo 2**32, as one bigint."""
+    low, high = (F.pmod(x, F.lit(MODULUS)) for x in fields)
+    return low.bitwiseOR(F.shiftleft(high, FIELD_BITS))
 
 
 def likeness(wide_a: Column, signs_a: Column, n_a: Column, wide_b: Column, signs_b: Column, n_b: Column) -> Column:
     """Estimated likeness of two texts' sentences, 2 <a, b> / (<a, a> + <b, b>) with a and b their counts by sentence, from 0 to 1.
 
     Where no text repeats a sentence this is their common share, 2 * both / (n_a + n_b). It is 1 if
-    the wide lanes are equal; else it is 0 if a text has 2**20 sentences or more, as lanes then run over.
+    the wide lanes are equal. A lane is read as the number nearest zero that it can stand for, which
+    is the sum of signs itself for texts of any length that Spark can hold.
     """
 
+    def signed(ones: Column, n: Column) -> Column:
+        return F.pmod(2 * ones - n + (MODULUS >> 1), F.lit(MODULUS)) - (MODULUS >> 1)
+
     def add(total: Column, lanes: Column) -> Column:
-        pairs = [(2 * _field(lanes["x"], k) - n_a, 2 * _field(lanes["y"], k) - n_b) for k in range(FIELDS)]
+        pairs = [(signed(_field(lanes["x"], k), n_a), signed(_field(lanes["y"], k), n_b)) for k in range(FIELDS)]
         pairs = [(x.cast("double"), y.cast("double")) for x, y in pairs]
         return F.struct((total["both"] + sum((x * y for x, y in pairs), F.lit(0.0))).alias("both"), (total["own"] + sum((x * x + y * y for x, y in pairs), F.lit(0.0))).alias("own"))
 
     lanes = F.zip_with(signs_a, signs_b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
     sums = F.aggregate(lanes, F.struct(F.lit(0.0).alias("both"), F.lit(0.0).alias("own")), add, lambda t: F.coalesce(F.try_divide(2 * t["both"], t["own"]), F.lit(0.0)))
-    readable = F.greatest(n_a, n_b) < (1 << FIELD_BITS)
-    return F.when(wide_a == wide_b, 1.0).when(readable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), sums))).otherwise(0.0)
+    return F.when(wide_a == wide_b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), sums)))
 
 
 def lanes(docs: DataFrame) -> DataFrame:
-    """doc_id, lanes, n_paragraphs for every distinct doc_id of docs(doc_id, text): the fingerprint as struct(wide, signs, n), to add and subtract."""
-    units = docs.select("doc_id", F.explode(_units(F.coalesce("text", F.lit("")), 0)).alias("u"))
-    return _lane_sums(units, ["doc_id"]).select("doc_id", F.struct("wide", "signs", F.col("n_sentences").alias("n")).alias("lanes"), "n_paragraphs")
+    """doc_id, lanes, n_paragraphs for every distinct doc_id of docs(doc_id, text): the fingerprint as struct(wide, signs, n), to add and subtract.
+
+    Each text is summed, and brought below the moduli, before the texts of an id are, so an id may
+    have any number of them, and they meet as one row a map task.
+    """
+    units = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.explode(_units(F.coalesce("text", F.lit("")), 0)).alias("u"))
+    rows = _lane_sums(units, ["row_id", "doc_id"])
+    wide, packed = range(WIDE), range(HASHES * SHIFTS)
+    sums = rows.groupBy("doc_id").agg(
+        F.sum("n_paragraphs").alias("n_paragraphs"),
+        F.sum("n_sentences").alias("n"),
+        *[F.sum(F.get("wide", F.lit(k))).alias(f"w{k}") for k in wide],
+        *[F.sum(_field(F.get("signs", F.lit(k)), f)).alias(f"s{k}_{f}") for k in packed for f in range(FIELDS)],
+    )
+    signs = F.array(*[_packed(*[F.col(f"s{k}_{f}") for f in range(FIELDS)]) for k in packed])
+    return sums.select("doc_id", F.struct(F.array(*[F.pmod(f"w{k}", F.lit(MODULUS)) for k in wide]).alias("wide"), signs.alias("signs"), "n").alias("lanes"), "n_paragraphs")
 
 
 def inserted(lanes: Column, paragraphs: Column) -> Column:
@@ -106,8 +129,9 @@ def deleted(lanes: Column, paragraphs: Column) -> Column:
 
 
 def _combined(a: Column, b: Column, sign: int) -> Column:
-    wide = F.zip_with(a["wide"], b["wide"], lambda x, y: F.pmod(x + sign * y, F.lit(1 << 32)))
-    return F.struct(wide.alias("wide"), F.zip_with(a["signs"], b["signs"], lambda x, y: x + sign * y).alias("signs"), (a["n"] + sign * b["n"]).alias("n"))
+    wide = F.zip_with(a["wide"], b["wide"], lambda x, y: F.pmod(x + sign * y, F.lit(MODULUS)))
+    signs = F.zip_with(a["signs"], b["signs"], lambda x, y: _packed(*[_field(x, k) + sign * _field(y, k) for k in range(FIELDS)]))
+    return F.struct(wide.alias("wide"), signs.alias("signs"), (a["n"] + sign * b["n"]).alias("n"))
 
 
 def print_of(lanes: Column) -> Column:
@@ -181,9 +205,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     cut = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next", F.lit(1), cut))
     rows = seated.select("part", "seq", "guest", "doc_id", "text", n.cast("bigint").alias("n_chars"), F.when(F.col("guest") == 0, edited).alias("edited"))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))  # below the generator, so once a row and not once a unit
     units = F.when(F.col("guest") == 0, F.concat(_units(F.col("text"), 0), _units(F.col("edited"), 1))).otherwise(_units(F.col("text"), 0))
     keys = ["part", "seq", "guest", "doc_id", "n_chars", "edited_sha256"]
-    units = rows.select("part", "seq", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(units).alias("u"))
+    units = rows.select(*keys, F.explode(units).alias("u"))
     sums = _lane_sums(units.select(*keys, F.col("u.which").alias("which"), "u"), [*keys, "which"])
 
     # by (seq, which) a row's text, its edited text and the next row's text follow each other

@@ -103,3 +103,26 @@ def test_single_repeated_null_and_no_rows(spark):
     rows = [(None, "first"), (None, "first"), (3, "xx"), (3, "xx")]
     assert fingerprint.edited_fingerprints(spark.createDataFrame(rows, SCHEMA)).count() == 4
     assert fingerprint.edited_fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sums_of_very_many_equal_sentences_do_not_run_over(spark):
+    n = 10_000_000
+    one = F.struct(F.lit(None).cast("string").alias("paragraph"), F.lit("The same again").alias("sentence"))
+    row = fingerprint._lane_sums(spark.range(n).select(F.lit(1).alias("key"), one.alias("u")), ["key"]).head()
+    fields = [x & 0xFFFFFFFF for x in row["signs"]] + [x >> 32 for x in row["signs"]]
+    assert row["n_sentences"] == n and set(fields) == {0, n}
+
+
+def test_likeness_of_texts_with_over_a_million_sentences(spark):
+    n = (1 << 20) + 50_000
+    own = [". ".join(f"{'t' if k and i % 4 == 0 else 's'}{i}" for i in range(n)) for k in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate(own)), SCHEMA)
+    row = fingerprint.edited_fingerprints(docs).where("doc_id = 0").head()
+    assert abs(row["near_next"] - 0.75) < 0.25 and abs(row["near_edited"] - 0.5) < 0.35
+
+
+def test_texts_of_one_id_are_summed(spark):
+    own = texts(30, 5)
+    df = spark.createDataFrame([(7, t) for t in own] + [(8, "\n".join(own))], SCHEMA).repartition(5)
+    got = {r["doc_id"]: r for r in fingerprint.lanes(df).collect()}
+    assert got[7]["lanes"]["wide"] == got[8]["lanes"]["wide"] and got[7]["n_paragraphs"] == got[8]["n_paragraphs"]

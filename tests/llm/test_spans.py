@@ -192,3 +192,13 @@ def test_redaction_removes_every_span(spark):
     assert got[1]["text"] == "a [SECRET] b" and got[1]["n_chars"] == 12
     assert got[2]["text"] is None and got[3]["text"] == "clean"
     assert secrets.redact_secrets(df).columns == df.columns
+
+
+@pytest.mark.parametrize("line", ["mail: some.one{k}@host.example.com, ", "from 10.1.2.{k} ", "card 4111 1111 1111 1111 {k}x ", "call +1 (269) 555-32{k}x ", "a(at)b{k}.com ", "123-45-6789, ", "DE89 3704 0044 0532 0130 00; "])
+def test_pii_of_a_text_full_of_matches_takes_linear_time(spark, line):
+    text = "".join(line.replace("{k}", str(k % 90 + 10)) for k in range(5_000_000 // len(line)))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    began = time.time()
+    row = pii.find_pii(df).head()
+    assert time.time() - began < 60
+    assert row["base_spans"] == brute.joined(brute.pii_spans(text))
