@@ -2,19 +2,45 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 # Suffixes of legal names that do not tell two firms apart.
 LEGAL_SUFFIX = r"([\s,]*\b(llc|l\.l\.c|lp|l\.p|ltd|inc)\.?)+[\s,]*$"
 
 
-def normalized_name(name: Column) -> Column:
-    """Lower case, single spaces, no legal suffixes or trailing commas."""
-    spaced = F.regexp_replace(F.trim(F.lower(name)), r"\s+", " ")
+def _fold(x: str | None) -> str | None:
+    return None if x is None else unicodedata.normalize("NFKC", x).casefold()
+
+
+@pandas_udf(StringType())
+def folded(names: pd.Series) -> pd.Series:
+    """NFKC and case folding. Spark has no such form of its own, so an Arrow function does it."""
+    return names.map(_fold)
+
+
+@pandas_udf(ArrayType(StringType()))
+def folded_all(names: pd.Series) -> pd.Series:
+    """folded for every text of an array."""
+    return names.map(lambda own: None if own is None else [_fold(x) for x in own])
+
+
+def without_suffix(name: Column) -> Column:
+    """A folded name with single spaces, without legal suffixes or trailing commas."""
+    spaced = F.trim(F.regexp_replace(name, r"\s+", " "))
     return F.trim(F.regexp_replace(F.regexp_replace(spaced, LEGAL_SUFFIX, ""), r"[\s,]+$", ""))
 
 
+def normalized_name(name: Column) -> Column:
+    """NFKC, case folded, single spaces, no legal suffixes or trailing commas."""
+    return without_suffix(folded(name))
+
+
 def slug(text: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit("unknown"))
 

@@ -3,29 +3,21 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from sparkloom.functions.dates import utc_timestamp
+from sparkloom.functions.strings import folded
 
 # The fields that a provenance pointer may name.
 POINTER_FIELDS = ("document_id", "fund_id", "file_name", "file_hash", "received_at", "version_date", "source_channel", "created_at")
 ZONE = r"(?:Z|[+-]\d{2}:?\d{2})$"
 
 
-@pandas_udf(StringType())
-def _compatible(names: pd.Series) -> pd.Series:
-    return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
-
-
 def plain_name(name: Column) -> Column:
-    """NFKC, case folded, single spaces. Spark has no such form of its own, so an Arrow function does it."""
-    return F.trim(F.regexp_replace(_compatible(name), r"\s+", " "))
+    """NFKC, case folded, single spaces."""
+    return F.trim(F.regexp_replace(folded(name), r"\s+", " "))
 
 
 def merged_funds(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.strings import magnitude, normalized_name, zero_safe_ratio
+from sparkloom.functions.strings import folded_all, magnitude, without_suffix, zero_safe_ratio
 
 WORKDAY_SECONDS = 28_800.0
 #: Detectors of standard elements by name: of a value, whether the element is there.
@@ -78,7 +78,7 @@ def page_of(text: Column, start: Column) -> Column:
 def merged_aliases(aliases: Column, name: Column) -> Column:
     """Alias structs (normalized, name) of names and the new name, without repeats, in order."""
     every = F.array_union(F.coalesce(aliases, F.array().cast("array<string>")), F.array(F.trim(name)))
-    return F.array_sort(F.transform(every, lambda x: F.struct(normalized_name(x).alias("normalized"), x.alias("name"))))
+    return F.array_sort(F.zip_with(folded_all(every), every, lambda x, own: F.struct(without_suffix(x).alias("normalized"), own.alias("name"))))
 
 
 def canonical_value(value: Column) -> Column:

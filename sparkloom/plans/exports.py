@@ -127,15 +127,19 @@ def scoring_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.gate_scoring(rows)
 
 
-_RECORDS = (
-    ('{"schema":"workflows-codex-cli-freshness/v1"}', "codex_cli_freshness"), ('{"type":"Keepalive-run"}', "keepalive"), ('{"metric_type":"","workflow":"AUTOFIX"}', "autofix"), ('{"type":"verify"}', "verifier"), ('{"type":"cycle"}', "autopilot"),
-    ('{"stop_reason":"x"}', "keepalive"), ('{"fix_applied":true}', "autofix"), ('{"verdict":"ok"}', "verifier"), ('{"step_name":"a","duration_ms":4}', "autopilot"), ('{"step_name":"a"}', "unknown"), ('{"escalation_reason":"r"}', "autopilot"), ("not json", "unknown"),
-)
+_RECORD_KEYS = ("type", "workflow", "metric_type", "verdict", "stop_reason", "fix_applied", "escalation_reason", "step_name")
 
 
-@query(f"SELECT event_id, CASE event_id % 12 {' '.join(f'''WHEN {i} THEN '{c}' ''' for i, (_, c) in enumerate(_RECORDS))} END AS class FROM events")
+@query(f"""WITH r AS (SELECT event_id, [{', '.join(map(repr, _RECORD_KEYS))}][CAST(user_id % 8 + 1 AS INTEGER)] AS k, CAST(json_extract(props, '$.k') AS INTEGER) AS n, event_type FROM events),
+v AS (SELECT *, CASE n % 4 WHEN 0 THEN NULL WHEN 1 THEN event_type || '-verify' WHEN 2 THEN 'Keepalive ' || event_type ELSE 'step' END AS value FROM r)
+SELECT event_id, CASE WHEN k IN ('type', 'workflow', 'metric_type') AND value LIKE 'Keepalive%' THEN 'keepalive' WHEN k IN ('type', 'workflow', 'metric_type') AND value LIKE '%verify' THEN 'verifier' WHEN k IN ('type', 'workflow', 'metric_type') AND value = 'step' THEN 'autopilot'
+  WHEN k = 'stop_reason' THEN 'keepalive' WHEN k = 'fix_applied' THEN 'autofix' WHEN k = 'verdict' THEN 'verifier' WHEN k = 'escalation_reason' OR k = 'step_name' AND n % 5 = 0 THEN 'autopilot' ELSE 'unknown' END AS class FROM v""")
 def record_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", tooling.record_class(_pick(tuple(r for r, _ in _RECORDS), F.col("event_id") % 12)).alias("class"))
+    """Records made of an event's own columns; a key whose value is null is there, too."""
+    n, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
+    value = F.when(n % 4 == 1, F.concat(kind, F.lit("-verify"))).when(n % 4 == 2, F.concat(F.lit("Keepalive "), kind)).when(n % 4 == 3, "step")
+    json = F.concat(F.lit('{"'), _pick(_RECORD_KEYS, F.col("user_id") % 8), F.lit('": '), F.coalesce(F.concat(F.lit('"'), value, F.lit('"')), F.lit("null")), F.when(n % 5 == 0, ', "duration_ms": 4').otherwise(""), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", tooling.record_class(json).alias("class"))
 
 
 @query("""WITH r AS (SELECT event_type AS kind, user_id % 100 AS pr, CASE WHEN event_id % 3 > 0 THEN event_id % 10 END AS it, CASE event_id % 4 WHEN 0 THEN 'tasks-complete' WHEN 1 THEN '' END AS stop, event_id % 5 AS total, event_id % 3 AS done FROM events)
@@ -216,7 +220,7 @@ def top_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tooling.top_files(_files(spark, sf_dir), 3)
 
 
-@query("""WITH s AS (SELECT c_custkey, c_mktsegment AS workflow, sha256('{"inputs":{"a":"' || c_name || '","b":"1"},"version":"v1","workflow":"' || c_mktsegment || '"}') AS fingerprint FROM customer) SELECT c_custkey, workflow, fingerprint, c_custkey % 2 = 1 AS changed FROM s""")
+@query("""WITH s AS (SELECT c_custkey, c_mktsegment AS workflow, sha256('{"inputs":{"a":"' || c_name || '","b":"1"},"version":"v1","workflow":"' || c_mktsegment || '"}') AS fingerprint FROM customer) SELECT c_custkey, workflow, fingerprint, c_custkey % 2 = 1 AS changed, CASE WHEN c_custkey % 2 = 1 THEN 'no-prior-fingerprint' ELSE 'fingerprint-match' END AS reason FROM s""")
 def state_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("workflow"), _map(("b", F.lit("1")), ("a", F.col("c_name"))).alias("inputs"))
     once = tooling.state_fingerprints(rows.withColumn("previous", F.lit(None).cast("string")), "v1")

@@ -133,13 +133,13 @@ def library_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", identities.library_type(content, _LIBRARY).alias("doc_type"))
 
 
-_VALUES = ("$1,250.5 m", "12%", "about 5", " 7 ", "-3k", "", "EUR 5", "2b", "+", "€.5")
-_NUMBERS = ("1250500000.0", "12.0", "NULL", "7.0", "-3000.0", "NULL", "NULL", "2000000000.0", "NULL", "0.5")
-
-
-@query(f"SELECT event_id, CASE event_id % 10 {' '.join(f'WHEN {i} THEN {x}::DOUBLE' for i, x in enumerate(_NUMBERS))} END AS number FROM events")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN (p_size * 1000 + 250.5)::DOUBLE * 1e6 WHEN 1 THEN p_size::DOUBLE WHEN 3 THEN -1000.0::DOUBLE * p_size WHEN 5 THEN CAST('0.' || p_size AS DOUBLE) END AS number FROM part""")
 def coverage_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", identities.coverage_number(_pick(_VALUES, F.col("event_id") % 10)).alias("number"))
+    """Values written around a part's own size, and names without a number."""
+    size = F.col("p_size").cast("string")
+    forms = (F.concat(F.lit("$"), size, F.lit(",250.5 m")), F.concat(F.lit(" "), size, F.lit("%")), F.concat(F.lit("about "), size), F.concat(F.lit("-"), size, F.lit("k")), F.col("p_name"), F.concat(F.lit("€."), size))
+    value = F.element_at(F.array(*forms), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", identities.coverage_number(value).alias("number"))
 
 
 @query("""SELECT event_id AS ord, 'artifact_id' AS issue FROM events WHERE event_id % 11 = 0 UNION ALL SELECT event_id, 'reviewer' FROM events WHERE event_id % 7 = 0 UNION ALL SELECT event_id, 'timestamp_required' FROM events WHERE event_id % 4 = 1 UNION ALL SELECT event_id, 'timestamp' FROM events WHERE event_id % 4 = 2

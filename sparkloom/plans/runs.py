@@ -46,10 +46,14 @@ def threshold_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.merged_profiles(own, base).withColumn("mandatory_fields", F.array_join("mandatory_fields", ";"))
 
 
-@query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '0.85' WHEN 1 THEN '1.5' WHEN 2 THEN 'high' WHEN 3 THEN '-0.1' ELSE '1' END AS raw FROM events), x AS (SELECT *, TRY_CAST(raw AS DOUBLE) AS d FROM t)
+@query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '0.' || json_extract_string(props, '$.k') WHEN 1 THEN json_extract_string(props, '$.k') WHEN 2 THEN event_type WHEN 3 THEN CAST(value AS VARCHAR) ELSE '-0.' || user_id END AS raw FROM events), x AS (SELECT *, TRY_CAST(raw AS DOUBLE) AS d FROM t)
 SELECT event_id, CASE WHEN d BETWEEN 0 AND 1 THEN d END AS value FROM x""")
 def threshold_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", runs.threshold_value(_pick(("0.85", "1.5", "high", "-0.1", "1"), F.col("event_id") % 5)).alias("value"))
+    """Thresholds written as an event's own numbers and names."""
+    k = F.get_json_object("props", "$.k")
+    forms = (F.concat(F.lit("0."), k), k, F.col("event_type"), F.col("value").cast("string"), F.concat(F.lit("-0."), F.col("user_id").cast("string")))
+    raw = F.element_at(F.array(*forms), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", runs.threshold_value(raw).alias("value"))
 
 
 @query(f"WITH {FIELDS_SQL} SELECT package_id, key, arg_min(value, (doc_ord, field_ord)) AS value FROM fields WHERE starts_with(key, 'terms.') GROUP BY 1, 2")

@@ -313,3 +313,44 @@ def test_hot_bucket_and_classes(spark):
 def test_tables_grow_with_what_is_asked():
     few, many = vectors.tables_needed(0.8, 8, 3, 0.9), vectors.tables_needed(0.8, 8, 3, 0.999)
     assert 1 <= few < many < vectors.tables_needed(0.8, 16, 3, 0.999) and many > vectors.tables_needed(0.95, 8, 3, 0.999)
+
+
+# --- names, fingerprints, records ---------------------------------------------------------
+
+
+def test_names_fold_as_the_product_does(spark):
+    from sparkloom.functions.strings import normalized_name
+    from sparkloom.operators.packets import merged_aliases
+
+    rows = spark.createDataFrame([("Große  ﬁnanz LLC",), ("ＡＣＭＥ, Inc.",), (None,), ("STRASSE lp",)], "name string")
+    assert [r[0] for r in rows.select(normalized_name(F.col("name"))).collect()] == ["grosse finanz", "acme", None, "strasse"]
+    merged = spark.createDataFrame([(["Straße LLC"], " STRASSE ")], "aliases array<string>, name string").select(merged_aliases(F.col("aliases"), F.col("name")).alias("m")).head().m
+    assert [(x.normalized, x.name) for x in merged] == [("strasse", "STRASSE"), ("strasse", "Straße LLC")]
+
+
+def test_fingerprints_equal_canonical_json(spark):
+    from sparkloom.operators import tooling
+
+    inputs = [{"b": 'q"\\/\n\t\x01\x7f', "a": "äß€𝒳"}, {}, {"é": "plain"}, {'"': ""}]
+    df = spark.createDataFrame([(f"wé{i}", x, None if i else "old") for i, x in enumerate(inputs)], "workflow string, inputs map<string,string>, previous string")
+    rows = tooling.state_fingerprints(df, "v1").collect()
+    for i, (r, x) in enumerate(zip(rows, inputs, strict=True)):
+        text = json.dumps({"workflow": f"wé{i}", "inputs": x, "version": "v1"}, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+        assert r.fingerprint == hashlib.sha256(text.encode()).hexdigest()
+    assert [r.reason for r in rows] == ["fingerprint-changed"] + ["no-prior-fingerprint"] * 3
+
+
+def test_records_by_key_whatever_it_holds(spark):
+    from sparkloom.operators import tooling
+
+    cases = {
+        '{"verdict": null}': "verifier", '{"schema":"workflows-codex-cli-freshness/v1"}': "codex_cli_freshness", '{"metric_type":"","workflow":"AUTOFIX"}': "autofix", '{"type":"verify"}': "verifier", '{"type":"cycle"}': "autopilot",
+        '{"metric_type": 5, "type": "keepalive"}': "unknown", '{"metric_type": 0, "type": "keepalive"}': "keepalive", '{"step_name":"a"}': "unknown", '{"step_name":"a","duration_ms":null}': "autopilot", "not json": "unknown", '["verdict"]': "unknown",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "json string, want string").select("json", "want", tooling.record_class(F.col("json")).alias("got")).collect()
+    assert {r.json: r.got for r in rows} == cases
+    slow = spark.createDataFrame([(1, "a", 2.0), (1, "b", 0.1)], "run_id int, nodeid string, time double")
+    assert [r.nodeid for r in tooling.slowest(slow, 5, 1.0).collect()] == ["a"]
+    runs = spark.createDataFrame([("x", 0, 4, None, 7), ("x", 2, 9, 3, 7)], "kind string, iteration_count int, iteration int, pr_number int, pr int")
+    row = tooling.keepalive_summary(runs.withColumns({"stop_reason": F.lit(""), "tasks_total": F.lit(0), "tasks_complete": F.lit(0)}), "kind").head()
+    assert (row.prs, row.avg_iterations) == (2, 3.0)
