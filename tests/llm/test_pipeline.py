@@ -80,5 +80,5 @@ def test_stages_take_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_pa
 def test_run_and_queries_are_registered(spark, tmp_path):
     write(tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
-    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES) and len(QUERIES) == 10
+    assert sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0])) == list(QUERIES) and len(QUERIES) == 13
     assert all(n.startswith(f"op{k}_") for k, n in enumerate(QUERIES, 1))
