@@ -97,3 +97,33 @@ def test_columns_of_any_name_come_through_the_mix(spark, tmp_path):
     assert all(r["rate"] == r["doc_id"] == r["copy"] for r in mixed.collect())
     plain = mixing.mix(df.select("doc_id", "source", "text"))
     assert sorted(map(str, mixed.select("doc_id", "_copy").collect())) == sorted(str(r).replace("copy", "_copy") for r in plain.select("doc_id", "copy").collect())
+
+
+def test_rows_without_an_id_or_with_one_id_draw_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PLACED_PER_TASK", 50)
+    data = [(None, "a", f"one text {k % 50} of four") for k in range(400)]
+    data += [(7, "b", "the same text") for _ in range(2000)] + [(7, None, "the same text")] * 3 + [(k, "c", "w " * 200) for k in range(60)]
+    data += [(None, None, None), (None, None, "")]
+    df = spark.createDataFrame(data, SCHEMA)
+    got = mixing.mix_report(df).collect()
+    assert len(got) == len(data)
+    sizes: dict = {}
+    for _, s, t in data:
+        sizes[s] = sizes.get(s, 0) + len(brute.WORD.findall(t or ""))
+    want = plain_targets(sizes)
+    by_size = {sizes[s]: s for s in sizes}
+    taken: dict = {}
+    for r in got:
+        taken[by_size[r["source_size"]]] = taken.get(by_size[r["source_size"]], 0) + r["taken"]
+        assert r["taken"] <= 2 * r["size"]
+    for s in ("a", "b", "c"):
+        assert taken[s] == pytest.approx(want[s], rel=0.1), s
+    again = mixing.mix_report(df.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    documents = df.toArrow()  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    assert sorted(map(str, con.execute(mixing.MIX_SQL).fetchall())) == sorted(str(tuple(r)) for r in got)
+    mixed = mixing.mix(df).groupBy("source").count().collect()
+    words = {"a": 5, "b": 3, "c": 200}
+    assert all(r["count"] * words[r["source"]] == taken[r["source"]] for r in mixed if r["source"])
