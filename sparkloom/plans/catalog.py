@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import contracts, exports, files, identities, packets, quality, queues, reports, runs, scoring, streams, timeseries, workflow  # noqa: F401
+from sparkloom.plans import aliases, contracts, exports, files, identities, ledgers, packets, quality, queues, reports, runs, scoring, streams, timeseries, traces, workflow  # noqa: F401
 from sparkloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
