@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import small_batches, stash
+from .runtime import stash
 
 # The base patterns and the least length of each match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -214,16 +214,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield drain()
 
 
+def _first_words(counts: DataFrame, most: int) -> list[str]:
+    """The ``most`` words of counts(word, n) of highest n, ties by code point.
+
+    A top-k of Spark sends k rows of every task to the driver. Here the words are laid out in ranges
+    of that order, and only ranges that begin within the first ``most`` are read again, so the
+    driver gets the number of words of each range, and not much more than ``most`` words.
+    """
+    ranged = counts.repartitionByRange(F.desc("n"), F.col("word")).withColumn("part", F.spark_partition_id())
+    ranged = stash(ranged, "ranged-words")
+    last = before = 0
+    for part, rows in ranged.groupBy("part").count().orderBy("part").collect():
+        if before >= most:
+            break
+        last, before = part, before + rows
+    return [r["word"] for r in ranged.where(F.col("part") <= last).orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+
+
 def word_ranks(docs: DataFrame, most: int = RANKED) -> dict[str, int]:
     """Ranks of the common words, and after them of the ``most`` words of letters that docs(text) holds most often.
 
     Words are counted over all rows; what stands where a credential is expected is not counted, so
     that a password in many copies is not taken for a word. Ties go by code point. Only the
-    ``most`` words reach the driver.
+    ``most`` words, and a part of a range of them, reach the driver.
     """
     counts = docs.select("text").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    with small_batches(docs.sparkSession):
-        learnt = [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    learnt = _first_words(stash(counts.where("n > 1"), "word-counts"), most)
     return _RANKS | {w: len(_RANKS) + k + 1 for k, w in enumerate(w for w in learnt if w not in _RANKS)}
 
 

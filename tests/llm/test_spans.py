@@ -152,6 +152,14 @@ def plain_cost(value: str) -> float:
     return sum(secrets._char_cost(c) for c in value)
 
 
+@pytest.mark.parametrize("most", [0, 1, 7, 500, 1_999, 2_000, 9_000])
+def test_first_words_are_those_of_a_sort_with_ties(spark, most):
+    rows = [(f"w{k * 7919 % 2000:04d}", 2 + k % 5 + (k % 97 == 0) * k) for k in range(2_000)]
+    counts = spark.createDataFrame(rows, "word string, n bigint")
+    assert secrets._first_words(counts, most) == [w for w, _ in sorted(rows, key=lambda r: (-r[1], r[0]))][:most]
+    assert secrets._first_words(counts.limit(0), most) == []
+
+
 def test_guess_cost_knows_what_is_easy():
     for easy in ("password", "qwertyuiop", "aaaaaaaaaa", "abcdefgh", "19991231", "P@ssw0rd", "summer2024"):
         assert secrets.guess_cost(easy) < 0.75 * plain_cost(easy)
