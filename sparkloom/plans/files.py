@@ -1,4 +1,4 @@
-"""Queries over binary files and the document store: archives and PDF files made of customers, versions made of documents."""
+"""Queries over binary files, the document store and the record sink: archives and PDF files of customers, versions of documents, records of orders and suppliers."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.plans.registry import query, shared_folder
-from sparkloom.sources import pictures, store
+from sparkloom.sources import pictures, records, store
 from sparkloom.sources.tables import table
 
 _ENDINGS = ("png", "JPEG", "svg", "emf")
@@ -87,3 +87,31 @@ def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = store.get(rows, root).select("document_key", "version_id", "present", F.sha2("content", 256).alias("read"))
     out = rows.withColumn("version", version).join(content, ["document_key", "version_id"])
     return out.select("document_key", "file_name", "version_id", "file_hash", "version", "byte_size", "present", (F.col("read") == F.col("file_hash")).alias("intact"))
+
+
+@query("""SELECT CASE o_orderstatus WHEN 'F' THEN 'closed' ELSE 'open' END AS batch,
+  '{"customer":{"band":' || coalesce('"' || o_orderpriority || '"', 'null') || ',"key":' || o_custkey || '},"order":' || o_orderkey || ',"units":' || CAST(floor(o_totalprice) AS BIGINT) || '}' AS line
+FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL""")
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of orders as records with sorted keys; a record without a customer or price would fail its batch."""
+    root = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    closed = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    orders = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL AND o_totalprice IS NOT NULL")
+    record = [F.floor("o_totalprice").alias("units"), F.col("o_orderkey").alias("order"), F.struct(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("band")).alias("customer")]
+    missing = F.when(F.col("customer.key").isNull() | F.col("units").isNull(), F.concat(F.lit("incomplete record of order "), F.col("order").cast("string")))
+    for batch, rows in (("closed", orders.where(closed)), ("open", orders.where(~closed))):
+        records.write_lines(rows.select(*record), root, batch, missing)
+    return records.read_lines(spark, root).select("batch", "line")
+
+
+@query("""WITH f AS (SELECT s_suppkey, '{' || chr(10) || '  "name": ' || coalesce('"' || s_name || '"', 'null') || ',' || chr(10) || '  "nation": ' || coalesce(CAST(s_nationkey AS VARCHAR), 'null') || chr(10) || '}' || chr(10) AS body FROM supplier)
+SELECT 'suppliers' AS batch, 'files/s' || s_suppkey || '/run.json' AS name, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS bytes, true AS intact FROM f""")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each supplier, held against the merged manifest."""
+    root = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    body = F.to_json(F.struct(F.col("s_nationkey").alias("nation"), F.col("s_name").alias("name")), {"ignoreNullFields": "false"})
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("/run.json")).alias("path"), body.alias("body"))
+    records.write_files(rows, root, "suppliers")
+    read = records.read_files(spark, root).select("batch", "path", F.col("problem").isNull().alias("intact"))
+    listed = records.merged_manifest(spark, root).join(read, ["batch", "path"])
+    return listed.select("batch", F.regexp_extract("path", "files/.*$", 0).alias("name"), "sha256", "bytes", "intact")
