@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType
@@ -14,6 +15,7 @@ from pyspark.sql.types import IntegerType
 from sparkloom.operators.workflow import INGEST_MOVES
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+BUCKETS = 1024
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,24 @@ def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "2 days"
     return grouped.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def bucket_of(item: Column, buckets: int) -> Column:
+    """The bucket of an item; those without an item have one of their own."""
+    return F.when(item.isNull(), -1).otherwise(F.pmod(F.xxhash64(item), F.lit(buckets)).cast("int"))
+
+
+def pack(rows: pd.DataFrame) -> bytes:
+    """A bucket's rows as one state value."""
+    held = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held.schema) as writer:
+        writer.write_table(held)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(value).read_all().to_pandas()
+
+
 def lifecycle_stream(events: DataFrame) -> DataFrame:
     """events(item_id, ord, to_state): after each batch the lawful state of every item it touched."""
     allowed = {(a, b) for a, bs in INGEST_MOVES.items() for b in bs}

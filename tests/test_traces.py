@@ -194,3 +194,24 @@ def test_attempts_in_any_order(spark, tmp_path, seed):
             want.setdefault(item, []).append((ord_, provider, ok))
     assert len(got) == len(want)
     assert {r["item_id"]: (r["provider_used"], r["retry_count"], r["failure_count"], r["route"]) for r in got} == {k: plain_outcome(v) for k, v in want.items()}
+
+
+def state_rows(spark, folder):
+    """How many state values a drained stream leaves behind."""
+    (checkpoint,) = folder.glob("stream-*/checkpoint")
+    return spark.read.format("statestore").load(str(checkpoint)).count()
+
+
+def test_attempts_share_state_and_calls(spark, tmp_path):
+    rows = [(item, 0, minute(0), "p", False) for item in range(3000)] + [(1, 1, minute(1), "q", True), (2, None, minute(2), "q", None)]
+    stream = stream_of(spark, tmp_path / "in", [rows, [(5000, 0, minute(30), "p", True)]], "item_id bigint, ord bigint, at timestamp, provider string, succeeded boolean")
+    got = events.drained(spans.attempt_outcomes(stream, timedelta(minutes=60), "5 minutes"), str(tmp_path))
+    assert got.count() == 0
+    assert 0 < state_rows(spark, tmp_path) <= 1024  # a value for each item before
+
+    late = [(1, 2, minute(40), "p", False), (6000, 0, minute(90), "p", True)]
+    stream = stream_of(spark, tmp_path / "in2", [rows, late], "item_id bigint, ord bigint, at timestamp, provider string, succeeded boolean")
+    got = {r["item_id"]: r for r in events.drained(spans.attempt_outcomes(stream, timedelta(minutes=60), "5 minutes", buckets=7), str(tmp_path / "b")).collect()}
+    assert len(got) == 3000 and all(r["opened_at"].minute == 0 for r in got.values())
+    plain = lambda k: (got[k]["provider_used"], got[k]["retry_count"], got[k]["failure_count"], got[k]["route"])
+    assert plain(0) == (None, 0, 1, "pending_triage") and plain(1) == ("q", 1, 1, None) and plain(2) == (None, 1, 2, "ops_review")
