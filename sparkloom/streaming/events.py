@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,23 +49,33 @@ def unpack(value: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(value).read_all().to_pandas()
 
 
-def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """events(item_id, ord, to_state): after each batch the lawful state of every item it touched."""
+def lifecycle_stream(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """events(item_id, ord, to_state): after each batch the lawful state of every item it touched.
+
+    Items are dealt to buckets; a bucket's items are one state value and are folded in one call, as a call
+    for each item costs more than its few moves. A batch reads and writes the buckets that it touches whole.
+    """
     allowed = {(a, b) for a, bs in INGEST_MOVES.items() for b in bs}
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, moves, illegal = state.get if state.exists else ("", 0, 0)
-        rows = pd.concat(batches).sort_values("ord")
-        for to in rows["to_state"]:
-            if (now, to) in allowed:
-                now, moves = to, moves + 1
-            elif now != to:
-                illegal += 1
-        state.update((now, moves, illegal))
-        yield pd.DataFrame({"item_id": [key[0]], "state": [now], "moves": [moves], "illegal": [illegal]})
+        rows = pd.concat(batches).sort_values("ord", kind="stable")
+        held = unpack(state.get[0]) if state.exists else pd.DataFrame({"item_id": pd.Series(dtype="int64"), "state": pd.Series(dtype=object), "moves": pd.Series(dtype="int32"), "illegal": pd.Series(dtype="int32")})
+        touched = held["item_id"].isin(rows["item_id"])
+        now = {item: list(rest) for item, *rest in held[touched].itertuples(index=False)}
+        for item, to in zip(rows["item_id"].tolist(), rows["to_state"].tolist(), strict=True):
+            s = now.setdefault(item, ["", 0, 0])
+            if (s[0], to) in allowed:
+                s[0], s[1] = to, s[1] + 1
+            elif s[0] != to:
+                s[2] += 1
+        states, moves, illegal = zip(*now.values(), strict=True)
+        out = pd.DataFrame({"item_id": np.array(list(now), "int64"), "state": states, "moves": np.array(moves, "int32"), "illegal": np.array(illegal, "int32")})
+        state.update((pack(pd.concat([held[~touched], out]) if len(held) else out),))
+        yield out if key[0] >= 0 else out.assign(item_id=pd.array([None], "Int64"))
 
     out = "item_id bigint, state string, moves int, illegal int"
-    return events.groupBy("item_id").applyInPandasWithState(fold, out, "state string, moves int, illegal int", "update", GroupStateTimeout.NoTimeout)
+    rows = events.select(bucket_of(F.col("item_id"), buckets).alias("bucket"), F.coalesce("item_id", F.lit(0)).cast("bigint").alias("item_id"), "ord", "to_state")
+    return rows.groupBy("bucket").applyInPandasWithState(fold, out, "held binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:

@@ -215,3 +215,15 @@ def test_attempts_share_state_and_calls(spark, tmp_path):
     assert len(got) == 3000 and all(r["opened_at"].minute == 0 for r in got.values())
     plain = lambda k: (got[k]["provider_used"], got[k]["retry_count"], got[k]["failure_count"], got[k]["route"])
     assert plain(0) == (None, 0, 1, "pending_triage") and plain(1) == ("q", 1, 1, None) and plain(2) == (None, 1, 2, "ops_review")
+
+
+def test_lifecycles_share_state_and_calls(spark, tmp_path):
+    first = [(item, 0, "received") for item in range(3000)] + [(None, 0, "received"), (None, 1, "received"), (7, 2, "escalated"), (7, 1, "processing")]
+    second = [(7, 0, "received"), (8, 3, None), (8, 2, "processing"), (None, 2, "completed"), (2**60 + 1, 0, "completed")]
+    stream = stream_of(spark, tmp_path / "in", [first, second], "item_id bigint, ord bigint, to_state string")
+    rows = events.drained(events.lifecycle_stream(stream), str(tmp_path), "update").collect()
+    assert len(rows) == 3001 + 4  # an item has a row for each batch that touches it
+    last = {r["item_id"]: (r["state"], r["moves"], r["illegal"]) for r in sorted(rows, key=lambda r: r["batch"])}
+    assert last[7] == ("escalated", 3, 1) and last[8] == ("processing", 2, 1) and last[9] == ("received", 1, 0)
+    assert last[None] == ("received", 1, 1) and last[2**60 + 1] == ("", 0, 1)
+    assert state_rows(spark, tmp_path) <= 1025  # a value for each item before
