@@ -212,3 +212,18 @@ def test_masks_hold_for_other_templates() -> None:
     assert piece[low:high] == "bab"
     silent = lambda messages: f"{len(messages)}"
     assert chatformat.text_span(silent, [], "", "1", "assistant") is None
+
+
+def far_back(messages: list[tuple[str, str]]) -> str:
+    """Drops the text of the third turn from the fortieth turn on."""
+    return "".join(f"[{r}] {'' if k == 2 and len(messages) >= 40 else t}\n" for k, (r, t) in enumerate(messages))
+
+
+def test_rewriting_far_back_is_seen(spark):
+    df = spark.createDataFrame([(1, t, ("user", "assistant")[t % 2], f"text {t}") for t in range(50)], ROWS)
+    turns = chatformat.format_turns(df, far_back).orderBy("position").collect()
+    assert [t.position for t in turns if t.rewritten] == [39]
+    output = ""
+    for t in turns:
+        output = output[: t.start] + t.formatted
+    assert output == far_back([(("user", "assistant")[t % 2], f"text {t}") for t in range(50)])
