@@ -354,3 +354,14 @@ def test_records_by_key_whatever_it_holds(spark):
     runs = spark.createDataFrame([("x", 0, 4, None, 7), ("x", 2, 9, 3, 7)], "kind string, iteration_count int, iteration int, pr_number int, pr int")
     row = tooling.keepalive_summary(runs.withColumns({"stop_reason": F.lit(""), "tasks_total": F.lit(0), "tasks_complete": F.lit(0)}), "kind").head()
     assert (row.prs, row.avg_iterations) == (2, 3.0)
+
+
+def test_similar_pairs_hash_in_several_tasks(spark):
+    x = clustered(5, groups=3000)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = vectors.similar_pairs(df)
+    want = pairs_of(x, 0.8)
+    got = {(r.a, r.b) for r in found.collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "unit" in plan and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()  # one task hashed all before, as the vectors are small
