@@ -3,7 +3,7 @@
 A schema is compiled to a table of rules, one row for a keyword at a place. Records are walked over
 VARIANT, one level at a time until no value is left, so a record's depth is not bounded by a type
 and every level is a plain generator without a shuffle. The rules then meet the values by a
-broadcast join on the place. What is wrong comes out as rows, never as an exception.
+broadcast join on the place, all in one walk of the records. What is wrong comes out as rows, never as an exception.
 
 A path names a value (``outputs.artifact_ids[2]``); its place is the same with ``[*]`` for every
 index, which is where rules stand.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Keywords that say nothing about validity.
@@ -112,42 +112,52 @@ def _described(level: DataFrame, key: str) -> DataFrame:
     return level.select(key, "path", "place", "name", kind.alias("kind"), text.alias("text"), measured.alias("number"), F.coalesce(F.length(text), array).alias("size"), names.alias("names"))
 
 
-def violations(found: DataFrame, key: str, rules: DataFrame) -> DataFrame:
-    """(key, path, rule, detail) for each rule that a value breaks; found is of values(). The rules come from one schema and are broadcast."""
-    at = found.join(F.broadcast(rules.withColumnsRenamed({"text": "rule_text", "names": "rule_names", "number": "limit"})), "place")
-    rule, kind, size, limit = F.col("rule"), F.col("kind"), F.col("size"), F.col("limit")
-    allowed = F.array_contains("rule_names", kind) | (kind == "integer") & F.array_contains("rule_names", F.lit("number"))
+def _broken(rule: Column, text: Column, names: Column, limit: Column) -> tuple[Column, Column]:
+    """Whether a value breaks a rule, and the detail of that."""
+    kind, size, number = F.col("kind"), F.col("size"), F.col("number")
+    allowed = F.array_contains(names, kind) | (kind == "integer") & F.array_contains(names, F.lit("number"))
     bound = lambda word, what, held, bad: (rule == word) & what & bad(held)
-    number = kind.isin("integer", "number")
+    counted = kind.isin("integer", "number")
     broken = (
         F.when(kind == "broken", rule == "type")
         .when(rule == "type", ~allowed)
-        .when(rule.isin("const", "enum"), ~F.coalesce(F.array_contains("rule_names", F.col("text")), F.lit(False)))
-        .when(rule == "pattern", (kind == "string") & ~F.rlike(F.col("text"), F.col("rule_text")))
-        .when(rule == "required", (kind == "object") & ~F.array_contains("names", F.col("rule_text")))
-        .when(rule == "closed", (kind == "object") & (F.size(F.array_except("names", "rule_names")) > 0))
+        .when(rule.isin("const", "enum"), ~F.coalesce(F.array_contains(names, F.col("text")), F.lit(False)))
+        .when(rule == "pattern", (kind == "string") & ~F.rlike(F.col("text"), text))
+        .when(rule == "required", (kind == "object") & ~F.array_contains("names", text))
+        .when(rule == "closed", (kind == "object") & (F.size(F.array_except("names", names)) > 0))
         .otherwise(
             bound("minLength", kind == "string", size, lambda x: x < limit)
             | bound("maxLength", kind == "string", size, lambda x: x > limit)
             | bound("minItems", kind == "array", size, lambda x: x < limit)
             | bound("maxItems", kind == "array", size, lambda x: x > limit)
-            | bound("minimum", number, F.col("number"), lambda x: x < limit)
-            | bound("maximum", number, F.col("number"), lambda x: x > limit)
+            | bound("minimum", counted, number, lambda x: x < limit)
+            | bound("maximum", counted, number, lambda x: x > limit)
         )
     )
-    detail = F.when(rule == "required", F.col("rule_text")).when(rule == "closed", F.array_join(F.array_sort(F.array_except("names", "rule_names")), ",")).when(rule == "type", kind).otherwise(F.col("text"))
-    return at.where(broken).select(key, "path", F.when(kind == "broken", "json").otherwise(rule).alias("rule"), detail.alias("detail"))
+    detail = F.when(rule == "required", text).when(rule == "closed", F.array_join(F.array_sort(F.array_except("names", names)), ",")).when(rule == "type", kind).otherwise(F.col("text"))
+    return broken, detail
+
+
+def violations(found: DataFrame, key: str, rules: DataFrame) -> DataFrame:
+    """(key, path, rule, detail) for each rule that a value breaks; found is of values(). The rules come from one schema and are broadcast."""
+    at = found.join(F.broadcast(rules.withColumnsRenamed({"text": "rule_text", "names": "rule_names", "number": "limit"})), "place")
+    broken, detail = _broken(F.col("rule"), F.col("rule_text"), F.col("rule_names"), F.col("limit"))
+    return at.where(broken).select(key, "path", F.when(F.col("kind") == "broken", "json").otherwise(F.col("rule")).alias("rule"), detail.alias("detail"))
 
 
-def _filled() -> F.Column:
+def _filled() -> Column:
     kind = F.col("kind")
     empty = (kind == "null") | (kind == "string") & (F.col("size") == 0) | (kind == "array") & (F.col("size") == 0) | (kind == "object") & (F.size("names") == 0)
     return ~empty
 
 
+def _payload(fields: tuple[str, ...]) -> Column:
+    return F.lower("name").isin(*fields) & _filled()
+
+
 def raw_payloads(found: DataFrame, key: str, fields: tuple[str, ...] = RAW_FIELDS) -> DataFrame:
     """Fields at any depth whose name, whatever its case, must not carry a payload, and that are not empty."""
-    return found.where(F.lower("name").isin(*fields) & _filled()).select(key, "path", F.lit("raw_payload").alias("rule"), F.col("name").alias("detail"))
+    return found.where(_payload(fields)).select(key, "path", F.lit("raw_payload").alias("rule"), F.col("name").alias("detail"))
 
 
 def sensitive_fields(found: DataFrame, key: str, tokens: tuple[str, ...]) -> DataFrame:
@@ -156,31 +166,37 @@ def sensitive_fields(found: DataFrame, key: str, tokens: tuple[str, ...]) -> Dat
     return found.where(hit).select(key, "path", F.lit("sensitive_field").alias("rule"), F.col("name").alias("detail"))
 
 
-def missing_sections(found: DataFrame, key: str, records: DataFrame, required: DataFrame) -> DataFrame:
-    """Sections that required(repo, section) asks of records(key, repo): absent (or null), unknown, or empty where that is no answer."""
-    wanted = records.select(key, "repo").join(required, "repo")
-    top = found.where((F.col("place") == F.col("name"))).select(key, F.col("name").alias("section"), "kind", _filled().alias("filled"))
+def missing_sections(records: DataFrame, key: str, required: DataFrame) -> DataFrame:
+    """Sections that required(repo, section) asks of records(key, repo, json): absent (or null), unknown, or empty where that is no answer."""
+    fields = F.try_variant_get(F.try_parse_json("json"), "$", "map<string,variant>")
+    wanted = records.select(key, "repo", fields.alias("top")).join(F.broadcast(required), "repo")
+    section = F.col("section")
+    top = wanted.select(key, section.alias("path"), section.alias("place"), section.alias("name"), F.try_element_at("top", section).alias("value"))
     state = (
-        F.when(~F.col("section").isin(*SECTIONS), "section_unknown")
-        .when(F.coalesce("kind", F.lit("null")) == "null", "section_absent")
-        .when(~F.col("filled") & ~F.col("section").isin(*EMPTY_OK), "section_empty")
+        F.when(~F.col("name").isin(*SECTIONS), "section_unknown")
+        .when(F.col("kind").isin("broken", "null"), "section_absent")
+        .when(~_filled() & ~F.col("name").isin(*EMPTY_OK), "section_empty")
     )
-    return wanted.join(top, [key, "section"], "left").withColumn("rule", state).where("rule is not null").select(key, F.col("section").alias("path"), "rule", F.col("section").alias("detail"))
+    return _described(top, key).withColumn("rule", state).where("rule is not null").select(key, "path", "rule", F.col("name").alias("detail"))
 
 
-def manifest_issues(found: DataFrame, key: str, manifests: DataFrame) -> DataFrame:
-    """Artifact ids of a run that its manifest(key, artifact_id, sha256) does not list, or lists without a hash; runs without a manifest are not asked."""
-    ids = found.where((F.col("place") == "outputs.artifact_ids[*]") & (F.col("kind") == "string")).select(key, "path", F.col("text").alias("artifact_id"))
-    listed = manifests.groupBy(key, "artifact_id").agg(F.max("sha256").alias("sha256"), F.lit(True).alias("listed"))
+def manifest_issues(records: DataFrame, key: str, manifests: DataFrame) -> DataFrame:
+    """Artifact ids of records(key, json) that the run's manifest(key, artifact_id, sha256) does not list, or lists without a hash; runs without a manifest are not asked."""
+    listing = F.try_variant_get(F.try_parse_json("json"), "$.outputs.artifact_ids", "array<variant>")
+    place = F.concat(F.lit("outputs.artifact_ids["), F.col("pos").cast("string"), F.lit("]"))
+    each = records.select(key, F.posexplode(listing).alias("pos", "value")).where(F.schema_of_variant("value") == "STRING")
+    ids = each.select(key, place.alias("path"), F.try_variant_get(F.col("value"), "$", "string").alias("artifact_id"))
+    hashed = F.coalesce("sha256", F.lit("")) != ""
+    listed = manifests.groupBy(key, "artifact_id").agg(F.max(hashed.cast("int")).alias("hashed"))
     asked = ids.join(manifests.select(key).distinct(), key, "left_semi").join(listed, [key, "artifact_id"], "left")
-    rule = F.when(F.col("listed").isNull(), "not_in_manifest").when(F.coalesce("sha256", F.lit("")) == "", "no_hash_in_manifest")
+    rule = F.when(F.col("hashed").isNull(), "not_in_manifest").when(F.col("hashed") == 0, "no_hash_in_manifest")
     return asked.withColumn("rule", rule).where("rule is not null").select(key, "path", "rule", F.col("artifact_id").alias("detail"))
 
 
 def emitting(records: DataFrame, participants: DataFrame) -> DataFrame:
-    """Of records(repo, ...) those whose repo takes part: participants(repo, status) has it with a state that emits."""
+    """Of records(repo, ...) those whose repo takes part: participants(repo, status) has it with a state that emits. Participants are broadcast, so records are not dealt by a few repos."""
     active = participants.where(F.col("status").isNotNull() & ~F.col("status").isin(*NOT_EMITTING)).select("repo").distinct()
-    return records.join(active, "repo", "left_semi")
+    return records.join(F.broadcast(active), "repo", "left_semi")
 
 
 def contract_issues(records: DataFrame, key: str, schema: dict[str, Any], participants: DataFrame, required: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -190,13 +206,23 @@ def contract_issues(records: DataFrame, key: str, schema: dict[str, Any], partic
     are not of the form type:id, and artifacts that the manifest does not have.
     """
     asked = emitting(records, participants)
-    found = values(asked, key)
-    identities = found.where((F.col("place") == "identity_refs[*]") & ((F.col("kind") != "string") | ~F.contains(F.coalesce("text", F.lit("")), F.lit(":"))))
+    rules = rule_table(records.sparkSession, schema).withColumnsRenamed({"text": "rule_text", "names": "rule_names", "number": "limit"})
+    lead = F.row_number().over(Window.partitionBy("place").orderBy("rule", "rule_text")) == 1
+    at = values(asked, key).join(F.broadcast(rules.withColumn("lead", lead)), "place", "left")
+    # a value has a row for each of its rules, or one without: what is no rule's is asked on the first
+    once = F.coalesce("lead", F.lit(True))
+    broken, detail = _broken(F.col("rule"), F.col("rule_text"), F.col("rule_names"), F.col("limit"))
+    inlined = once & _payload(RAW_FIELDS)
+    odd = once & (F.col("place") == "identity_refs[*]") & ((F.col("kind") != "string") | ~F.contains(F.coalesce("text", F.lit("")), F.lit(":")))
+    broken = F.col("rule").isNotNull() & broken
+    issue = lambda bad, rule, detail: F.when(bad, F.struct(rule.alias("rule"), detail.alias("detail")))
+    named = F.when(F.col("kind") == "broken", "json").otherwise(F.col("rule"))
+    issues = F.array_compact(F.array(issue(broken, named, detail), issue(inlined, F.lit("raw_payload"), F.col("name")), issue(odd, F.lit("identity"), F.col("text"))))
+    asked_of = [F.coalesce(x, F.lit(False)) for x in (broken, inlined, odd)]
+    at = at.where(asked_of[0] | asked_of[1] | asked_of[2])
     parts = [
-        violations(found, key, rule_table(records.sparkSession, schema)),
-        raw_payloads(found, key),
-        missing_sections(found, key, asked, required),
-        identities.select(key, "path", F.lit("identity").alias("rule"), F.col("text").alias("detail")),
-        manifest_issues(found, key, manifests),
+        at.select(key, "path", F.inline(issues)),
+        missing_sections(asked, key, required),
+        manifest_issues(asked, key, manifests),
     ]
     return reduce(DataFrame.unionByName, parts)
