@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.strings import magnitude, relative_difference_percent, zero_safe_ratio
+from sparkloom.operators.shares import SHARE, dealt
 
 # Thresholds, and by document type the key fields, mandatory fields and least coverage.
 THRESHOLDS = {"auto_accept": 0.85, "key_field": 0.75, "coverage": 0.80, "mandatory": 0.60}
@@ -86,41 +87,64 @@ def cross_check(observations: DataFrame, tolerance_percent: float = 5.0) -> Data
     return out.select("entity", "key", "n", F.col("accepted.source").alias("accepted_source"), F.col("accepted.value").alias("accepted_value"), "difference_percent", reason.isNotNull().alias("escalate"), reason.alias("reason"))
 
 
-def first_disagreements(observations: DataFrame, tolerance_percent: float = 5.0, blocks: int = 256) -> DataFrame:
+def first_disagreements(observations: DataFrame, tolerance_percent: float = 5.0, blocks: int = 256, share: int = SHARE) -> DataFrame:
     """The first pair of each (entity, key) that disagrees, as a nested loop in input order finds it, without any pairs.
 
     observations(entity, key, ord, source, value): of all pairs i < j by ord whose numbers differ by
     more than the tolerance, the least i, and with it the least j. As the difference grows with the
     distance (and numbers of unlike sign always differ), some later number is outside i's band when
-    the least or the largest of the later ones is. These extremes come from windows over blocks of
-    equal width in ord, and from the blocks' own extremes, so a key with very many rows is dealt to
-    several tasks. Then one more pass finds j. Equal ords stand by source and value; values without a
-    number take no part; a key of one observation or none that disagree has no row.
+    the least or the largest of the later ones is. Keys are dealt whole to tasks of about ``share``
+    rows, read and sorted once, however large the table. For a key with more rows than that, these
+    extremes come from windows over blocks of equal width in ord, and from the blocks' own extremes,
+    so that it is dealt to several tasks. Then one more pass finds j. Equal ords stand by source and
+    value; values without a number take no part; a key of one observation or none that disagree has
+    no row.
     """
     if not 0 <= tolerance_percent <= 100:
         raise ValueError("the tolerance must be between 0 and 100")
     keys = ["entity", "key"]
-    number = F.col("number")
-    apart = lambda other: F.coalesce(relative_difference_percent(number, other) > tolerance_percent, F.lit(False))
+    tasks, large = dealt(observations, keys, share)
     at = F.struct(F.col("ord").cast("bigint").alias("ord"), "source", "value").alias("at")
-    rows = observations.select(*keys, at, magnitude(F.col("value")).alias("number")).where("number is not null")
+    number = magnitude(F.col("value")).alias("number")
+    small = observations if large is None else observations.join(F.broadcast(large), keys, "left_anti")
+    # keys in one column: the plan would put a constant in the place of one, and deal the rows anew
+    rows = small.dropna(subset=keys).select(F.struct(*keys).alias("both"), at, number).where("number is not null").repartition(tasks, "both")
+    later = Window.partitionBy("both").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.withColumns({"least": F.min("number").over(later), "most": F.max("number").over(later)})
+    found = _second(rows, own.where(_apart("least", tolerance_percent) | _apart("most", tolerance_percent)), ["both"], tolerance_percent).select("both.*", "left", "right")
+    if large is not None:
+        rows = observations.join(F.broadcast(large), keys, "left_semi").select(*keys, at, number).where("number is not null")
+        found = found.union(_second(rows, _left_in_blocks(rows, keys, tolerance_percent, blocks), keys, tolerance_percent))
+    difference = relative_difference_percent(F.col("left.number"), F.col("right.number"))
+    reason = F.format_string("cross_check_disagreement:%s:%s!=%s:%.4f%%>%.4f%%", "key", "left.at.source", "right.at.source", difference, F.lit(float(tolerance_percent)))
+    return found.select(*keys, F.col("left.at.source").alias("left_source"), F.col("left.at.value").alias("left_value"), F.col("right.at.source").alias("right_source"), F.col("right.at.value").alias("right_value"), difference.alias("difference_percent"), reason.alias("reason"))
+
+
+def _apart(other: str | Column, tolerance_percent: float) -> Column:
+    other = F.col(other) if isinstance(other, str) else other
+    return F.coalesce(relative_difference_percent(F.col("number"), other) > tolerance_percent, F.lit(False))
+
+
+def _left_in_blocks(rows: DataFrame, keys: list[str], tolerance_percent: float, blocks: int) -> DataFrame:
+    """Rows that disagree with a later one, found block by block."""
     span = rows.groupBy(*keys).agg(F.min("at.ord").alias("low"), F.max("at.ord").alias("high"), F.min("number").alias("least"), F.max("number").alias("most"))
     wide = span.where(relative_difference_percent(F.col("least"), F.col("most")) > tolerance_percent)
     block = F.floor((F.col("at.ord") - F.col("low")) / (F.col("high") - F.col("low") + 1.0) * blocks)
-    placed = rows.join(wide.select(*keys, "low", "high"), keys).select(*keys, "at", "number", block.alias("block"))
+    placed = rows.join(F.broadcast(wide.select(*keys, "low", "high")), keys).select(*keys, "at", "number", block.alias("block"))
     after = Window.partitionBy(*keys).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     extremes = placed.groupBy(*keys, "block").agg(F.min("number").alias("least"), F.max("number").alias("most"))
     extremes = extremes.select(*keys, "block", F.min("least").over(after).alias("least"), F.max("most").over(after).alias("most"))
     later = Window.partitionBy(*keys, "block").orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
     own = placed.withColumns({"own_least": F.min("number").over(later), "own_most": F.max("number").over(later)})
     both = own.join(extremes, [*keys, "block"])
-    left = both.where(apart(F.least("own_least", "least")) | apart(F.greatest("own_most", "most")))
+    return both.where(_apart(F.least("own_least", "least"), tolerance_percent) | _apart(F.greatest("own_most", "most"), tolerance_percent))
+
+
+def _second(rows: DataFrame, left: DataFrame, keys: list[str], tolerance_percent: float) -> DataFrame:
+    """The first of the rows that disagree by key, and the first that disagrees with it."""
     left = left.groupBy(*keys).agg(F.min(F.struct("at", "number")).alias("left"))
-    right = rows.join(left, keys).where((F.col("at") > F.col("left.at")) & apart(F.col("left.number")))
-    found = right.groupBy(*keys, "left").agg(F.min(F.struct("at", "number")).alias("right"))
-    difference = relative_difference_percent(F.col("left.number"), F.col("right.number"))
-    reason = F.format_string("cross_check_disagreement:%s:%s!=%s:%.4f%%>%.4f%%", "key", "left.at.source", "right.at.source", difference, F.lit(float(tolerance_percent)))
-    return found.select(*keys, F.col("left.at.source").alias("left_source"), F.col("left.at.value").alias("left_value"), F.col("right.at.source").alias("right_source"), F.col("right.at.value").alias("right_value"), difference.alias("difference_percent"), reason.alias("reason"))
+    right = rows.join(left, keys).where((F.col("at") > F.col("left.at")) & _apart(F.col("left.number"), tolerance_percent))
+    return right.groupBy(*keys, "left").agg(F.min(F.struct("at", "number")).alias("right"))
 
 
 def field_outcomes(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from sparkloom.operators import contracts
+from sparkloom.operators import contracts, packets, quality
+from tests.test_kernels import plain_first
 
 
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_contract_walks_records_once(spark):
     records = spark.createDataFrame([(1, "alpha", '{"a": {"b": {"c": 1}}}'), (2, "alpha", '{"": {"cost": 1}}')], "id int, repo string, json string")
     participants = spark.createDataFrame([("alpha", "emitting")], "repo string, status string")
@@ -20,3 +28,30 @@ def test_contract_walks_records_once(spark):
     # levels 0 to 3, sections and artifacts; a section below a name that is empty is none of the record's own
     assert plan_of(rows).count("parse") <= 6
     assert sorted((r.id, r.path, r.rule) for r in rows.collect()) == [(1, "cost", "section_absent"), (2, "cost", "section_absent")]
+
+
+def test_first_disagreements_deal_large_keys_apart(spark):
+    rng = random.Random(6)
+    rows = [(entity, rng.randrange(60), f"s{rng.randrange(9)}", f"{100 + rng.randint(-8, 8)}") for entity in range(40) for _ in range(rng.randrange(1, 25))]
+    rows = list(set(rows))
+    df = spark.createDataFrame([(e, "aum", o, s, v) for e, o, s, v in rows], "entity int, key string, ord bigint, source string, value string")
+    got = quality.first_disagreements(df, 5.0, blocks=4, share=12)
+    assert {r.entity: (r.left_source, r.left_value, r.right_source, r.right_value) for r in got.collect()} == plain_first(rows, 5.0)
+    few = quality.first_disagreements(df.withColumn("key", F.lit("aum")), share=100)
+    deals = re.findall(r"hashpartitioning\((\w+)#\d+, (\d+)\)", physical(few))
+    assert deals and set(deals) == {("both", str(len(rows) // 100 + 1))}
+
+
+def test_ownership_deals_documents_to_more_tasks(spark):
+    rng = random.Random(12)
+    rows = [(d, rng.randrange(6), rng.choice([None, 1, 2, 3, 4])) for d in range(60) for _ in range(rng.randrange(1, 20))]
+    df = spark.createDataFrame(rows, "document_id int, package_id int, at int")
+    want = set()
+    for d in range(60):
+        mine = [(at if at is not None else -1, p) for x, p, at in rows if x == d]
+        want |= {(d, p, min(mine)[1]) for _, p in mine if p != min(mine)[1]}
+    for share in (10, 50):
+        got = packets.ownership_conflicts(df, share).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    deals = re.findall(r"hashpartitioning\((\w+)#\d+, (\d+)\)", physical(packets.ownership_conflicts(df, 50)))
+    assert deals == [("document_id", str(len(rows) // 50 + 1))]
