@@ -18,7 +18,8 @@ _IMAGE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/im
 
 def visual_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A presentation, PDF or other file of each customer: (document_id, file_name, content)."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
+    # a small row makes a whole file, so rows are dealt before that
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")).repartition(spark.sparkContext.defaultParallelism * 4, "key")
     ending = f"element_at(array({', '.join(map(repr, _ENDINGS))}), int((j + key) % 4) + 1)"
     link = f"concat('<Relationship Id=\"rId', j, '\" Type=\"{_IMAGE}\" Target=\"../media/p', j, '.', {ending}, '\"/>')"
     slides = F.expr("sequence(1, int(key % 3) + 1)")

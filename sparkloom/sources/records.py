@@ -10,11 +10,13 @@ writer at a time.
 
 from __future__ import annotations
 
+import io
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import islice
 from typing import Any
 from uuid import uuid4
 
@@ -29,6 +31,8 @@ from pyspark.sql.types import StructType
 LINES = "records.ndjson"
 ENTRY = "part int, position bigint, path string, sha256 string, bytes bigint, records bigint"
 _PLAIN_PATH = re.compile(r"[A-Za-z0-9=_-][A-Za-z0-9._=-]*(/[A-Za-z0-9=_-][A-Za-z0-9._=-]*)*", re.ASCII)
+_LISTED = pa.schema([("batch", pa.string()), ("part", pa.int32()), ("position", pa.int64()), ("path", pa.string()), ("sha256", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
+_READ = pa.schema([("batch", pa.string()), ("path", pa.string()), ("content", pa.binary()), ("problem", pa.string())])
 _COMMIT = "batch string, job string, parts array<struct<files bigint, manifest string, part int, records bigint>>"
 
 
@@ -166,10 +170,11 @@ def write_lines(rows: DataFrame, root: str, batch: str, problem: Column | None =
 def write_files(files: DataFrame, root: str, batch: str) -> None:
     """Every row of files(path, body) as a JSON file of its own, keys in order; a path that is null or there twice fails the write.
 
-    Rows are dealt by path, so the cluster shares any number of files and equal paths meet in one task.
+    Rows are dealt by path to a fixed number of tasks, as a small row costs a whole file, so the cluster
+    shares any number of files and equal paths meet in one task.
     """
     path = F.when(F.col("path").isNull(), F.raise_error(F.lit("a file has no path"))).otherwise(F.col("path"))
-    _save(files.select(path.alias("path"), "body").repartition("path").sortWithinPartitions("path"), root, batch)
+    _save(files.select(path.alias("path"), "body").repartition(files.sparkSession.sparkContext.defaultParallelism * 4, "path").sortWithinPartitions("path"), root, batch)
 
 
 def _commits(spark: SparkSession, root: str) -> DataFrame:
@@ -189,12 +194,25 @@ def merged_manifest(spark: SparkSession, root: str) -> DataFrame:
     Manifests of many batches are joined end to end: by batch, part and position, each in its own order.
     """
     commits = _commits(spark, root)
-    jobs = [f"{root}/data/{r['job']}" for r in commits.where("size(parts) > 0").select("job").collect()]
-    if not jobs:
-        return spark.createDataFrame([], f"batch string, {ENTRY}")
-    named = commits.select("batch", F.explode("parts.manifest").alias("manifest"))
-    entries = spark.read.schema(ENTRY).option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.ndjson").json(jobs)
-    return entries.withColumn("manifest", _relative()).join(named, "manifest").select("batch", *entries.columns)
+    named = commits.select("batch", F.explode("parts").alias("part")).where("part.files > 0")
+    tasks = spark.sparkContext.defaultParallelism
+    manifests = named.select("batch", F.col("part.manifest").alias("manifest")).repartition(tasks, "manifest")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = pafs.FileSystem.from_uri(root)
+        for found in batches:
+            for batch, manifest in zip(found.column("batch").to_pylist(), found.column("manifest").to_pylist(), strict=True):
+                with system.open_input_stream(f"{folder}/data/{manifest}") as file:
+                    for lines in _pieces(io.BufferedReader(file), 10_000):
+                        yield pa.Table.from_pylist([{"batch": batch, **json.loads(x)} for x in lines], schema=_LISTED).combine_chunks().to_batches()[0]
+
+    return manifests.mapInArrow(listed, f"batch string, {ENTRY}")
+
+
+def _pieces(lines: Iterable[bytes], n: int) -> Iterator[list[bytes]]:
+    lines = iter(lines)
+    while piece := list(islice(lines, n)):
+        yield piece
 
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -208,11 +226,23 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """(batch, path, content, problem) of every committed file: ``missing`` or ``changed`` where it is not as its manifest says."""
-    listed = merged_manifest(spark, root)
-    jobs = [f"{root}/data/{r['job']}" for r in _commits(spark, root).where("size(parts) > 0").select("job").collect()]
-    if not jobs:
-        return spark.createDataFrame([], "batch string, path string, content binary, problem string")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(jobs).select(_relative().alias("path"), "content")
-    problem = F.when(F.col("content").isNull(), "missing").when(F.sha2("content", 256) != F.col("sha256"), "changed")
-    return listed.join(found, "path", "left").select("batch", "path", "content", problem.alias("problem"))
+    """(batch, path, content, problem) of every committed file: ``missing`` or ``changed`` where it is not as its manifest says.
+
+    Tasks open the files that the manifests name, so no folder is listed.
+    """
+    rows = merged_manifest(spark, root).select("batch", "path", "sha256").repartition(spark.sparkContext.defaultParallelism * 4, "path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                content, problem = None, "missing"
+                try:
+                    with system.open_input_stream(f"{folder}/data/{row['path']}") as file:
+                        content = file.read()
+                    problem = None if sha256(content).hexdigest() == row["sha256"] else "changed"
+                except FileNotFoundError:
+                    pass
+                yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "path": row["path"], "content": content, "problem": problem}], schema=_READ)
+
+    return rows.mapInArrow(read, "batch string, path string, content binary, problem string")

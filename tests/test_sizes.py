@@ -8,6 +8,8 @@ import re
 from pyspark.sql import functions as F
 
 from sparkloom.operators import contracts, packets, quality
+from sparkloom.plans import files as plans_files
+from sparkloom.sources import records
 from tests.test_kernels import plain_first
 
 
@@ -55,3 +57,15 @@ def test_ownership_deals_documents_to_more_tasks(spark):
         assert len(got) == len(want) and {tuple(r) for r in got} == want
     deals = re.findall(r"hashpartitioning\((\w+)#\d+, (\d+)\)", physical(packets.ownership_conflicts(df, 50)))
     assert deals == [("document_id", str(len(rows) // 50 + 1))]
+
+
+def test_small_rows_that_make_files_are_dealt(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    files = spark.range(40).select(F.concat(F.lit("a"), "id", F.lit("/run.json")).alias("path"), F.to_json(F.struct("id")).alias("body"))
+    records.write_files(files, root, "one")
+    assert records.merged_manifest(spark, root).select("part").distinct().count() > 2
+    assert {r.problem for r in records.read_files(spark, root).collect()} == {None}
+    plan = plan_of(records.read_files(spark, root))
+    assert "binaryFile" not in plan and "manifest.ndjson" not in plan
+    pictures = plans_files.visual_files(spark, "/root/testdata/sf0.001")
+    assert pictures.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism * 4
