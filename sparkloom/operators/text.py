@@ -24,6 +24,8 @@ BOILERPLATE = ("all rights reserved", "confidential", "copyright", "disclaimer",
 # Signs of a chart, words, and names of pictures that are seldom informative.
 CHART = r"(?i)\b(?:q[1-4]|20\d{2}|fy\d{2})\b|(?<![A-Za-z0-9])-?[0-9]+(?:\.[0-9]+)?%"
 TOKEN = r"[a-zA-Z][a-zA-Z0-9_%.-]*"
+#: So many tokens from the start of a text; what follows them is not read.
+TOKENS = r"^(?:[^a-zA-Z]*+[a-zA-Z][a-zA-Z0-9_%%.-]*+){%d}"
 LOGO_MARKERS = ("logo", "banner", "footer", "masthead")
 PREVIEW_BYTES = 8192
 # What a note says about a return series, in order of priority.
@@ -56,27 +58,44 @@ def preview(content: Column) -> Column:
 
 
 def visual_label(text: Column, byte_size: Column, source_ref: Column) -> dict[str, Column]:
-    """Label, confidence, reasons and rationale of an artifact, from its preview text, size and source reference."""
+    """Label, confidence and reasons of an artifact, from its preview text, size and source reference."""
+    found = visual_facts(text, byte_size, source_ref)
+    return {k: found[k] for k in ("label", "confidence", "reasons")}
+
+
+def visual_facts(text: Column, byte_size: Column, source_ref: Column) -> Column:
+    """visual_label as one struct, for which a text is read once."""
     low = F.lower(text)
-    hits = lambda terms: reduce(lambda a, b: a + b, [F.contains(low, F.lit(t)).cast("int") for t in terms])
-    good, bad = hits(INFORMATIVE), hits(BOILERPLATE)
-    tokens = F.regexp_count(text, F.lit(TOKEN))
-    dense, sparse = tokens >= 18, (tokens <= 5) | ((tokens < 18) & (byte_size <= 512))
-    chart = F.rlike(text, F.lit(CHART))
+    hits = lambda x, terms: reduce(lambda a, b: a + b, [F.contains(x, F.lit(t)).cast("int") for t in terms])
+    terms = F.element_at(F.transform(F.array(low), lambda x: F.struct(hits(x, INFORMATIVE).alias("good"), hits(x, BOILERPLATE).alias("bad"))), 1)
+    at_least = lambda n: F.rlike(text, F.lit(TOKENS % n))
     logo = reduce(lambda a, b: a | b, [F.contains(F.lower(F.coalesce(source_ref, F.lit(""))), F.lit(m)) for m in LOGO_MARKERS])
-    for_score = F.least(good, F.lit(4)) * 2 + F.when(chart, 3).otherwise(0) + F.when(dense, 2).otherwise(0)
-    against = F.least(bad, F.lit(4)) * 2 + F.when(~dense & sparse, 2).otherwise(0) + F.when(logo, 3).otherwise(0)
+    facts = F.struct(terms.alias("terms"), at_least(18).alias("dense"), at_least(6).alias("some"), F.rlike(text, F.lit(CHART)).alias("chart"), logo.alias("logo"), byte_size.alias("bytes"))
+    scored = F.transform(F.array(facts), _scored)
+    return F.element_at(F.transform(scored, _labelled), 1)
+
+
+def _scored(x: Column) -> Column:
+    good, bad, dense = x["terms"]["good"], x["terms"]["bad"], x["dense"]
+    sparse = ~x["some"] | (~dense & (x["bytes"] <= 512))
+    for_score = F.least(good, F.lit(4)) * 2 + F.when(x["chart"], 3).otherwise(0) + F.when(dense, 2).otherwise(0)
+    against = F.least(bad, F.lit(4)) * 2 + F.when(~dense & sparse, 2).otherwise(0) + F.when(x["logo"], 3).otherwise(0)
+    reasons = F.array_compact(
+        F.array(F.when(good > 0, "informative_terms"), F.when(bad > 0, "boilerplate_terms"), F.when(x["chart"], "chart_indicators"), F.when(dense, "text_density_high"), F.when(~dense & sparse, "text_density_low"), F.when(x["logo"], "logo_banner_pattern"))
+    )
+    return F.struct(for_score.alias("for"), against.alias("against"), reasons.alias("reasons"))
+
+
+def _labelled(x: Column) -> Column:
+    for_score, against, reasons = x["for"], x["against"], x["reasons"]
     informative = for_score >= against
     base = F.when(informative, 0.62).otherwise(0.58)
     confidence = F.round(F.least(F.lit(0.95), base + F.least(F.lit(0.25), F.abs(for_score - against) * 0.04) + F.least(F.lit(0.12), (for_score + against) * 0.01)), 2)
-    reasons = F.array_compact(
-        F.array(F.when(good > 0, "informative_terms"), F.when(bad > 0, "boilerplate_terms"), F.when(chart, "chart_indicators"), F.when(dense, "text_density_high"), F.when(~dense & sparse, "text_density_low"), F.when(logo, "logo_banner_pattern"))
+    return F.struct(
+        F.when(informative, "informative").otherwise("boilerplate").alias("label"),
+        confidence.alias("confidence"),
+        F.when(F.size(reasons) > 0, F.array_join(reasons, ",")).otherwise("fallback_content_heuristic").alias("reasons"),
     )
-    return {
-        "label": F.when(informative, "informative").otherwise("boilerplate"),
-        "confidence": confidence,
-        "reasons": F.when(F.size(reasons) > 0, F.array_join(reasons, ",")).otherwise("fallback_content_heuristic"),
-    }
 
 
 def redact_text(text: Column) -> Column:

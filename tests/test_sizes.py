@@ -7,8 +7,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import contracts, packets, quality
+from sparkloom.operators import contracts, packets, quality, text
 from sparkloom.plans import files as plans_files
+from sparkloom.plans import reports
 from sparkloom.sources import records
 from tests.test_kernels import plain_first
 
@@ -69,3 +70,13 @@ def test_small_rows_that_make_files_are_dealt(spark, tmp_path):
     assert "binaryFile" not in plan and "manifest.ndjson" not in plan
     pictures = plans_files.visual_files(spark, "/root/testdata/sf0.001")
     assert pictures.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism * 4
+
+
+def test_visual_labels_read_a_text_once(spark):
+    plan = plan_of(reports.visual_classify(spark, "/root/testdata/sf0.001"))
+    assert plan.count(r"fy\d{2}") == 1 and "regexp_count" not in plan
+    texts = ["", "a", "1a.b c", "x " * 5, "x " * 6, "9" + "x-" * 40, "é a é" * 9, "x " * 17, "x_1%,\n" * 18, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    counted = F.regexp_count("t", F.lit(text.TOKEN))
+    for row in df.select(counted.alias("n"), *[F.rlike("t", F.lit(text.TOKENS % k)).alias(f"k{k}") for k in (6, 18)]).collect():
+        assert row.n is None and row.k6 is row.k18 is None or (row.k6, row.k18) == (row.n >= 6, row.n >= 18)
