@@ -51,7 +51,8 @@ def trees(spans: DataFrame, folder: str) -> DataFrame:
 
     The way to the root is doubled round by round, so n levels take log2(n) rounds; only spans whose way is open are
     joined again, and Spark splits the partitions of a parent with very many of them. What is left when a round
-    closes no way hangs on a cycle. Each round is written to folder, which all executors share.
+    closes no way hangs on a cycle. Each round writes the spans that it moved to folder, which all
+    executors share; those whose way is closed stay in the files of the round that closed it.
     """
     spark, place = spans.sparkSession, f"{folder}/trees-{uuid.uuid4().hex}"
 
@@ -66,14 +67,15 @@ def trees(spans: DataFrame, folder: str) -> DataFrame:
     up = F.when(~lost, F.col("parent_id"))
     nodes = kept(joined.select("span_id", up.alias("up"), F.when(up.isNull(), F.col("span_id")).alias("root"), F.when(up.isNull(), 0).otherwise(1).alias("depth"), own.alias("tags"), own.alias("own"), F.when(lost, "orphan").alias("issue")), "round-0")
     # up is the next span above that the way has not taken in; depth counts the steps taken so far
-    left, number = nodes.where("up is not null").count(), 0
+    left, number, latest, closed = nodes.where("up is not null").count(), 0, nodes, nodes.where("up is null")
     while left:
         number += 1
         above = nodes.select(F.col("span_id").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"), F.col("tags").alias("over"))
         merged = F.map_zip_with("over", "tags", lambda k, a, b: F.when(F.map_contains_key("tags", k), b).otherwise(a))
-        moved = nodes.where("up is not null").join(above, "up").select("span_id", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), merged.alias("tags"), "own", "issue")
-        nodes = kept(nodes.where("up is null").union(moved), f"round-{number}")
-        still = nodes.where("up is not null").count()
+        moved = latest.where("up is not null").join(above, "up").select("span_id", F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), merged.alias("tags"), "own", "issue")
+        latest = kept(moved, f"round-{number}")
+        nodes, closed = closed.union(latest), closed.union(latest.where("up is null"))
+        still = latest.where("up is not null").count()
         if still == left:
             break
         left = still

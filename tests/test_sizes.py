@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import contracts, packets, quality, text
+from sparkloom.operators import contracts, packets, quality, text, traces
 from sparkloom.plans import files as plans_files
 from sparkloom.plans import reports
 from sparkloom.sources import records
@@ -80,3 +80,10 @@ def test_visual_labels_read_a_text_once(spark):
     counted = F.regexp_count("t", F.lit(text.TOKEN))
     for row in df.select(counted.alias("n"), *[F.rlike("t", F.lit(text.TOKENS % k)).alias(f"k{k}") for k in (6, 18)]).collect():
         assert row.n is None and row.k6 is row.k18 is None or (row.k6, row.k18) == (row.n >= 6, row.n >= 18)
+
+
+def test_trees_write_a_closed_span_once(spark, tmp_path):
+    spans = spark.range(64).select(F.col("id").alias("span_id"), F.when(F.col("id") > 40, F.col("id") - 1).alias("parent_id"), F.lit(None).cast("map<string,string>").alias("tags"))
+    assert {r.span_id: r.depth for r in traces.trees(spans, str(tmp_path)).collect()} == {i: max(0, i - 40) for i in range(64)}
+    written = [spark.read.parquet(str(p)) for p in sorted(tmp_path.glob("trees-*/round-*"))]
+    assert sum(x.where("up is null").count() for x in written) == 64
