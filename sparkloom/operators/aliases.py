@@ -1,8 +1,8 @@
-"""Types of documents by a dictionary of aliases: n-grams of tokens are joined with it, so 10,000 aliases need no 10,000 patterns."""
+"""Types of documents by a dictionary of aliases: the n-grams that its first tokens begin are joined with it, so 10,000 aliases need no 10,000 patterns."""
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 NEGATIONS = ("no", "non", "not")
 
 BLOCK = 4096  # tokens whose n-grams are made at once
+HEADS = 1 << 18  # so many first tokens, and so many ids, are broadcast at most
 
 
 def identifier(value: Column) -> Column:
@@ -50,36 +51,59 @@ def _terms(library: DataFrame, aliases: DataFrame) -> DataFrame:
     return typed.select(F.trim(F.regexp_replace(identifier(F.col("library_id")), r"[\s_-]+", " ")).alias("term"), "kind", "ord").where("term <> ''")
 
 
-def _grams(docs: DataFrame, longest: int) -> DataFrame:
-    """(document_id, term): the runs of up to longest tokens a-z and 0-9 with only blanks, hyphens and underscores between.
+def _grams(docs: DataFrame, heads: DataFrame | None, lengths: list[int]) -> DataFrame:
+    """(document_id, term): the runs of tokens a-z and 0-9 with only blanks, hyphens and underscores between, of the lengths that heads(head, lengths) has for the first of them.
 
-    A text is cut at all other signs, and what lies between them into blocks that overlap by longest - 1 tokens, so
-    that no array of n-grams grows with a text.
+    Other signs are items of their own, which no term has. Without heads, every token begins a run of each of lengths.
+    A text is cut into blocks of items that overlap, so that no array beside a token grows with it. The explodes are
+    outer ones, as for the others Spark adds a filter that makes the items a second time.
     """
-    pieces = docs.select("document_id", F.explode(F.split(F.lower("content"), r"[^a-z0-9\s_-]+")).alias("piece"))
-    tokens = pieces.select("document_id", F.filter(F.split("piece", r"[\s_-]+"), lambda t: t != "").alias("tokens")).where("size(tokens) > 0")
-    starts = F.explode(F.sequence(F.lit(1), F.size("tokens"), F.lit(BLOCK)))
-    blocks = tokens.select("document_id", "tokens", starts.alias("at")).select("document_id", F.slice("tokens", F.col("at"), BLOCK + longest - 1).alias("t"))
-    of_length = lambda k: F.transform("t", lambda _, i: F.when(i <= F.size("t") - k, F.array_join(F.slice("t", i + 1, k), " ")))
-    every = reduce(F.array_union, [of_length(k) for k in range(1, longest + 1)])
-    return blocks.select("document_id", F.explode(F.array_compact(every)).alias("term"))
-
-
-def text_types(docs: DataFrame, library: DataFrame, aliases: DataFrame) -> DataFrame:
+    items = docs.select("document_id", F.regexp_extract_all(F.lower("content"), F.lit(r"[a-z0-9]+|[^\s_-]"), F.lit(0)).alias("items"))
+    starts = F.explode_outer(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("items")), F.lit(BLOCK)))
+    blocks = items.select("document_id", "items", starts.alias("start")).select("document_id", F.slice("items", F.col("start"), BLOCK + max(lengths, default=1) - 1).alias("items"))
+    tokens = blocks.select("document_id", "items", F.posexplode_outer("items").alias("at", "head")).where(F.col("at") < BLOCK)
+    if heads is None:
+        begun = tokens.where(F.rlike("head", F.lit("^[a-z0-9]"))).withColumn("lengths", F.array(*[F.lit(k) for k in lengths]))
+    else:
+        begun = tokens.join(F.broadcast(heads), "head")
+    run = F.array_join(F.slice("items", F.col("at") + 1, F.col("k")), " ")
+    return begun.select("document_id", "items", "at", F.explode("lengths").alias("k")).select("document_id", run.alias("term"))
+
+
+def text_types(docs: DataFrame, library: DataFrame, aliases: DataFrame, folder: str | None = None, most: int = HEADS) -> DataFrame:
     """(document_id, kind) of every row of docs(document_id, content): the kind of the first id of library(library_id, ord) that stands in it.
 
     An id stands in a text if its parts do, in order and as whole tokens, with blanks, hyphens or
     underscores between. Ids without a kind do not count; texts that are null, empty or without an id
     have a null kind. An id with other signs than a-z and 0-9 inside is found by its first token and
     then tested by its pattern; one that has none of these is never found. Letters are lowered, not
-    case-folded. document_id is unique.
+    case-folded. document_id is unique. Up to most first tokens are broadcast, so that only tokens that
+    begin an id make rows, and so are up to most ids; beyond that all runs of tokens are shuffled.
+    Library, aliases and the terms made of them are written to folder, which all executors share: else
+    each use makes them again, and Spark moves the tests of terms below what makes the ids distinct.
     """
+    place = f"{folder}/terms-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if not folder:
+            return df
+        df.write.parquet(f"{place}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{place}/{name}")
+
+    library, aliases = kept(library.select("library_id", "ord"), "library"), kept(aliases.select("alias", "kind", "ord"), "aliases")
     terms = _terms(library, aliases).withColumn("odd", ~F.rlike("term", F.lit("^[a-z0-9 ]+$"))).withColumn("first", F.regexp_extract("term", "[a-z0-9]+", 0))
-    longest = max(1, _longest(terms, "term", " "))
     keyed = terms.select(F.when(F.col("odd"), F.col("first")).otherwise(F.col("term")).alias("term"), "kind", "ord", F.when(F.col("odd"), F.col("term")).alias("literal")).where("term <> ''")
-    hits = _grams(docs, longest).join(keyed, "term").select("document_id", "kind", "ord", "literal").distinct()
-    pattern = F.concat(F.lit("(?<![a-z0-9])"), F.replace(F.regexp_replace("literal", "([^a-z0-9 ])", r"\\$1"), F.lit(" "), F.lit(r"[\s_-]+")), F.lit("(?![a-z0-9])"))
-    tested = hits.where("literal is not null").join(docs.select("document_id", "content"), "document_id").where(F.rlike(F.lower("content"), pattern))
-    found = hits.where("literal is null").select("document_id", "kind", "ord").union(tested.select("document_id", "kind", "ord"))
+    keyed = kept(keyed.groupBy("term", "literal").agg(F.min_by("kind", "ord").alias("kind"), F.min("ord").alias("ord")), "terms")
+    begins = keyed.select(F.split_part("term", F.lit(" "), F.lit(1)).alias("head"), F.size(F.split("term", " ")).alias("k"), "literal")
+    heads = begins.groupBy("head").agg(F.collect_set("k").alias("lengths"), F.count("*").alias("ids"), F.count("literal").alias("odd"))
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0))
+    n_heads, n_ids, n_odd, lengths = heads.agg(F.count("*"), total("ids"), total("odd"), F.array_distinct(F.flatten(F.collect_set("lengths")))).head()
+    grams = _grams(docs, heads.select("head", "lengths") if n_heads <= most else None, lengths)
+    hits = grams.join(F.broadcast(keyed) if n_ids <= most else keyed, "term")
+    found = hits.where("literal is null").select("document_id", "kind", "ord")
+    if n_odd:
+        pattern = F.concat(F.lit("(?<![a-z0-9])"), F.replace(F.regexp_replace("literal", "([^a-z0-9 ])", r"\\$1"), F.lit(" "), F.lit(r"[\s_-]+")), F.lit("(?![a-z0-9])"))
+        tested = hits.where("literal is not null").select("document_id", "kind", "ord", "literal").distinct().join(docs.select("document_id", "content"), "document_id").where(F.rlike(F.lower("content"), pattern))
+        found = found.union(tested.select("document_id", "kind", "ord"))
     first = found.groupBy("document_id").agg(F.min_by("kind", "ord").alias("kind"))
     return docs.select("document_id").join(first, "document_id", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import aliases
-from sparkloom.plans.registry import query
+from sparkloom.plans.registry import query, shared_folder
 from sparkloom.sources.tables import table
 
 _NAMES_SQL = """names AS (SELECT DISTINCT p_name FROM part),
@@ -42,4 +42,4 @@ def library_text_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(key == 0, "").when(key == 1, F.concat(F.lit(" The "), name, F.lit("."))).when(key == 2, F.upper(F.replace(name, F.lit(" "), F.lit(" - _")))).otherwise(F.concat(F.lit("; "), F.replace(name, F.lit(" "), F.lit("; ")), F.lit("x")))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(parts, F.col("doc_id") == F.col("p_partkey"), "left").select(F.col("doc_id").alias("document_id"), F.concat(F.coalesce("text", F.lit("")), tail).alias("content"))
     library = parts.select("p_name").distinct().select(F.concat(F.lit("stub_"), F.translate("p_name", " ", "-")).alias("library_id"), F.col("p_name").alias("ord"))
-    return aliases.text_types(docs, library, _aliases(spark, sf_dir))
+    return aliases.text_types(docs, library, _aliases(spark, sf_dir), shared_folder(spark))

@@ -7,7 +7,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import contracts, packets, quality, text, traces
+from sparkloom.operators import aliases, contracts, packets, quality, text, traces
+from sparkloom.plans import aliases as plans_aliases
 from sparkloom.plans import files as plans_files
 from sparkloom.plans import reports
 from sparkloom.sources import records
@@ -87,3 +88,19 @@ def test_trees_write_a_closed_span_once(spark, tmp_path):
     assert {r.span_id: r.depth for r in traces.trees(spans, str(tmp_path)).collect()} == {i: max(0, i - 40) for i in range(64)}
     written = [spark.read.parquet(str(p)) for p in sorted(tmp_path.glob("trees-*/round-*"))]
     assert sum(x.where("up is null").count() for x in written) == 64
+
+
+def test_texts_are_read_once_and_only_first_tokens_make_rows(spark, tmp_path):
+    plan = physical(plans_aliases.library_text_types(spark, "/root/testdata/sf0.001"))
+    # the items are made once, documents are exchanged and not n-grams, and the library is read as it was written
+    assert plan.count("regexp_extract_all") == 1 and "array_union" not in plan
+    assert not re.search(r"hashpartitioning\((term|library_id|p_name)#", plan)
+    texts = ["", None, "old ring", "OLD\t-ring x", "old, ring", "old  hot ring", "r&d lab", "r&dlab", "x " * 9000 + "cold_hot-ring", "x " * 4095 + "old ring", "ring", "hot", "\u00e9old ring\u00e9"]
+    want = [None, None, "r", "r", None, "h", "l", None, "h", "r", None, None, "r"]
+    names = spark.createDataFrame([("old_ring", "r", 1), ("hot_ring", "h", 2), ("r&d_lab", "l", 0), ("cold_hot_ring", "c", 3)], "alias string, kind string, ord int")
+    library = names.select(F.col("alias").alias("library_id"), "ord")
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id int, content string")
+    for most in (1 << 18, 3, 2, 0):  # all are broadcast, the first tokens only, or nothing
+        for folder in (None, str(tmp_path)):
+            got = aliases.text_types(docs, library, names, folder, most).collect()
+            assert {r.document_id: r.kind for r in got} == dict(enumerate(want)) and len(got) == len(want)
