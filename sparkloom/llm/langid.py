@@ -28,6 +28,7 @@ SMOOTHING = 20.0
 FLOOR = 0.2  # of the way from chance to the own texts' mean log likelihood
 SLACK = 2.0  # standard errors of the mean below that
 HELD = 64  # languages counted at once in a task
+CHUNK_BYTES = 1 << 18  # texts cut into trigrams at once, or one longer text
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -72,7 +73,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
-        for first, end, buf, offsets in text_chunks(batch.column(1), lower=False):
+        for first, end, buf, offsets in text_chunks(batch.column(1), lower=False, limit=CHUNK_BYTES):
             bucket, row = _trigrams(buf, offsets)
             own = langs[first:end]
             for name in set(own):
@@ -115,7 +116,7 @@ def _text_scores(rows: DataFrame, model: TextModel) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            for first, end, buf, offsets in text_chunks(batch.column(at), lower=False):
+            for first, end, buf, offsets in text_chunks(batch.column(at), lower=False, limit=CHUNK_BYTES):
                 bucket, row = _trigrams(buf, offsets)
                 n = np.bincount(row, minlength=end - first)
                 sums = np.stack([np.bincount(row, weights=t[bucket], minlength=end - first) for t in table], axis=1)
