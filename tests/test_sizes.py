@@ -5,14 +5,15 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from sparkloom.operators import aliases, contracts, packets, quality, text, traces
+from sparkloom.operators import aliases, contracts, packets, quality, text, traces, vectors
 from sparkloom.plans import aliases as plans_aliases
 from sparkloom.plans import files as plans_files
 from sparkloom.plans import reports
 from sparkloom.sources import records
-from tests.test_kernels import plain_first
+from tests.test_kernels import clustered, pairs_of, plain_first
 
 
 def plan_of(df):
@@ -104,3 +105,44 @@ def test_texts_are_read_once_and_only_first_tokens_make_rows(spark, tmp_path):
         for folder in (None, str(tmp_path)):
             got = aliases.text_types(docs, library, names, folder, most).collect()
             assert {r.document_id: r.kind for r in got} == dict(enumerate(want)) and len(got) == len(want)
+
+
+def shuffle_bytes(spark, run):
+    """What run() gives, and the bytes it shuffles."""
+    scala = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        scala.listenerBus().waitUntilEmpty()
+        executors = scala.statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = written()
+    return run(), written() - before
+
+
+def test_similar_pairs_shuffle_few_copies_and_no_pair(spark):
+    x = clustered(8, groups=2500, dim=64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got, moved = shuffle_bytes(spark, lambda: vectors.similar_pairs(df, recall=0.9999).collect())
+    assert {(r.a, r.b) for r in got} == pairs_of(x, 0.8)
+    assert moved < 30 * x.nbytes, moved / x.nbytes  # 114 times before
+    centre = np.random.default_rng(9).normal(size=16)
+    dense = (centre + np.random.default_rng(10).normal(size=(6000, 16)) * 0.3).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(dense)], "vec_id bigint, embedding array<float>")
+    n, moved = shuffle_bytes(spark, lambda: vectors.similar_pairs(df).count())
+    assert n > 0.99 * len(pairs_of(dense, 0.8)) and moved < n, (n, moved)  # less than a byte a pair
+
+
+def test_similar_pairs_are_given_once(spark):
+    x = clustered(11, groups=200)
+    odd = [(7000, [float("nan")] * 24), (7001, [float("inf")] + [1.0] * 23), (7002, [1.0] * 23 + [None])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "vec_id bigint, embedding array<double>")
+    want = pairs_of(x, 0.8)
+    for block, probes in ((300, 3), (40, 1), (40, 0), (40, 20), (2, 3)):  # 2: codes of two letters
+        got = [(r.a, r.b) for r in vectors.similar_pairs(df, recall=0.999, block=block, probes=probes).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want), (block, probes, len(got), len(want))
+    wide = np.concatenate([x[:90]] * 30, axis=1)  # 720 numbers, which count as 2.8 rows
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id bigint, embedding array<float>")
+    for exact in (True, False):
+        got = [(r.a, r.b) for r in vectors.similar_pairs(df, recall=0.9999, block=30, exact=exact).collect()]
+        assert len(got) == len(set(got)) and set(got) == pairs_of(wide, 0.8)
