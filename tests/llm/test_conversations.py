@@ -7,6 +7,7 @@ import heapq
 import random
 import re
 import zlib
+from functools import partial
 from itertools import groupby
 
 import pytest
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chatformat, repair
+from sparkloom.llm import chatformat, queries, repair
 
 ROWS = "conv_id bigint, turn bigint, role string, text string"
 
@@ -227,3 +228,12 @@ def test_rewriting_far_back_is_seen(spark):
     for t in turns:
         output = output[: t.start] + t.formatted
     assert output == far_back([(("user", "assistant")[t % 2], f"text {t}") for t in range(50)])
+
+
+def test_query_renders_whole_prefixes(spark, tmp_path, monkeypatch):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"text {t}") for c in (1, 2) for t in range(25 * c)]
+    spark.createDataFrame(rows, ROWS).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert got(queries.op13_chat_format(spark, str(tmp_path)))[2] == plain_digest(rows)[2]
+    monkeypatch.setattr(queries, "format_turns", partial(chatformat.format_turns, template=far_back))
+    seen = queries.op13_chat_format(spark, str(tmp_path)).collect()
+    assert {r.conv_id: r.rewritten for r in seen} == {-1: 0, 1: 0, 2: 1}
