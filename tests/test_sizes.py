@@ -141,7 +141,7 @@ def test_similar_pairs_are_given_once(spark):
     for block, probes in ((300, 3), (40, 1), (40, 0), (40, 20), (2, 3)):  # 2: codes of two letters
         got = [(r.a, r.b) for r in vectors.similar_pairs(df, recall=0.999, block=block, probes=probes).collect()]
         assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want), (block, probes, len(got), len(want))
-    wide = np.concatenate([x[:90]] * 30, axis=1)  # 720 numbers, which count as 2.8 rows
+    wide = np.concatenate([x[:90]] * 30, axis=1)  # 720 numbers, which count as 11 rows
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id bigint, embedding array<float>")
     for exact in (True, False):
         got = [(r.a, r.b) for r in vectors.similar_pairs(df, recall=0.9999, block=30, exact=exact).collect()]
